@@ -297,6 +297,34 @@ def indicator_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def renamed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows in which old and new names of a series repeat each other's values."""
+    key = F.col("o_orderkey")
+    names = [
+        "实际利用境外资金", "外商直接投资", "全市用电总量(万千瓦小时)投资", "全市用电总量(亿千瓦小时)",
+        "全社会客运量(万人)", "客运量(万人)", "保险收入",
+    ]
+    value = F.floor(F.col("o_totalprice") / 60000).cast("double") * 7000
+    return table(spark, sf_dir, "orders").select(
+        key.alias("id"),
+        F.concat(F.year("o_orderdate").cast("string"), F.lit("年1-"), (F.quarter("o_orderdate") * 3).cast("string"), F.lit("月")).alias("period"),
+        pick(RAW_REGIONS[1:9], _div(key, 7)).alias("region"),
+        pick(names, key).alias("indicator_name"), pick(names, key).alias("indicator_code"),
+        F.when(key % 11 != 0, value).alias("value"),
+        F.when(key % 4 != 0, (key % 3).cast("double")).alias("growth_rate"),
+        F.lit("").alias("unit"),
+    )
+
+
+def region_in_name_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows whose indicator is a region with a sheet marker."""
+    marks = ["(45贸外处4)", "(46贸外处5)", "(99其它)"]
+    key = F.col("id")
+    name = F.concat(pick(RAW_REGIONS[6:10], key), pick(marks, _div(key, 4)))
+    changed = F.when(key % 3 == 0, name).otherwise(F.col("indicator_name"))
+    return indicator_raw(spark, sf_dir).withColumn("indicator_name", changed)
+
+
 # --- records, pages and texts --------------------------------------------------------
 
 RECORD_CATEGORIES = ["统计信息", "财政信息", "政策文件", "通知公告", "规划计划", "其它栏目"]
@@ -358,6 +386,16 @@ def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TITLE_WORDS = ["邵阳市经济运行情况", "居民收入稳步增长", "统计公报", "财政收支平稳", "规模工业增加值"]
+
+
+def page_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with Chinese titles made of fixed phrases, for topic words."""
+    key = F.col("record_id")
+    title = F.concat(pick(TITLE_WORDS, key), F.lit(" "), pick(TITLE_WORDS, _div(key, 3)), F.lit("2024年"))
+    return records(spark, sf_dir).withColumn("title", title)
+
+
 # --- sheet cells ----------------------------------------------------------------------
 
 CELL_TITLES = ["一、地区生产总值", "主要经济指标", "规模工业大类行业", "财政对比表", "目录"]

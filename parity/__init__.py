@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["selection"]
+MODULES = ["selection", "facts", "governed"]
 
 
 def load() -> dict[str, str]:
