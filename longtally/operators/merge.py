@@ -90,7 +90,8 @@ def merge_with_priority(df: DataFrame, order: Column | None = None) -> DataFrame
     The leading row gives document, sheet and source; value, growth and unit come
     from the first row in order that has one.
     """
-    order = merge_order() if order is None else order
+    df = df.withColumn("_order", merge_order() if order is None else order)
+    order = F.col("_order")
     has = lambda c: F.when(F.col(c).isNotNull(), order)
     has_unit = F.when(F.coalesce(F.col("unit"), F.lit("")) != "", order)
     lead = F.struct("id", "doc_id", "source_name", "sheet_name", "source_type", "confidence")

@@ -100,7 +100,7 @@ def monthly_wide(long: DataFrame, indicators, region: str = lx.TOTAL_REGION) ->
     for i, name in enumerate(indicators, 1):
         mine = F.col("indicator_name") == name
         cells += [
-            F.min_by(F.when(mine, F.col("value")), F.when(mine, F.struct("sheet_name", "value"))).alias(f"value_{i}"),
+            F.min_by("value", F.when(mine & F.col("value").isNotNull(), F.struct("sheet_name", "value"))).alias(f"value_{i}"),
             F.count(F.when(mine, 1)).alias(f"repeats_{i}"),
         ]
     return rows.groupBy("period").agg(*cells)

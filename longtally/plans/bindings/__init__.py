@@ -1,3 +1,3 @@
 """Query bindings: operators applied to the derived inputs."""
 
-from . import facts, governed, selection  # noqa: F401
+from . import audits, charts, facts, governed, selection  # noqa: F401

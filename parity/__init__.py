@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["selection", "facts", "governed"]
+MODULES = ["selection", "facts", "governed", "audits", "charts"]
 
 
 def load() -> dict[str, str]:
