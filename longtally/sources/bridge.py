@@ -363,6 +363,36 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed pages in the three container forms of a detail page, some with a workbook link."""
+    key = F.col("page_id")
+    link = F.when(key % 2 == 0, F.concat(F.lit('<a href="files/'), key.cast("string"), F.lit('.xlsx">附件</a>'))).otherwise(F.lit(""))
+    noise = F.lit("<p>版权所有 主办单位</p><p>GDP <span>2883</span><span>.5</span>亿元</p><br/>")
+    body = F.concat(link, noise, F.col("html"))
+    page = (
+        F.when(key % 3 == 0, F.concat(F.lit("<html><p>before</p><UCAPCONTENT>"), body, F.lit("</UCAPCONTENT><p>after</p></html>")))
+        .when(key % 3 == 1, F.concat(F.lit('<html><div class="wenz"><p>'), noise, F.lit("</p></div> </div><p>after</p>"), F.col("html")))
+        .otherwise(body)
+    )
+    return table(spark, sf_dir, "pages").select("page_id", page.alias("html"))
+
+
+def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed pages with a list box whose items carry dates, units and document numbers."""
+    key = F.col("page_id").cast("string")
+    month = (F.col("page_id") % 9 + 1).cast("string")
+    items = F.concat(
+        F.lit('<ul class="box infoList"><li class="item"><a href="/shaoyang/tjyb/20230'), month, F.lit("/"), key,
+        F.lit('.shtml">统计月报发布第'), key, F.lit('期</a><a href="/x">更多</a> 发布日期 2023-0'), month, F.lit("-1"), month,
+        F.lit(" 发文单位：邵阳市统计局 公开类别：统计信息 邵政办发〔2023〕"), key, F.lit("号</li>"),
+        F.lit('<li class="nav"><a href="http://www.stats.gov.cn/sj/t20240'), month, F.lit("15_"), key,
+        F.lit('.html">国家统计数据解读 '), key, F.lit("</a></li>"),
+        F.lit('<tr id="row"><td><a href="javascript:void(0)">无效链接文字</a></td><td><a href="#top">锚点链接</a></td></tr>'),
+        F.lit('<li><a href="detail/'), key, F.lit('.html">关于&nbsp;工作'), key, F.lit("的通知</a></li></ul>"),
+    )
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.col("html"), items).alias("html"))
+
+
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document texts with statistical sentences appended to each whole text."""
     key = F.col("doc_id")

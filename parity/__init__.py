@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["selection", "facts", "governed", "audits", "charts"]
+MODULES = ["selection", "facts", "governed", "audits", "charts", "extraction"]
 
 
 def load() -> dict[str, str]:
