@@ -14,7 +14,8 @@ from ..functions import text
 
 _N = lx.PROSE_LOOKBACK
 _ANCHOR = r"(增长|下降)(?:了)?\s*(-?\d+(?:\.\d+)?)\s*%"
-_WINDOWED = r"(?<=(^.{0,%d}|.{%d}))" % (_N - 1, _N) + _ANCHOR
+# the look-ahead comes first, so the look-behind is tried at anchors only
+_WINDOWED = r"(?=增长|下降)(?<=(^.{0,%d}|.{%d}))" % (_N - 1, _N) + _ANCHOR
 _AMOUNT = lx.PROSE_NUMBER_RE + r"\s*" + lx.PROSE_UNIT_RE
 _GENERIC = lx.PROSE_GENERIC_RE + _AMOUNT
 
