@@ -100,7 +100,7 @@ def decimal_places(c: Column) -> Column:
 
 def csv_list(c: Column) -> Column:
     """Comma list to array: trimmed, empty items dropped, first occurrence kept."""
-    items = F.transform(F.split(c, "[,，]"), F.trim)
+    items = F.transform(F.split(c, "[,，]"), lambda x: F.trim(x))
     return F.array_distinct(F.filter(items, lambda x: x != ""))
 
 

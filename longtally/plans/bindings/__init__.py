@@ -1,3 +1,3 @@
 """Query bindings: operators applied to the derived inputs."""
 
-from . import audits, charts, extraction, facts, governed, selection  # noqa: F401
+from . import activity, audits, charts, extraction, facts, governed, selection, taxonomy  # noqa: F401

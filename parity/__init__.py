@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["selection", "facts", "governed", "audits", "charts", "extraction"]
+MODULES = ["selection", "facts", "governed", "audits", "charts", "extraction", "taxonomy", "activity"]
 
 
 def load() -> dict[str, str]:
