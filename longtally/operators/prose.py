@@ -22,12 +22,15 @@ _GENERIC = lx.PROSE_GENERIC_RE + _AMOUNT
 
 def anchors(texts: DataFrame, column: str = "text") -> DataFrame:
     """One row per anchor: window before it, direction, percentage and position."""
-    flat = text.squash(F.col(column))
-    group = lambda i: F.regexp_extract_all(flat, F.lit(_WINDOWED), F.lit(i))
-    zipped = F.arrays_zip(group(1).alias("window"), group(2).alias("verb"), group(3).alias("percent"))
-    return texts.filter(flat.rlike(_ANCHOR)).select(
-        *[c for c in texts.columns if c != column], F.posexplode(zipped).alias("position", "a")
-    ).select(*[c for c in texts.columns if c != column], "position", "a.window", "a.verb", "a.percent")
+    carried = [c for c in texts.columns if c != column]
+    flat = texts.select(*carried, text.squash(F.col(column)).alias("_flat"))
+    group = lambda i: F.regexp_extract_all(F.col("_flat"), F.lit(_WINDOWED), F.lit(i))
+    zipped = F.arrays_zip(group(1).alias("window"), group(0).alias("anchor"))
+    found = flat.select(*carried, F.posexplode(zipped).alias("position", "a"))
+    return found.select(
+        *carried, "position", "a.window", F.substring("a.anchor", 1, 2).alias("verb"),
+        F.regexp_extract("a.anchor", r"(-?\d+(?:\.\d+)?)", 1).alias("percent"),
+    )
 
 
 def _known_name(window: Column) -> Column:
@@ -41,19 +44,20 @@ def _known_name(window: Column) -> Column:
 def named_values(found: DataFrame) -> DataFrame:
     """Name, value and unit for each window; windows without a usable name are dropped."""
     window = F.col("window")
-    last = lambda i: F.element_at(F.regexp_extract_all(window, F.lit(_AMOUNT), F.lit(i)), -1)
-    has_amount = F.size(F.regexp_extract_all(window, F.lit(_AMOUNT), F.lit(0))) > 0
-    number = F.when(has_amount, text.to_number(last(1)))
-    unit = F.when(has_amount, last(2))
-    other = F.regexp_replace(F.regexp_extract(window, _GENERIC, 1), r"[，。、,：:]+$", "")
+    amount = F.try_element_at(F.regexp_extract_all(window, F.lit(_AMOUNT), F.lit(0)), F.lit(-1))
+    rows = found.withColumns({
+        "_known": _known_name(window),
+        "_amount": F.when(window.rlike(_AMOUNT), amount),
+        "_generic": F.regexp_extract(window, _GENERIC, 0),
+    })
+    known = F.col("_known").isNotNull() & F.col("_amount").isNotNull()
+    other = F.regexp_replace(F.regexp_extract("_generic", _GENERIC, 1), r"[，。、,：:]+$", "")
     usable = (F.length(other) >= 2) & ~other.rlike(lx.PROSE_STOP_RE)
-    rows = found.withColumns({"_known": _known_name(window), "_number": number, "_unit": unit})
-    known = F.col("_known").isNotNull() & F.col("_number").isNotNull()
+    source = F.when(known, F.col("_amount")).when(usable, F.regexp_extract("_generic", _AMOUNT + "$", 0))
+    rows = rows.withColumns({"indicator_name": F.when(known, F.col("_known")).when(usable, other), "_source": source})
     return rows.withColumns({
-        "indicator_name": F.when(known, F.col("_known")).when(usable, other),
-        "value": F.when(known, F.col("_number")).otherwise(text.to_number(F.regexp_extract(window, _GENERIC, 2))),
-        "unit": F.when(known, F.col("_unit")).otherwise(F.regexp_extract(window, _GENERIC, 3)),
-    }).filter(F.col("indicator_name").isNotNull()).drop("_known", "_number", "_unit")
+        "value": text.to_number(F.regexp_extract("_source", _AMOUNT, 1)), "unit": F.regexp_extract("_source", _AMOUNT, 2),
+    }).filter(F.col("indicator_name").isNotNull()).drop("_known", "_amount", "_generic", "_source")
 
 
 def extract_indicators(texts: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:

@@ -40,74 +40,85 @@ def header_cells(cells: DataFrame) -> DataFrame:
     return head.withColumn("is_header", is_header)
 
 
-def column_roles(head: DataFrame) -> DataFrame:
-    """One row per header column: joined header, role and the column's own year."""
-    hdr = head.filter(F.col("is_header") & (F.col("col") >= 1))
-    joined = F.transform(F.sort_array(F.collect_list(F.struct("row", "text"))), lambda x: x["text"])
-    year = F.regexp_extract(text.no_space(F.col("text")), r"(20\d{2})年", 1)
-    cols = hdr.groupBy(*SHEET, "col").agg(
-        text.no_space(F.array_join(joined, "")).alias("header"),
-        F.min_by(year, F.when(year != "", F.col("row"))).alias("column_year"),
-    )
-    header = F.col("header")
-    role = (
-        F.when(text.contains_any(header, lx.RANK_WORDS), "rank")
-        .when(text.contains_any(header, lx.GROWTH_WORDS) & ~F.contains(header, F.lit("额")), "growth")
-        .otherwise("value")
-    )
-    cumulative = F.contains(header, F.lit("累计")) | F.contains(header, F.lit("本年"))
-    return cols.withColumn("role", role).withColumn("is_cumulative", cumulative)
+def header_columns(header: Column) -> Column:
+    """Array of header columns: joined header, own year, role and whether cumulative.
+
+    ``header`` is the sheet's sorted array of header cells; a column of the sheet is
+    one element, so all of this is array work without a shuffle.
+    """
+    columns = F.array_distinct(F.transform(F.filter(header, lambda x: x["col"] >= 1), lambda x: x["col"]))
+    with_year = r"20\d{2}年"
+
+    def joined(c):
+        texts = F.transform(F.filter(header, lambda x: x["col"] == c), lambda x: text.no_space(x["text"]))
+        years = F.filter(texts, lambda t: t.rlike(with_year))
+        return F.struct(
+            c.alias("col"), F.array_join(texts, "").alias("header"),
+            F.regexp_extract(F.get(years, F.lit(0)), r"(20\d{2})年", 1).alias("year"),
+        )
+
+    def judged(x):
+        h = x["header"]
+        role = (
+            F.when(h.rlike("|".join(lx.RANK_WORDS)), "rank")
+            .when(h.rlike("|".join(lx.GROWTH_WORDS)) & ~F.contains(h, F.lit("额")), "growth")
+            .otherwise("value")
+        )
+        return F.struct(x["col"].alias("col"), h.alias("header"), x["year"].alias("year"), role.alias("role"),
+                        h.rlike("累计|本年").alias("cumulative"))
+
+    return F.transform(F.transform(columns, joined), judged)
 
 
 def sheet_layout(cells: DataFrame) -> DataFrame:
-    """Decisions per sheet: title, period, value/growth/rank columns, unit, first data row."""
+    """Decisions per sheet: title, period, value/growth/rank columns, unit, first data row.
+
+    One shuffle: the header slice is gathered per sheet (at most twelve rows), the
+    rest is array expressions on that slice.
+    """
     head = header_cells(cells)
-    roles = column_roles(head)
     col, row, is_header = F.col("col"), F.col("row"), F.col("is_header")
-    place = F.struct("row", "col")
-    ordered = lambda keep: F.array_join(
-        F.transform(F.sort_array(F.collect_list(F.when(keep, F.struct("row", "col", "text")))), lambda x: x["text"]), " "
-    )
+    gathered = lambda keep: F.sort_array(F.collect_list(F.when(keep, F.struct("row", "col", "text"))))
     facts = head.groupBy(*SHEET).agg(
         F.min("doc_title").alias("doc_title"), F.min("doc_date").alias("doc_date"),
         F.min_by("text", F.when(col == 0, row)).alias("title"),
         F.max(F.when(is_header, row)).alias("last_header"),
-        text.no_space(ordered(is_header)).alias("_all"),
-        ordered(F.col("index") <= lx.UNIT_ROWS).alias("_units"),
+        gathered(is_header).alias("_header"), gathered(F.col("index") <= lx.UNIT_ROWS).alias("_first"),
     )
-    matrix = text.contains_any(F.col("_all"), lx.MATRIX_WORDS)
-    facts = facts.filter(F.col("last_header").isNotNull() & ~matrix)
-
-    cell_period = is_header & (col >= 1) & (F.col("text").rlike(_MONTHS_CELL))
-    years = roles.select(*SHEET, "col", "column_year")
-    found = (
-        head.filter(cell_period).join(years, [*SHEET, "col"])
-        .groupBy(*SHEET).agg(F.min_by(F.struct("text", "column_year"), place).alias("p"))
-    )
-    pick = lambda keep: F.min(F.when(keep, col))
-    is_value = F.col("role") == "value"
-    chosen = roles.groupBy(*SHEET).agg(
-        F.coalesce(pick(is_value & F.col("is_cumulative")), pick(is_value)).alias("value_col"),
-        pick(F.col("role") == "growth").alias("growth_col"), pick(F.col("role") == "rank").alias("rank_col"),
-    )
-    header_of = roles.select(*SHEET, F.col("col").alias("value_col"), F.col("header").alias("_value_header"))
-    out = facts.join(found, SHEET, "left").join(chosen, SHEET, "left").join(header_of, [*SHEET, "value_col"], "left")
-
+    words = lambda c: F.array_join(F.transform(c, lambda x: x["text"]), " ")
+    matrix = text.no_space(words(F.col("_header"))).rlike("|".join(lx.MATRIX_WORDS))
+    out = facts.filter(F.col("last_header").isNotNull() & ~matrix)
+    out = out.withColumn("_columns", header_columns(F.col("_header")))
+    stated_cell = F.filter("_header", lambda x: (x["col"] >= 1) & x["text"].rlike(_MONTHS_CELL))
+    smallest = lambda keep: F.array_min(F.transform(F.filter("_columns", keep), lambda x: x["col"]))
+    is_value = lambda x: x["role"] == "value"
+    out = out.withColumns({
+        "_p": F.get(stated_cell, F.lit(0)),
+        "value_col": F.coalesce(smallest(lambda x: is_value(x) & x["cumulative"]), smallest(is_value)),
+        "growth_col": smallest(lambda x: x["role"] == "growth"),
+        "rank_col": smallest(lambda x: x["role"] == "rank"),
+        "_units": words(F.col("_first")),
+    })
+    column = lambda c: F.get(F.filter("_columns", lambda x: x["col"] == c), F.lit(0))
     year = periods.year_from_title(F.col("doc_title"), F.col("doc_date")).cast("string")
-    own_year = F.regexp_extract(F.col("p.text"), r"^(20\d{2})", 1)
-    stated = periods.extraction_label(F.col("p.text"), F.coalesce(F.nullif(own_year, F.lit("")), F.col("p.column_year"), year))
+    own_year = F.regexp_extract(F.col("_p.text"), r"^(20\d{2})", 1)
+    blank = F.lit("")
+    out = out.withColumns({
+        "_value_header": column(F.col("value_col"))["header"], "_year": year,
+        "_p_year": F.coalesce(F.nullif(own_year, blank), F.nullif(column(F.col("_p.col"))["year"], blank), year),
+    })
     from_title = r"^(20\d{2})年(\d{1,2})月"
     title = F.trim("doc_title")
     fallback = F.when(
         title.rlike(from_title),
         F.concat(F.regexp_extract(title, from_title, 1), F.lit("年1-"), F.regexp_extract(title, from_title, 2), F.lit("月")),
-    ).otherwise(F.concat(year, F.lit("年")))
-    bracket = F.nullif(text.paren_unit(F.col("_value_header")), F.lit(""))
-    stated_unit = F.nullif(F.regexp_extract("_units", r"单位[：:]\s*([\x{4e00}-\x{9fa5}%a-zA-Z]+)", 1), F.lit(""))
+    ).otherwise(F.concat("_year", F.lit("年")))
+    bracket = F.nullif(text.paren_unit(F.col("_value_header")), blank)
+    stated_unit = F.nullif(F.regexp_extract("_units", r"单位[：:]\s*([\x{4e00}-\x{9fa5}%a-zA-Z]+)", 1), blank)
+    stated = periods.extraction_label(F.col("_p.text"), F.col("_p_year"))
     return out.select(
-        *SHEET, "title", F.when(F.col("p").isNotNull(), stated).otherwise(fallback).alias("period"),
-        "value_col", "growth_col", "rank_col", "last_header",
-        F.coalesce(bracket, stated_unit, F.lit("")).alias("unit"),
+        *SHEET, "title", F.when(F.col("_p").isNotNull(), stated).otherwise(fallback).alias("period"),
+        "value_col", "growth_col", "rank_col", "last_header", F.coalesce(bracket, stated_unit, blank).alias("unit"),
     )
 
 
