@@ -9,7 +9,6 @@ from ...sources import bridge as b
 from .. import rebuild
 from ..catalog import query
 
-ORDER = F.struct("year", "end", "start")
 
 
 def _values(spark, sf):
@@ -25,7 +24,7 @@ def conclude_trend(spark, sf):
 @query("conclude_trend_overall")
 def conclude_trend_overall(spark, sf):
     rows = _values(spark, sf).filter((F.col("region") == lx.TOTAL_REGION) & (F.col("indicator_name") == "地区生产总值"))
-    return i.conclude_trend(rows, "value", ORDER)
+    return i.conclude_trend(rows, "value", F.struct("year", "end", "start"))
 
 
 @query("conclude_top1")
