@@ -185,7 +185,7 @@ def standardise(raw: DataFrame, docs: DataFrame, rules: DataFrame | None = None,
     majors = _majors(rows).select("doc_id", "sheet_name", F.col("major_name").alias("_major"))
     rows = (
         rows.join(docs.select("doc_id", F.year("doc_date").alias("_year")), "doc_id", "left")
-        .join(usd_documents(raw).withColumn("_usd", F.lit(True)), "doc_id", "left")
+        .join(usd_documents(raw).withColumn("_usd", F.lit(True)), "doc_id", "left")  # placed by doc_id already
         .join(majors, ["doc_id", "sheet_name"], "left")
     )
     bare = F.replace(F.trim(F.col("region")), F.lit(" "), F.lit(""))

@@ -80,11 +80,16 @@ def _maxima(series_rows: DataFrame) -> DataFrame:
 
 
 def visible_series(series_rows: DataFrame, limit: int = lx.SHOWN_SERIES) -> DataFrame:
-    """Series shown by default: totals first, then by peak, up to the limit."""
+    """Series shown by default: totals first, then by peak, up to the limit.
+
+    The leading series come from a top-k, not from ranking every series.
+    """
     is_total = F.col("series").rlike(lx.TOTAL_SERIES_RE)
-    order = Window.orderBy(F.when(is_total, 0).otherwise(1), F.desc("peak"), "series")
-    return _maxima(series_rows).withColumn("_rank", F.row_number().over(order)).select(
-        "series", "peak", (is_total | (F.col("_rank") <= limit)).alias("shown")
+    peaks = _maxima(series_rows)
+    leading = peaks.orderBy(F.when(is_total, 0).otherwise(1), F.desc("peak"), "series").limit(limit)
+    leading = leading.select(F.col("series").alias("_s"))
+    return peaks.join(leading, F.col("series") == F.col("_s"), "left").select(
+        "series", "peak", (is_total | F.col("_s").isNotNull()).alias("shown")
     )
 
 

@@ -15,7 +15,7 @@ def sales_trend_by_date(spark, sf):
 
 @query("sales_by_region_channel")
 def sales_by_region_channel(spark, sf):
-    return op.totals(b.order_facts(spark, sf), ["region", "channel"], "sales_amount", "order_count")
+    return op.totals(b.order_facts_by_customer(spark, sf), ["region", "channel"], "sales_amount", "order_count")
 
 
 @query("user_profile")

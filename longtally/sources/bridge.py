@@ -30,14 +30,18 @@ def money(c: str | Column) -> Column:
 
 # --- demo facts -----------------------------------------------------------------
 
-def order_facts(spark: SparkSession, sf_dir: str, dimensions: bool = True) -> DataFrame:
-    """One row per order: date, count, amount and, on request, region and channel."""
-    orders = table(spark, sf_dir, "orders").select(
+def order_facts_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
         F.col("o_custkey"),
         F.to_date("o_orderdate").alias("order_date"),
         F.lit(1).cast("long").alias("order_count"),
         money("o_totalprice").alias("sales_amount"),
     )
+
+
+def order_facts(spark: SparkSession, sf_dir: str, dimensions: bool = True) -> DataFrame:
+    """One row per order: date, count, amount and, on request, region and channel."""
+    orders = order_facts_source(spark, sf_dir)
     if not dimensions:
         return orders.drop("o_custkey")
     return orders.join(customer_dims(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).select(
@@ -45,6 +49,20 @@ def order_facts(spark: SparkSession, sf_dir: str, dimensions: bool = True) -> Da
     )
 
 
+def order_facts_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order totals with region and channel, added up per customer before the join.
+
+    The aggregate leaves the rows placed by customer, so the join adds no shuffle
+    on this side and reads one row per customer instead of one per order.
+    """
+    orders = order_facts_source(spark, sf_dir).groupBy("o_custkey").agg(
+        F.sum("order_count").alias("order_count"), F.sum("sales_amount").alias("sales_amount")
+    )
+    return orders.join(customer_dims(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).select(
+        "region", "channel", "order_count", "sales_amount"
+    )
+
+
 def customer_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer -> region name, nation name and channel."""
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")

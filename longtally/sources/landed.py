@@ -77,38 +77,48 @@ def usable_href(href: Column) -> Column:
     return (href != "") & ~bad
 
 
-def page_links(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
-    """Usable links of every list item or table row, with the reasons against each."""
+def _items(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    """List items and table rows with their class/id signature and usable links."""
     items = pages.select(key, url, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(_CONTAINER), F.lit(0))).alias("item", "part"))
     opening = F.regexp_extract("part", r"(?s)^<[^>]*>", 0)
     attribute = lambda a: F.regexp_extract(opening, rf'(?is)\b{a}="([^"]*)"', 1)
-    items = items.withColumn("signature", F.concat_ws(" ", attribute("class"), attribute("id")))
     pair = F.arrays_zip(
         F.regexp_extract_all(F.col("part"), F.lit(_LINK), F.lit(1)).alias("href"),
         F.regexp_extract_all(F.col("part"), F.lit(_LINK), F.lit(2)).alias("label"),
     )
-    links = items.select("*", F.posexplode(pair).alias("link", "a")).select(
-        key, url, "item", "part", "signature", "link",
-        F.trim("a.href").alias("href"), text.squash(visible_text(F.col("a.label"))).alias("title"),
+    tidy = lambda x, i: F.struct(
+        i.alias("link"), F.trim(x["href"]).alias("href"), text.squash(visible_text(x["label"])).alias("title")
+    )
+    links = F.filter(F.transform(pair, tidy), lambda x: usable_href(x["href"]))
+    return items.select(
+        "*", F.concat_ws(" ", attribute("class"), attribute("id")).alias("signature"), links.alias("links")
     )
-    links = links.filter(usable_href(F.col("href")))
+
+
+def page_links(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
+    """Usable links of every list item or table row, with the reasons against each."""
+    links = _items(pages, key, url, html).select(key, "item", "signature", F.inline("links"))
     return links.withColumn("reasons", link_reasons(F.col("title"), F.col("href"), F.col("signature")))
 
 
 def list_records(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
-    """One record per item that keeps a link: the longest title wins, facts come from the item's text."""
-    kept = page_links(pages, key, url, html).filter(F.size("reasons") == 0)
-    best = F.max_by(F.struct("title", "href", url, "part"), F.struct(F.length("title").alias("a"), (-F.col("link")).alias("b")))
-    one = kept.groupBy(key, "item").agg(best.alias("b")).select(key, "item", "b.*")
-    body = text.squash(visible_text(F.regexp_replace("part", "<", " <")))
-    rows = one.withColumn("_text", body)
+    """One record per item that keeps a link: the longest title wins, facts come from the item's text.
+
+    The best link is chosen inside the item's link array, so pages never shuffle.
+    """
+    clean = F.filter("links", lambda x: F.size(link_reasons(x["title"], x["href"], F.col("signature"))) == 0)
+    ranked = F.transform(clean, lambda x: F.struct(
+        F.length(x["title"]).alias("n"), (-x["link"]).alias("first"), x["title"].alias("title"), x["href"].alias("href")))
+    rows = _items(pages, key, url, html).filter(F.size("links") > 0).withColumn("_best", F.array_max(ranked))
+    rows = rows.filter(F.col("_best").isNotNull())
+    rows = rows.withColumn("_text", text.squash(visible_text(F.regexp_replace("part", "<", " <"))))
     return rows.select(
-        key, "item", "title",
+        key, "item", F.col("_best.title").alias("title"),
         F.coalesce(text.first_match(F.col("_text"), lx.DOC_NO_RE, 0), F.lit("")).alias("doc_no"),
         F.coalesce(text.first_match(F.col("_text"), lx.PUBLISHER_LABEL_RE), F.lit("")).alias("publish_unit"),
         F.coalesce(text.first_match(F.col("_text"), lx.CATEGORY_LABEL_RE), F.lit("")).alias("category"),
         text.find_date(F.col("_text")).alias("publish_date"),
-        text.absolute_url(F.col(url), F.col("href")).alias("source_url"),
+        text.absolute_url(F.col(url), F.col("_best.href")).alias("source_url"),
         F.substring("_text", 1, 200).alias("summary"),
     )
 

@@ -70,21 +70,26 @@ def land_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def live_round_collapse(stream: DataFrame, turns_path: str, rounds_path: str, checkpoint: str) -> StreamingQuery:
+def live_round_collapse(
+    stream: DataFrame, turns_path: str, rounds_path: str, checkpoint: str, buckets: int = 256
+) -> StreamingQuery:
     """Keep collapsed rounds current for the sessions each batch touches.
 
-    Turns are landed per batch, then the rounds of the touched sessions are
-    recomputed from all landed turns and written under the batch number; readers
-    take the highest batch per session. Late turns are placed by their sequence
-    number, so they correct earlier rounds.
+    Turns are landed per batch and session bucket, then the rounds of the touched
+    sessions are recomputed from their landed turns and written under the batch
+    number; readers take the highest batch per session. The join on the bucket lets
+    Spark skip the folders of untouched buckets. Late turns are placed by their
+    sequence number, so they correct earlier rounds. A replayed batch overwrites
+    its own folders.
     """
 
     def update(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{turns_path}/batch={batch_id}")
-        turns = spark.read.parquet(turns_path)
-        touched = spark.read.parquet(f"{turns_path}/batch={batch_id}").select("session_id").distinct()
-        known = turns.filter(F.col("batch") <= batch_id).join(touched, "session_id", "left_semi")
+        bucket = F.pmod(F.hash("session_id"), F.lit(buckets))
+        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{turns_path}/batch={batch_id}")
+        turns = spark.read.parquet(turns_path).filter(F.col("batch") <= batch_id)
+        touched = turns.filter(F.col("batch") == batch_id).select("bucket", "session_id").distinct()
+        known = turns.join(touched, ["bucket", "session_id"], "left_semi")
         rounds = collapse_rounds(known.select("session_id", "seq", "question").distinct())
         rounds.write.mode("overwrite").parquet(f"{rounds_path}/batch={batch_id}")
 
