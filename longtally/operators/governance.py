@@ -98,32 +98,40 @@ def alias_dictionary(audit: DataFrame, column: str = "indicator_name") -> DataFr
     )
 
 
-def usd_documents(raw: DataFrame) -> DataFrame:
-    """Documents that publish trade figures in US dollars."""
+def _trade_in_dollars() -> Column:
     name = F.col("indicator_name")
     trade = F.contains(name, F.lit("出口")) | F.contains(name, F.lit("进口"))
     dollars = F.contains(name, F.lit("万美元")) | (F.trim(F.coalesce("unit", F.lit(""))) == "万美元")
-    return raw.filter(trade & dollars).select("doc_id").distinct()
+    return trade & dollars
+
+
+def usd_documents(raw: DataFrame) -> DataFrame:
+    """Documents that publish trade figures in US dollars."""
+    return raw.filter(_trade_in_dollars()).select("doc_id").distinct()
 
 
 def sheet_major(raw: DataFrame) -> DataFrame:
     """(document, sheet) -> its only ordinary indicator name, where there is just one."""
     rules = name_rules(raw.select("sheet_name", "indicator_name").distinct())
-    return _majors(raw.join(rules, ["sheet_name", "indicator_name"])).select(
-        "doc_id", "sheet_name", F.col("ind").alias("major")
-    )
+    facts = _sheet_facts(raw.join(rules, ["sheet_name", "indicator_name"]))
+    return facts.filter(F.col("major").isNotNull()).select("doc_id", "sheet_name", "major")
 
 
-def _majors(rows: DataFrame) -> DataFrame:
-    """Majors from rows that carry their name rules.
+def _sheet_facts(rows: DataFrame) -> DataFrame:
+    """Per (document, sheet): its only ordinary name, if there is one, and whether it trades in dollars.
 
     "Only one" is min == max, so no set of names is ever collected.
     """
     ordinary = F.col("block_name").isNull() & F.col("row_region").isNull() & ~F.col("is_rank")
-    return (
-        rows.filter(ordinary).groupBy("doc_id", "sheet_name")
-        .agg(F.min("ind").alias("ind"), F.max("ind").alias("_last"), F.min("ind_canonical").alias("major_name"))
-        .filter(F.col("ind") == F.col("_last")).drop("_last")
+    own = F.when(ordinary, F.col("ind"))
+    facts = rows.groupBy("doc_id", "sheet_name").agg(
+        F.min(own).alias("ind"), F.max(own).alias("_last"),
+        F.min(F.when(ordinary, F.col("ind_canonical"))).alias("_name"),
+        F.max(F.when(_trade_in_dollars(), 1).otherwise(0)).alias("_dollars"),
+    )
+    single = F.col("ind") == F.col("_last")
+    return facts.select(
+        "doc_id", "sheet_name", F.when(single, F.col("ind")).alias("major"), F.when(single, F.col("_name")).alias("_major"), "_dollars"
     )
 
 
@@ -182,12 +190,15 @@ def standardise(raw: DataFrame, docs: DataFrame, rules: DataFrame | None = None,
     if rules is None:
         rules = name_rules(raw.select("sheet_name", "indicator_name").distinct())
     rows = raw.join(rules, ["sheet_name", "indicator_name"])
-    majors = _majors(rows).select("doc_id", "sheet_name", F.col("major_name").alias("_major"))
-    rows = (
-        rows.join(docs.select("doc_id", F.year("doc_date").alias("_year")), "doc_id", "left")
-        .join(usd_documents(raw).withColumn("_usd", F.lit(True)), "doc_id", "left")  # placed by doc_id already
-        .join(majors, ["doc_id", "sheet_name"], "left")
+    # sheet and document facts meet on the small (document, sheet) table, so the rows
+    # themselves are shuffled once
+    sheets = _sheet_facts(rows).drop("major")
+    usd = sheets.groupBy("doc_id").agg(F.max("_dollars").alias("_doc_dollars"))
+    dated = docs.select("doc_id", F.year("doc_date").alias("_year"))
+    facts = sheets.join(usd, "doc_id").join(dated, "doc_id", "left").select(
+        "doc_id", "sheet_name", "_major", (F.col("_doc_dollars") == 1).alias("_usd"), "_year"
     )
+    rows = rows.join(facts, ["doc_id", "sheet_name"], "left")
     bare = F.replace(F.trim(F.col("region")), F.lit(" "), F.lit(""))
     ind, major = F.col("ind"), F.col("_major")
     mode = (
