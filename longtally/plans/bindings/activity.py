@@ -119,7 +119,13 @@ def dictionary_ingest(spark, sf):
 
 def _events(spark, sf):
     stream = live.file_stream(spark, sf, b.table(spark, sf, "events"), files="events.parquet")
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    # zone-less times are read as UTC whatever the session zone is
+    here = F.convert_timezone(F.lit("UTC"), F.current_timezone(), "ts")
+    return stream.withColumn("ts", here.cast("timestamp"))
+
+
+def _utc(column):
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(column).cast("timestamp_ntz")).alias(column)
 
 
 def _run(spark, stream, label):
@@ -131,7 +137,7 @@ def _run(spark, stream, label):
 @query("stream_daily_counts")
 def stream_daily_counts(spark, sf):
     counts = live.publication_counts(_events(spark, sf), "ts", "1 day", "1 day", "event_type")
-    return _run(spark, counts, "daily-counts").select("window_start", "event_type", "n")
+    return _run(spark, counts, "daily-counts").select(_utc("window_start"), "event_type", "n")
 
 
 @query("stream_new_documents")
@@ -143,7 +149,7 @@ def stream_new_documents(spark, sf):
 @query("stream_alerts")
 def stream_alerts(spark, sf):
     alerts = live.sanity_alerts(_events(spark, sf), "ts", "value", 1.0, 250.0, "6 hours", "1 day")
-    return _run(spark, alerts, "alerts")
+    return _run(spark, alerts, "alerts").select(_utc("window_start"), "n", "missing", "suspect")
 
 
 @query("stream_collapsed_rounds")
