@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import lexicon as lx
+from .text import bind
 
 # --- fixed values: label formats ---
 FULL_RE = r"^(\d{4})\s*年\s*(\d{1,2})\s*[-－]\s*(\d{1,2})\s*月(累计)?$"
@@ -166,8 +167,12 @@ def granularity(c: Column) -> Column:
     )
 
 
-def _chinese_number(c: Column) -> Column:
+def _chinese_number(text: Column) -> Column:
     """Arabic or Chinese numeral (1-99) to int; 0 where it is not one."""
+    return bind(text, _numeral)
+
+
+def _numeral(c: Column) -> Column:
     digit = F.lit(None).cast("int")
     for char, n in lx.CHINESE_DIGITS.items():
         digit = F.when(c == char, F.lit(n)).otherwise(digit)
@@ -190,18 +195,24 @@ def _chinese_number(c: Column) -> Column:
 
 def time_range(c: Column) -> Column:
     """First time-range phrase as "近N单位" or "YYYY年"; null without one."""
-    number = _chinese_number(F.regexp_extract(c, lx.TIME_RANGE_RE, 1))
-    raw = F.regexp_extract(c, lx.TIME_RANGE_RE, 2)
-    unit = (
-        F.when(raw == "个月", F.lit("月")).when(raw == "星期", F.lit("周")).when(raw == "日", F.lit("天")).otherwise(raw)
-    )
-    absolute = (unit == "年") & number.between(1000, 2999)
-    return (
-        F.when((raw == "") | (number <= 0), F.lit(None).cast("string"))
-        .when(absolute, F.concat(number.cast("string"), F.lit("年")))
-        .otherwise(F.concat(F.lit("近"), number.cast("string"), unit))
+    found = F.struct(
+        _chinese_number(F.regexp_extract(c, lx.TIME_RANGE_RE, 1)).alias("number"),
+        F.regexp_extract(c, lx.TIME_RANGE_RE, 2).alias("raw"),
     )
 
+    def phrase(p):
+        number, raw = p["number"], p["raw"]
+        unit = (
+            F.when(raw == "个月", F.lit("月")).when(raw == "星期", F.lit("周")).when(raw == "日", F.lit("天")).otherwise(raw)
+        )
+        return (
+            F.when((raw == "") | (number <= 0), F.lit(None).cast("string"))
+            .when((unit == "年") & number.between(1000, 2999), F.concat(number.cast("string"), F.lit("年")))
+            .otherwise(F.concat(F.lit("近"), number.cast("string"), unit))
+        )
+
+    return bind(found, phrase)
+
 
 def growth_percent(current: Column, previous: Column) -> Column:
     """Change against the previous value in percent, two digits; null on zero or null."""

@@ -9,6 +9,11 @@ from pyspark.sql import Column, functions as F
 from .. import lexicon as lx
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squash(c: Column) -> Column:
     """Collapse white space to one blank and trim.
 

@@ -25,7 +25,10 @@ def hits(question: Column, words) -> Column:
 
 def intent(question: Column) -> Column:
     """struct(code, confidence, keywords) of the first rule with a keyword hit."""
-    q = F.lower(question)
+    return text.bind(F.lower(question), _first_intent)
+
+
+def _first_intent(q: Column) -> Column:
     general = F.struct(
         F.lit(lx.GENERAL_INTENT).alias("code"), F.lit(lx.GENERAL_CONFIDENCE).alias("confidence"),
         F.array().cast("array<string>").alias("keywords"),
@@ -53,11 +56,15 @@ def indicators(question: Column) -> Column:
 
     "出口" counts alone only outside "进出口" and "出口交货值".
     """
-    q = F.lower(question)
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in lx.question_indicator_pairs()])
-    alone = q.rlike(lx.EXPORT_ALONE_RE)
-    found = F.filter(pairs, lambda p: F.when(p["k"] == "出口", alone).otherwise(F.contains(q, p["k"])))
-    return F.array_distinct(F.transform(found, lambda p: p["v"]))
+
+    def named(q):
+        found = F.filter(
+            pairs, lambda p: F.when(p["k"] == "出口", q.rlike(lx.EXPORT_ALONE_RE)).otherwise(F.contains(q, p["k"]))
+        )
+        return F.array_distinct(F.transform(found, lambda p: p["v"]))
+
+    return text.bind(F.lower(question), named)
 
 
 def is_snapshot(question: Column) -> Column:
