@@ -73,3 +73,13 @@ def test_new_documents_once(spark):
     path = workspace.new_path(spark, "docs")
     live.append_to(live.new_documents(stream, "k", "ts"), path, workspace.new_path(spark, "cp")).awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(path).collect()) == ["a", "b"]
+
+
+def test_split_by_source_and_csv(spark):
+    df = spark.createDataFrame([(1, "XLSX"), (2, "BULLETIN"), (3, "XLSX")], "id int, source_type string")
+    path = workspace.new_path(spark, "split")
+    stores.write_by_source(df, path)
+    assert [r.id for r in spark.read.parquet(f"{path}/source_type=BULLETIN").collect()] == [2]
+    out = workspace.new_path(spark, "csv")
+    stores.write_csv(df, out)
+    assert sorted(spark.read.option("header", True).csv(out).columns) == ["id", "source_type"]
