@@ -107,15 +107,13 @@ def merged_clean_table(spark, sf):
 
 @query("merge_conflicts")
 def merge_conflicts(spark, sf):
-    rows = rebuild.kept(spark, sf)
-    return merge.merge_conflicts(rows, merge.merge_with_priority(rows)).select(
+    return merge.find_conflicts(rebuild.kept(spark, sf)).select(
         "period", "region", "indicator_name", "id", "measure", "kept", "other", "scope")
 
 
 @query("conflict_report")
 def conflict_report(spark, sf):
-    rows = rebuild.kept(spark, sf)
-    return merge.conflict_report(merge.merge_conflicts(rows, merge.merge_with_priority(rows)))
+    return merge.conflict_report(merge.find_conflicts(rebuild.kept(spark, sf)))
 
 
 @query("recalibrated_rows")

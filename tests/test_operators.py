@@ -60,6 +60,7 @@ def test_priority_merge_equals_brute_force(spark):
     got = {(r.period, r.region, r.indicator_name): (r.value, r.growth_rate, r.unit, r.doc_id) for r in merged.collect()}
     assert got == want
     assert merge.merge_conflicts(df, merged).count() == conflicts
+    assert merge.find_conflicts(df).count() == conflicts
 
 
 def test_canonical_names(spark):
