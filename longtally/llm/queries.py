@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, decontaminate, mixing, sharding, url_filter
-from .common import table
+from . import archive, decontaminate, mixing, sharding, simhash, url_filter
+from .common import new_path, stored, table
 
 URL_RULES = [
     url_filter.Rule("org", "/", "allow"),
@@ -34,8 +34,6 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import new_path
-
     captures = table(spark, sf_dir, "pages").select(
         "page_id", "url", F.col("html").alias("payload"),
         F.date_format(F.timestamp_seconds(F.col("page_id") + 1_600_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured_at"),
@@ -54,6 +52,14 @@ def karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = stored(simhash.fingerprinted(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "simhash-marks")
+    groups = simhash.near_duplicates(marked)
+    return marked.join(groups, "fingerprint").select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": benchmark_decontamination,
     "op4_warc_archive": warc_archive,
     "op5_karmarkar_karp_sharding": karmarkar_karp_sharding,
+    "op6_simhash_near_dedup": simhash_near_dedup,
     "op10_entropy_mixing": entropy_mixing,
 }
 SQL: dict[str, str] = {}
