@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, decontaminate, mixing, sharding, simhash, spans, url_filter
+from . import archive, decontaminate, mixing, nearest, sharding, simhash, spans, url_filter
 from .common import new_path, stored, table
 
 URL_RULES = [
@@ -60,6 +60,10 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeats(table(spark, sf_dir, "documents")).drop("text").withColumnRenamed("kept_text", "text")
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc_archive": warc_archive,
     "op5_karmarkar_karp_sharding": karmarkar_karp_sharding,
     "op6_simhash_near_dedup": simhash_near_dedup,
+    "op7_multiprobe_neighbours": multiprobe_neighbours,
     "op8_sentence_span_dedup": sentence_span_dedup,
     "op10_entropy_mixing": entropy_mixing,
 }
