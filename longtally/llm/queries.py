@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, decontaminate, mixing, nearest, sharding, simhash, spans, url_filter
+from . import archive, decontaminate, mixing, nearest, sharding, simhash, spans, toxicity, url_filter
 from .common import new_path, stored, table
 
 URL_RULES = [
@@ -68,6 +68,14 @@ def sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeats(table(spark, sf_dir, "documents")).drop("text").withColumnRenamed("kept_text", "text")
 
 
+def weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_near_dedup": simhash_near_dedup,
     "op7_multiprobe_neighbours": multiprobe_neighbours,
     "op8_sentence_span_dedup": sentence_span_dedup,
+    "op9_weak_toxicity": weak_toxicity,
     "op10_entropy_mixing": entropy_mixing,
 }
 SQL: dict[str, str] = {}
