@@ -5,7 +5,7 @@ patterns. None is trusted. A generative label model says how often each voter fi
 on clean texts, given the voter it is most correlated with: a tree over the voters for each
 class, found by conditional mutual information. It is fitted by expectation maximisation on the
 votes of all documents, with the labels of the sample held fixed. Its posterior for a text, from
-votes alone, is the label on which a linear classifier over word stems is trained.
+votes alone, is the label on which a linear classifier over traits of word stems is trained.
 
 Labels come from a bounded sample of labelled rows (``LABELLED_ROWS``), and only from rows that
 are not held out. Votes and their statistics cover all documents.
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import cycle
 
 import numpy as np
@@ -28,8 +28,8 @@ from .common import crc_mod, stored
 
 #: At most so many labelled rows are used: those with the smallest hash of their id.
 LABELLED_ROWS = 20_000
-#: Stems that the classifier weighs at most, and mined lexicons of toxic stems.
-STEMS, MINED = 2048, 16
+#: Mined traits that the classifier weighs at most, and mined lexicons of toxic traits.
+TRAITS, MINED = 4096, 16
 STEM_BYTES = (3, 4, 5, 6, 7, 8)
 LONGEST_WORD = 32
 EM_STEPS, THRESHOLD = 6, 0.3
@@ -55,49 +55,72 @@ PATTERNS = [
 PATTERN_REACH = 1 << 16  # patterns run on pieces of so many bytes, overlapping, so a long text costs no more memory
 
 
-def _words(text: bytes | None) -> set[bytes]:
-    return {w for w in (text or b"").translate(_LETTERS).split() if len(w) >= 3}
+def _words(text: bytes | None) -> list[bytes]:
+    """Words in lower case, cut at all ASCII but letters."""
+    return (text or b"").decode("utf-8", "replace").lower().encode().translate(_LETTERS).split()
 
 
 def _stems(word: bytes) -> Iterator[bytes]:
     """The word in full, ended by a blank, and its first bytes as stems."""
-    if len(word) <= LONGEST_WORD:
+    if 3 <= len(word) <= LONGEST_WORD:
         yield word + b" "
     for n in STEM_BYTES:
         if n <= len(word):
             yield word[:n]
 
 
-def stems(text: bytes | None) -> set[bytes]:
-    return {s for w in _words(text) for s in _stems(w)}
+def traits(text: bytes | None, known: dict[bytes, list[bytes]] | None = None) -> set[bytes]:
+    """What is true of a text's stems: occurs (stem + 1), twice (2), three times (3), twice and in every fiftieth
+    word (%). ``known`` limits the stems looked at."""
+    words = _words(text)
+    counts: dict[bytes, int] = {}
+    for word, n in Counter(words).items():
+        for stem in _stems(word):
+            if known is None or stem in known:
+                counts[stem] = counts.get(stem, 0) + n
+    found = set()
+    for stem, n in counts.items():
+        found.add(stem + b"1")
+        if n >= 2:
+            found.add(stem + b"2")
+            if n >= 3:
+                found.add(stem + b"3")
+            if 50 * n >= len(words):
+                found.add(stem + b"%")
+    return found
+
+
+def _by_stem(wanted: Iterable[bytes]) -> dict[bytes, list[bytes]]:
+    stems: dict[bytes, list[bytes]] = {}
+    for trait in wanted:
+        stems.setdefault(trait[:-1], []).append(trait)
+    return stems
 
 
 class Voters:
-    """Votes of a text as bits; ``mined`` are toxic stems, best first, and ``clean`` are stems of clean texts."""
+    """Votes of a text as bits; ``mined`` are traits of toxic texts, best first, ``clean`` those of clean texts."""
 
     def __init__(self, mined: list[bytes], clean: list[bytes]):
-        self.of_stem: dict[bytes, int] = {}
+        self.of: dict[bytes, int] = {}
         at = 0
         for words in LEXICONS.values():
             for w in words:
-                self.of_stem[w.encode() + b" "] = 1 << at
+                self.of[w.encode() + b" 1"] = 1 << at
             at += 1
-        for stem, n in zip(mined, cycle(range(MINED))):  # noqa: B905
-            self.of_stem[stem] = self.of_stem.get(stem, 0) | 1 << (at + n)
+        for trait, n in zip(mined, cycle(range(MINED))):  # noqa: B905
+            self.of[trait] = self.of.get(trait, 0) | 1 << (at + n)
         at += MINED
-        for stem, n in zip(clean, cycle(range(4))):  # noqa: B905
-            self.of_stem[stem] = self.of_stem.get(stem, 0) | 1 << (at + n)
+        for trait, n in zip(clean, cycle(range(4))):  # noqa: B905
+            self.of[trait] = self.of.get(trait, 0) | 1 << (at + n)
         at += 4
         self.first_pattern = at
         self.count = at + len(PATTERNS)
-        self.toxic_mask = (1 << (len(LEXICONS) + MINED)) - 1
+        self.stems = _by_stem(self.of)
 
     def votes(self, text: bytes | None) -> int:
         bits = 0
-        get = self.of_stem.get
-        for word in _words(text):
-            for stem in _stems(word):
-                bits |= get(stem, 0)
+        for trait in traits(text, self.stems):
+            bits |= self.of.get(trait, 0)
         for n, pattern in enumerate(PATTERNS):
             if any(pattern.search(text, low, low + PATTERN_REACH) for low in range(0, len(text or b""), PATTERN_REACH // 2)):
                 bits |= 1 << (self.first_pattern + n)
@@ -160,17 +183,15 @@ class LabelModel:
 
 
 class Model:
-    """Weights of the stems; ``score`` is a probability."""
+    """Weights of traits; ``score`` is a probability."""
 
     def __init__(self, vocabulary: list[bytes], weights: np.ndarray, bias: float):
         self.number = {s: i for i, s in enumerate(vocabulary)}
+        self.stems = _by_stem(vocabulary)
         self.weights, self.bias = weights, bias
 
     def present(self, text: bytes | None) -> list[int]:
-        get = self.number.get
-        found = {get(s) for w in _words(text) for s in _stems(w)}
-        found.discard(None)
-        return sorted(found)
+        return sorted(self.number[t] for t in traits(text, self.stems) if t in self.number)
 
     def score(self, text: bytes | None) -> float:
         found = self.present(text)
@@ -205,17 +226,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _mined(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
-    """Stems that tell toxic from clean texts: (toxic, best first; clean, best first), counted over the whole sample.
+    """Traits that tell toxic from clean texts: (toxic, best first; clean, best first), counted over the whole sample.
 
-    A stem counts once per text. It must tell the classes apart in both halves of the sample, so that chance
-    finds among very many stems do not pass.
+    A trait counts once per text. It must tell the classes apart in both halves of the sample, so that chance
+    finds among very many traits do not pass.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in batches:
             for text, toxic, half in zip(batch.column(0).cast(pa.large_binary()), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found.update((s, 2 * half + toxic) for s in stems(text.as_py()))
+                found.update((t, 2 * half + toxic) for t in traits(text.as_py()))
             if len(found) > 1_000_000:
                 yield from flushed(found)
                 found = Counter()
@@ -239,8 +260,8 @@ def _mined(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
     pooled = (total[0] + total[1]) / float(max(1, sum(sizes.values())))
     spread = F.sqrt(pooled * (1 - pooled) * sum(1.0 / max(1, sizes.get((0, y), 0) + sizes.get((1, y), 0)) for y in (0, 1)) + 1e-12)
     judged = counts.select("stem", F.least(*odds).alias("low"), F.greatest(*odds).alias("high"), ((share[1] - share[0]) / spread).alias("z"), total[1].alias("in_toxic"))
-    toxic = judged.where("z > 6 AND low > 1.5 AND in_toxic >= 4").orderBy(F.desc("z"), "stem").limit(STEMS * 3 // 4)
-    clean = judged.where("z < -4 AND high < -0.3").orderBy("z", "stem").limit(STEMS // 4)
+    toxic = judged.where("z > 6 AND low > 1.5 AND in_toxic >= 4").orderBy(F.desc("z"), "stem").limit(TRAITS * 3 // 4)
+    clean = judged.where("z < -4 AND high < -0.3").orderBy("z", "stem").limit(TRAITS // 4)
     return [bytes(r["stem"]) for r in toxic.collect()], [bytes(r["stem"]) for r in clean.collect()]
 
 
@@ -276,7 +297,7 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     votes = stored(every.groupBy("votes", "toxic").agg(F.sum("n").alias("n")), "toxicity-votes")
     model = LabelModel(voters.count)
     if votes.where("toxic >= 0").isEmpty():
-        lexicon = [s for s in voters.of_stem if s.endswith(b" ")]
+        lexicon = [t for t in voters.of if t.endswith(b" 1")]
         return Model(lexicon, np.full(len(lexicon), 3.0), -3.0)
 
     def expected(step: int):
@@ -302,7 +323,7 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
         flat = np.array([r["value"] for r in sums])
         model.maximise(flat[:2], flat[2:].reshape(2, voters.count, voters.count))
 
-    vocabulary = list(dict.fromkeys([*(s for s in voters.of_stem if s.endswith(b" ")), *mined, *clean]))
+    vocabulary = list(dict.fromkeys([*(t for t in voters.of if t.endswith(b" 1")), *mined, *clean]))
     blank = Model(vocabulary, np.zeros(len(vocabulary)), 0.0)
 
     def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +332,7 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
             target = model.posterior(np.array([voters.votes(t) for t in texts], np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([blank.present(t) for t in texts], pa.list_(pa.int32())), pa.array(target)], ["stems", "target"])
 
-    # Bounded: LABELLED_ROWS rows of at most STEMS numbers.
+    # Bounded: LABELLED_ROWS rows of at most TRAITS numbers.
     lessons = sample.select("text").mapInArrow(taught, "stems array<int>, target double").collect()
     target = np.clip(np.array([r["target"] for r in lessons]), 0.002, 0.998)
     return Model(vocabulary, *_logistic([r["stems"] for r in lessons], target, len(vocabulary)))
