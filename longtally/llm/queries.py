@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, decontaminate, mixing, nearest, sharding, simhash, spans, toxicity, url_filter
+from . import archive, decontaminate, language_model, mixing, nearest, sharding, simhash, spans, toxicity, url_filter
 from .common import new_path, stored, table
 
 URL_RULES = [
@@ -33,6 +33,11 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def recurrent_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_model.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~language_model.held_out())
+    return scored.select("doc_id", language_model.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = table(spark, sf_dir, "pages").select(
         "page_id", "url", F.col("html").alias("payload"),
@@ -84,6 +89,7 @@ def entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filters,
+    "op2_recurrent_lm_scores": recurrent_lm_scores,
     "op3_benchmark_decontamination": benchmark_decontamination,
     "op4_warc_archive": warc_archive,
     "op5_karmarkar_karp_sharding": karmarkar_karp_sharding,
