@@ -147,11 +147,11 @@ def mixed(rows: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
     return out.drop("floor", "fraction", "draw", "fine", "coarse", "edge", "base", "need", "up")
 
 
-def mix(documents: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, text: str = "text", prior: str | None = None) -> DataFrame:
+def mix(documents: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, text: str = "text", prior: str | None = None, carry: tuple = ()) -> DataFrame:
     """(doc_id, source, size, prior, source_size, target, rate, copies, taken) of every row of ``documents``.
 
     ``size`` counts words (a null text has none). ``prior`` names a column of positive rates to stay close to
-    (default 1 for all; null or not positive counts as 1). Documents without words get whole copies by their
+    (default 1 for all; null or not positive counts as 1); ``carry`` names columns to keep. Documents without words get whole copies by their
     rate and take no words. Null ids and sources are kept; a null source is a source of its own. An empty
     table gives no rows.
     """
@@ -159,9 +159,21 @@ def mix(documents: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, text:
         raise ValueError("cap must be a positive number")
     own = F.col(prior).cast("double") if prior else F.lit(1.0)
     rows = stored(documents.select(
-        "doc_id", "source", word_count(F.col(text)).alias("size"), F.when(own > 0, own).otherwise(1.0).alias("prior"),
+        "doc_id", "source", word_count(F.col(text)).alias("size"), F.when(own > 0, own).otherwise(1.0).alias("prior"), *carry,
     ), "mix-rows")
     sources = checkpointed(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     targets = checkpointed(capped_targets(checkpointed(cyclic_weights(sources, weights)), cap))
     sizes = targets.select(F.col("source").alias("of"), "source_size")
     return mixed(rows, targets, cap).join(sizes, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+
+
+def mixed_documents(documents: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, text: str = "text") -> DataFrame:
+    """The documents, each as often as the mix takes it (documents without words by their rate), with their own columns.
+
+    Every row is numbered where it is first written, so rows that repeat each other are mixed one by one.
+    """
+    columns = documents.columns
+    numbered = stored(documents.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
+    copies = mix(numbered, weights, cap, text, carry=("_row",)).where("copies > 0").select("_row", F.col("copies").cast("int").alias("_copies"))
+    taken = numbered.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return taken.select(*(f"`{c}`" for c in columns))
