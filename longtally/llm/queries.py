@@ -99,4 +99,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_weak_toxicity": weak_toxicity,
     "op10_entropy_mixing": entropy_mixing,
 }
-SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+_BY_LENGTH = sorted(URL_RULES, key=lambda r: -len(r.name))
+_ITEM_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_LOWER.format("coalesce(text, '')"))
+
+SQL: dict[str, str] = {
+    "op1_url_filters": f"""
+        WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (
+            SELECT page_id, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1)")} AS host,
+                regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path
+            FROM u
+        )
+        SELECT page_id, host, path,
+            CASE {" ".join(f"WHEN {_FITS.format(r.host, r.path)} THEN '{r.name}'" for r in _BY_LENGTH)} END AS rule,
+            CASE {" ".join(f"WHEN {_FITS.format(r.host, r.path)} THEN '{r.verdict}'" for r in _BY_LENGTH)} ELSE 'allow' END AS verdict
+        FROM p
+    """,
+    "op3_benchmark_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS ws FROM documents),
+        b AS (SELECT item_id, {_ITEM_WORDS} AS ws FROM benchmark),
+        starts AS (SELECT item_id, ws, least(10, len(ws)) AS m, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0),
+        windows AS (SELECT DISTINCT item_id, m, array_to_string(ws[i:i + m - 1], ' ') AS s FROM starts),
+        places AS (
+            SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i
+            FROM d, (SELECT DISTINCT m FROM windows) WHERE len(ws) >= m
+        ),
+        hits AS (
+            SELECT p.doc_id, p.i, p.m, w.item_id FROM places p JOIN windows w ON p.m = w.m AND array_to_string(p.ws[p.i:p.i + p.m - 1], ' ') = w.s
+        ),
+        covered AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS at FROM hits) GROUP BY doc_id),
+        items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+            CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id
+    """,
+    "op4_warc_archive": """
+        WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT p.page_id, payload_bytes, p.payload_digest,
+            CASE WHEN first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN first_id <> p.page_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 100
+    """,
+}
