@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import lexicon as lx
-from .text import bind
+from .text import bind, no_space
 
 # --- fixed values: label formats ---
 FULL_RE = r"^(\d{4})\s*年\s*(\d{1,2})\s*[-－]\s*(\d{1,2})\s*月(累计)?$"
@@ -72,7 +72,7 @@ def standard_label(c: Column, default_year: Column, accept_year_only: bool = Fal
 
 def extraction_label(c: Column, year: Column) -> Column:
     """Period cell of a sheet header, completed with the year when it has none."""
-    s = F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
+    s = no_space(F.coalesce(c, F.lit("")))
     known = r"^(20\d{2})?年?(\d{1,2}(?:-\d{1,2})?月)?$"
     y, months = F.regexp_extract(s, known, 1), F.regexp_extract(s, known, 2)
     year_label = F.concat(year.cast("string"), F.lit("年"))

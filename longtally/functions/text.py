@@ -14,16 +14,31 @@ def bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: White space as Unicode has it; Java's ``\s`` alone takes ASCII blanks only.
+OTHER_BLANKS = r"\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+BLANK = rf"[\s{OTHER_BLANKS}]"
+
+
 def squash(c: Column) -> Column:
-    """Collapse white space to one blank and trim.
+    """Collapse white space, full-width blanks included, to one blank and trim.
 
     Single blanks, by far the most common case, are left untouched by the pattern.
     """
+    return F.trim(F.regexp_replace(c, rf"(?:[\t-\r{OTHER_BLANKS}]| (?={BLANK})){BLANK}*", " "))
+
+
+def squash_ascii(c: Column) -> Column:
+    """The same for ASCII white space only."""
     return F.trim(F.regexp_replace(c, r"(?:[^\S ]| (?=\s))\s*", " "))
 
 
 def no_space(c: Column) -> Column:
-    return F.regexp_replace(c, r"\s+", "")
+    return F.regexp_replace(c, BLANK + "+", "")
+
+
+def trim_blanks(c: Column) -> Column:
+    """Drop white space of any kind at both ends."""
+    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+$", "")
 
 
 def contains_any(c: Column, words) -> Column:
@@ -32,14 +47,14 @@ def contains_any(c: Column, words) -> Column:
 
 
 def strip_tags(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"<[^>]+>|\s+", " "))
+    return F.trim(F.regexp_replace(c, rf"<[^>]+>|{BLANK}+", " "))
 
 
 def clean_title_numbering(c: Column) -> Column:
     """Drop numbering such as "一、" or "（一）" and edge punctuation."""
     c = F.regexp_replace(squash(c), r"^[一二三四五六七八九十]+、", "")
     c = F.regexp_replace(c, r"^[（(][一二三四五六七八九十]+[)）]", "")
-    return F.regexp_replace(c, r"^[\s:：\-—]+|[\s:：\-—]+$", "")
+    return F.regexp_replace(c, rf"^[\s{OTHER_BLANKS}:：\-—]+|[\s{OTHER_BLANKS}:：\-—]+$", "")
 
 
 def normalise_name(c: Column) -> Column:
@@ -86,8 +101,9 @@ def unit_by_name(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """Number text to double; separators, % and blanks dropped, placeholders null."""
-    return F.regexp_replace(c, r"[,，% ]", "").try_cast("double")
+    """Number text to double; separators, % and blanks dropped; placeholders and Java suffixes such as 12d null."""
+    bare = F.regexp_replace(c, rf"[,，%\s{OTHER_BLANKS}]", "")
+    return F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double"))
 
 
 def ellipsis(c: Column, limit: int = 60) -> Column:

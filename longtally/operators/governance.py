@@ -22,7 +22,7 @@ def _lookup(df: DataFrame, key: Column, rows, out: str) -> DataFrame:
 
 def normalise_region(df: DataFrame, column: str = "region") -> DataFrame:
     """Blank-free region with its short or old name replaced by the clean name."""
-    bare = F.replace(F.trim(F.col(column)), F.lit(" "), F.lit(""))
+    bare = text.no_space(F.col(column))
     out = _lookup(df.withColumn(column, bare), F.col(column), lx.REGION_CLEAN, "_region")
     return out.withColumn(column, F.coalesce("_region", column)).drop("_region")
 
@@ -34,7 +34,7 @@ def canonicalise(df: DataFrame, column: str, canonical: str = "canonical", statu
     name was found) or ``noise`` (a sentence; the result is '').
     """
     aliases = lx.alias_pairs()
-    raw = F.trim(F.col(column))
+    raw = text.trim_blanks(F.col(column))
     unwrapped = text.strip_wrapper(raw)
     deverbed = text.strip_wrapper(text.strip_verbs(raw))
     key = lambda c: text.strip_rank(text.normalise_name(c))
@@ -90,18 +90,14 @@ def remap_audit(df: DataFrame, column: str = "indicator_name") -> DataFrame:
 
 
 def alias_dictionary(audit: DataFrame, column: str = "indicator_name") -> DataFrame:
-    """Accepted spellings per canonical name, from the audited distinct names."""
-    return (
-        audit.filter(F.col("canonical") != "")
-        .groupBy("canonical")
-        .agg(F.array_join(F.sort_array(F.collect_set(column)), "|").alias("aliases"), F.sum("rows").alias("rows"))
-    )
+    """Accepted spellings per canonical name, one row per spelling, from the audited distinct names."""
+    return audit.filter(F.col("canonical") != "").select("canonical", F.col(column).alias("alias"), "rows")
 
 
 def _trade_in_dollars() -> Column:
     name = F.col("indicator_name")
     trade = F.contains(name, F.lit("出口")) | F.contains(name, F.lit("进口"))
-    dollars = F.contains(name, F.lit("万美元")) | (F.trim(F.coalesce("unit", F.lit(""))) == "万美元")
+    dollars = F.contains(name, F.lit("万美元")) | (text.trim_blanks(F.coalesce("unit", F.lit(""))) == "万美元")
     return trade & dollars
 
 
@@ -189,7 +185,11 @@ def standardise(raw: DataFrame, docs: DataFrame, rules: DataFrame | None = None,
     """
     if rules is None:
         rules = name_rules(raw.select("sheet_name", "indicator_name").distinct())
-    rows = raw.join(rules, ["sheet_name", "indicator_name"])
+    # null-safe: a row without a name or a sheet is kept and gets its reason below
+    named = rules.withColumnsRenamed({"sheet_name": "_sheet", "indicator_name": "_raw_name"})
+    rows = raw.join(
+        named, F.col("sheet_name").eqNullSafe(F.col("_sheet")) & F.col("indicator_name").eqNullSafe(F.col("_raw_name")), "left"
+    ).drop("_sheet", "_raw_name")
     # sheet and document facts meet on the small (document, sheet) table, so the rows
     # themselves are shuffled once
     sheets = _sheet_facts(rows).drop("major")
@@ -199,7 +199,7 @@ def standardise(raw: DataFrame, docs: DataFrame, rules: DataFrame | None = None,
         "doc_id", "sheet_name", "_major", (F.col("_doc_dollars") == 1).alias("_usd"), "_year"
     )
     rows = rows.join(facts, ["doc_id", "sheet_name"], "left")
-    bare = F.replace(F.trim(F.col("region")), F.lit(" "), F.lit(""))
+    bare = text.no_space(F.col("region"))
     ind, major = F.col("ind"), F.col("_major")
     mode = (
         F.when(F.col("city_name").isNotNull(), "city sheet")
@@ -214,7 +214,7 @@ def standardise(raw: DataFrame, docs: DataFrame, rules: DataFrame | None = None,
         "_fixed": F.when(F.col("_mode").isNotNull(), F.coalesce("city_name", "balance_name", "_major", "marked")),
         "_region": F.when(is_mode("city sheet", "block row") | (balance & (ind == "城步县")), ind)
         .when(is_mode("region row"), F.col("row_region")).otherwise(bare),
-        "_unit": F.when(balance, F.lit("亿元")).otherwise(F.trim(F.coalesce("unit", F.lit("")))),
+        "_unit": F.when(balance, F.lit("亿元")).otherwise(text.trim_blanks(F.coalesce("unit", F.lit("")))),
         "_period": periods.standard_label(F.col("period"), F.col("_year"), accept_year_only),
     })
     rows = _lookup(rows, F.col("_region"), lx.REGION_CLEAN, "_clean_region")
@@ -224,7 +224,7 @@ def standardise(raw: DataFrame, docs: DataFrame, rules: DataFrame | None = None,
     free = F.col("_mode").isNull()
     plain_name = F.coalesce("_fixed", "soft_name")
     in_dollars = [f"{n}（万美元）" for n in lx.TRADE_NAMES]
-    own_dollars = F.trim(F.coalesce("unit", F.lit(""))) == "万美元"
+    own_dollars = text.trim_blanks(F.coalesce("unit", F.lit(""))) == "万美元"
     usd = (free | is_mode("region row")) & plain_name.isin(lx.TRADE_NAMES + in_dollars) & (
         F.coalesce("_usd", F.lit(False)) | F.col("says_usd") | own_dollars
     )
@@ -309,7 +309,7 @@ def repair_region_in_name(df: DataFrame) -> DataFrame:
 def complete_units(df: DataFrame) -> DataFrame:
     """Fill blank units only: growth-only rows %, ranks 名, then the indicator's own unit."""
     blank = F.coalesce("unit", F.lit("")) == ""
-    out = _lookup(df, F.col("indicator_name"), lx.unit_pairs(), "_known")
+    out = _lookup(df, F.col("indicator_name"), lx.UNIT_OF_INDICATOR | lx.UNIT_OF_PART, "_known")
     filled = (
         F.when(~blank, F.col("unit"))
         .when(F.col("value").isNull() & F.col("growth_rate").isNotNull(), "%")
@@ -329,7 +329,7 @@ def complete_units_from_data(df: DataFrame) -> DataFrame:
 
     The mode table is joined without a hint: its size is that of the name list.
     """
-    own = F.nullif(F.trim(F.coalesce("unit", F.lit(""))), F.lit(""))
+    own = F.nullif(text.trim_blanks(F.coalesce("unit", F.lit(""))), F.lit(""))
     modes = mode_per_group(df, "indicator_name", "unit").withColumnRenamed("unit", "_mode")
     out = df.join(modes, "indicator_name", "left")
     bracket = F.nullif(text.paren_unit(F.col("indicator_name")), F.lit(""))

@@ -17,40 +17,38 @@ def _grouped(df: DataFrame, by):
 
 
 def conclude_trend(df: DataFrame, value: str, order: Column, by=None) -> DataFrame:
-    """First against last numeric value: up above 1.05 times, down below 0.95 times, else flat."""
-    df = df.withColumn("_o", F.when(F.col(value).isNotNull(), order))
+    """First against last row: up above 1.05 times, down below 0.95 times, else flat; flat if either has no number."""
+    df = df.withColumn("_o", order)
     out = _grouped(df, by).agg(
         F.count(F.lit(1)).alias("points"), F.min_by(value, "_o").alias("first"), F.max_by(value, "_o").alias("last")
     )
     first, last = F.col("first"), F.col("last")
     trend = (
-        F.when(first.isNull(), "flat").when(last > first * lx.RISE_FACTOR, "up")
+        F.when(first.isNull() | last.isNull(), "flat").when(last > first * lx.RISE_FACTOR, "up")
         .when(last < first * lx.FALL_FACTOR, "down").otherwise("flat")
     )
     return out.withColumn("trend", trend)
 
 
 def conclude_top1(df: DataFrame, name: str, value: str, by=None) -> DataFrame:
-    """Largest row and its lead over the second value.
+    """Largest row and its lead over the second value; of equal values the smaller name, with no lead.
 
-    The two largest values come from two small ordered aggregates: the best
-    (value, name) pair, then the best pair that is not it.
+    Two aggregates that combine on the map side: the largest value, then of the rows at it the
+    name and number, and of the rows below it the largest.
     """
     by = by or []
-    # equal values keep the smaller name, so order on (value, reversed position of the name)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(
-        F.min(name).alias("_name"), F.count(F.lit(1)).alias("_n")
+    rows = df.filter(F.col(value).isNotNull())
+    best = rows.groupBy(*by).agg(F.max(value).alias("_v"))
+    both = rows.join(best, by) if by else rows.withColumn("_v", best.select("_v").scalar())
+    at_top = F.col(value) == F.col("_v")
+    out = both.groupBy(*by).agg(
+        F.min(F.when(at_top, F.col(name))).alias("name"), F.max("_v").alias("value"),
+        F.count(F.when(at_top, 1)).alias("_n"), F.max(F.when(F.col(value) < F.col("_v"), F.col(value))).alias("_second"),
     )
-    two = F.max(F.struct(F.col(value).alias("v"), "_name", "_n"))
-    top = counts.groupBy(*by).agg(two.alias("_top"))
-    if by:
-        rest = counts.join(top.select(*by, F.col("_top.v").alias("_v")), by)
-    else:
-        rest = counts.withColumn("_v", top.select("_top.v").scalar())
-    second = rest.groupBy(*by).agg(F.max(F.when(F.col(value) < F.col("_v"), F.col(value))).alias("_second"))
-    joined = top.join(second, by) if by else top.withColumn("_second", second.select("_second").scalar())
-    lead = F.when(F.col("_top._n") > 1, F.lit(0.0)).otherwise(F.col("_top.v") - F.col("_second"))
-    return joined.select(*by, F.col("_top._name").alias("name"), F.col("_top.v").alias("value"), F.round(lead, 4).alias("lead"))
+    lead = F.when(F.col("_n") > 1, F.lit(0.0)).otherwise(F.col("value") - F.col("_second"))
+    if not by:  # no row, no conclusion
+        out = out.filter(F.col("value").isNotNull())
+    return out.select(*by, "name", "value", F.round(lead, 4).alias("lead"))
 
 
 def conclude_share(df: DataFrame, name: str, value: str, by=None) -> DataFrame:

@@ -7,6 +7,8 @@ brings a whole hot group into one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import lexicon as lx
@@ -37,8 +39,9 @@ CLUSTER_KEYS = ["period", "region", "indicator_name", "unit"]
 def value_clusters(df: DataFrame, gap: float = lx.CONFLICT_TOLERANCE) -> DataFrame:
     """Distinct values per key with a cluster number; a step above ``gap`` opens a cluster.
 
-    Equal values collapse first (count and smallest id), then runs are numbered in
-    whole-number value buckets, so no task sees more of a key than its buckets.
+    Equal values collapse first (count and smallest id). Each key's range of values is cut into as many
+    equal steps as it has thousands of distinct values, and runs are numbered step by step, so a hot key
+    is spread over tasks whatever the scale of its values.
     """
     points = (
         df.filter(F.col("value").isNotNull())
@@ -46,10 +49,18 @@ def value_clusters(df: DataFrame, gap: float = lx.CONFLICT_TOLERANCE) -> DataFra
         .agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("id"))
     )
     limit = F.lit(str(gap)).cast("decimal(20,4)")
+    spans = points.groupBy(*[F.col(k).alias(f"_{k}") for k in CLUSTER_KEYS]).agg(
+        F.min("value").cast("double").alias("_low"), F.max("value").cast("double").alias("_high"),
+        F.ceil(F.count(F.lit(1)) / 1000).alias("_steps"),
+    )
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in CLUSTER_KEYS])
+    share = (F.col("value").cast("double") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    step = F.coalesce(F.floor(share * F.col("_steps")), F.lit(0))
+    stepped = points.join(spans, same).withColumn("_step", step).select(*points.columns, "_step")
     return running_groups(
-        points, CLUSTER_KEYS, [F.col("value")], F.floor("value"),
+        stepped, CLUSTER_KEYS, [F.col("value")], F.col("_step"),
         lambda previous: F.col("value") - previous["value"] > limit,
-    ).withColumnRenamed("run", "cluster")
+    ).drop("_step").withColumnRenamed("run", "cluster")
 
 
 def cluster_keepers(clusters: DataFrame) -> DataFrame:
@@ -173,20 +184,24 @@ def same_key_pairs(df: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def rename_and_dedupe(df: DataFrame, renames=None) -> DataFrame:
-    """Rename old names to new ones; repeats of an existing row are dropped.
+    """Rename old names to new ones, pair by pair; rows that repeat an existing row are dropped.
 
-    One pass over the table for all rename pairs: each row looks up its new name
-    in the broadcast rename table, then a null-safe anti join on the target key
-    removes the rows the new name already has.
+    A renamed row repeats another if period, region, new name, value and growth agree: a row that had the
+    new name before, or one that an earlier pair of the list renamed. The row's value counts as it was,
+    the other's as it is stored, that is rescaled where its pair says so. Rows without a value repeat
+    nothing, and rows of the same old name do not drop each other. All pairs go in one pass: a lookup of
+    the pair, an anti join with the rows of the new names, and one aggregate for the earliest pair.
     """
+    from .select import rescale_above
+
     spark = df.sparkSession
     renames = lx.ALIGN_RENAMES if renames is None else renames
-    table = lx.lookup_frame(spark, [(o, n, u, d) for o, n, u, d in renames], "old_name", "new_name", "new_unit", "scaled")
+    table = lx.lookup_frame(spark, [(i, *r) for i, r in enumerate(renames)], "_pair", "old_name", "new_name", "new_unit", "scaled")
     tagged = df.join(F.broadcast(table), df.indicator_name == table.old_name, "left").drop("old_name")
     renamed = tagged.filter(F.col("new_name").isNotNull())
-    kept = tagged.filter(F.col("new_name").isNull()).drop("new_name", "new_unit", "scaled")
+    kept = tagged.filter(F.col("new_name").isNull()).drop("_pair", "new_name", "new_unit", "scaled")
     targets = df.filter(
-        F.col("indicator_name").isin(sorted({n for _, n, _, _ in renames})) & F.col("value").isNotNull()
+        F.col("indicator_name").isin(sorted({r[1] for r in renames})) & F.col("value").isNotNull()
     ).select("period", "region", "indicator_name", "value", "growth_rate").distinct().alias("t")
     a = renamed.alias("a")
     fresh = a.join(
@@ -196,12 +211,20 @@ def rename_and_dedupe(df: DataFrame, renames=None) -> DataFrame:
         & F.col("a.growth_rate").eqNullSafe(F.col("t.growth_rate")),
         "left_anti",
     )
-    from .select import rescale_above
-
-    moved = fresh.withColumns({
-        "value": F.when(F.col("scaled"), rescale_above(F.col("value"))).otherwise(F.col("value")),
+    stored = F.when(F.col("scaled"), rescale_above(F.col("value"))).otherwise(F.col("value"))
+    earliest = fresh.filter(F.col("value").isNotNull()).groupBy(
+        F.col("period").alias("_p"), F.col("region").alias("_r"), F.col("new_name").alias("_n"),
+        stored.alias("_v"), F.col("growth_rate").alias("_g"),
+    ).agg(F.min("_pair").alias("_first"))
+    moved = fresh.join(
+        earliest,
+        (F.col("period") == F.col("_p")) & (F.col("region") == F.col("_r")) & (F.col("new_name") == F.col("_n"))
+        & (F.col("value") == F.col("_v")) & F.col("growth_rate").eqNullSafe(F.col("_g")) & (F.col("_first") < F.col("_pair")),
+        "left_anti",
+    ).withColumns({
+        "value": stored,
         "unit": F.coalesce("new_unit", "unit"),
         "indicator_code": F.regexp_replace("new_name", " ", ""),
         "indicator_name": F.col("new_name"),
-    }).drop("new_name", "new_unit", "scaled")
+    }).drop("_pair", "new_name", "new_unit", "scaled")
     return kept.unionByName(moved)

@@ -68,7 +68,7 @@ def extract_indicators(texts: DataFrame, key: str = "doc_id", column: str = "tex
     growth = F.col("percent").cast("double")
     falls = F.col("verb") == "下降"
     rows = named_values(anchors(texts, column)).withColumn("growth_rate", F.when(falls, -growth).otherwise(growth))
-    code = F.regexp_replace("indicator_name", r"\s+", "")
+    code = text.no_space(F.col("indicator_name"))
     order = F.struct(falls.alias("a"), F.col("position").alias("b"))
     carried = [c for c in texts.columns if c not in (key, column)]
     first = F.min_by(F.struct(*carried, "indicator_name", "value", "unit", "growth_rate"), order)

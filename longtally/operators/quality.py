@@ -132,10 +132,15 @@ def leftovers(clean: DataFrame, current_year: Column | None = None) -> DataFrame
 
 
 def anchors(clean: DataFrame, spec) -> DataFrame:
-    """Regression anchors: (period, region, indicator, expected, tolerance) against the table."""
+    """Regression anchors: (period, region, indicator, expected, tolerance) against the table.
+
+    The few literals go to the rows; only matches come back to the literals.
+    """
     table = lx.lookup_frame(clean.sparkSession, spec, "period", "region", "indicator_name", "expected", "tolerance")
     rows = clean.select("period", "region", "indicator_name", F.col("value").alias("actual"))
-    out = table.join(rows, ["period", "region", "indicator_name"], "left")
+    keys = ["period", "region", "indicator_name"]
+    found = rows.join(F.broadcast(table.select(*keys).distinct()), keys)
+    out = table.join(found, keys, "left")
     passed = F.coalesce(F.abs(F.col("actual") - F.col("expected")) <= F.col("tolerance"), F.lit(False))
     return out.select("period", "region", "indicator_name", "expected", "actual", passed.alias("passed"))
 
@@ -171,13 +176,14 @@ def expectation_check(results: DataFrame, expected: DataFrame, key: str, columns
     """
     cells = [F.abs(F.col(c) - F.col("target")) <= tolerance for c in columns]
     any_hit = reduce(lambda a, b: a | F.coalesce(b, F.lit(False)), cells, F.lit(False))
-    joined = expected.join(results, key, "left")
     present = reduce(lambda a, b: a | F.col(b).isNotNull(), columns, F.lit(False))
-    return joined.groupBy(key, "min_rows", "target").agg(
-        F.count(F.when(present, 1)).alias("n"), F.max(F.when(any_hit, 1).otherwise(0)).alias("_hit")
-    ).select(
+    folded = results.join(expected, key).groupBy(key, "min_rows", "target").agg(
+        F.count(F.when(present, 1)).alias("_n"), F.max(F.when(any_hit, 1).otherwise(0)).alias("_hit")
+    ).withColumnsRenamed({key: "_key", "min_rows": "_rows", "target": "_target"})
+    same = (F.col(key) == F.col("_key")) & (F.col("min_rows") == F.col("_rows")) & F.col("target").eqNullSafe(F.col("_target"))
+    return expected.join(folded, same, "left").withColumn("n", F.coalesce("_n", F.lit(0))).select(
         key, "n", (F.col("n") >= F.col("min_rows")).alias("enough_rows"),
-        (F.col("target").isNull() | (F.col("_hit") == 1)).alias("value_found"),
+        (F.col("target").isNull() | F.coalesce(F.col("_hit") == 1, F.lit(False))).alias("value_found"),
     )
 
 

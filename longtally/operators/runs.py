@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.workspace import new_path
+
 
 def running_groups(
     df: DataFrame, by: list[str], order: list[Column], bucket: Column, starts
@@ -41,3 +43,22 @@ def running_groups(
     offsets = chained.withColumn("_offset", prefix).select(*by, "_bucket", "_offset")
     out = running.join(offsets, by + ["_bucket"])
     return out.select(*names, (F.col("_offset") + F.col("_run")).cast("long").alias("run"))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add the place of each row in a total order, from 1, without one task that sees all rows.
+
+    Rows are dealt into ranges and written, so that their ranges stay as they are; each range is
+    numbered on its own, after the counts of the ranges before it.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, "ranges")
+    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per range: the sizes fold into one array of at most as many entries as there are partitions
+    counts = sizes.agg(F.map_from_entries(F.collect_list(F.struct("_range", "_n"))).alias("_sizes")).select("_sizes").scalar()
+    earlier = F.filter(F.map_entries("_sizes"), lambda e: e["key"] < F.col("_range"))
+    offsets = sizes.withColumn("_sizes", counts).select("_range", F.aggregate(earlier, F.lit(0).cast("long"), lambda t, e: t + e["value"]).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    place = (F.row_number().over(inside) + F.col("_before")).cast("int")
+    return ranged.join(offsets, "_range").withColumn(name, place).drop("_range", "_before")

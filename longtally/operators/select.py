@@ -163,12 +163,24 @@ def rescale_above(value: Column, limit: float = 10000.0, divisor: float = 10000.
 
 
 def paged(df: DataFrame, page: int, size: int, *order: Column | str, max_size: int = 100) -> DataFrame:
-    """One page in key order with the total row count on each row; the size is clamped."""
-    size = min(max(size, 1), max_size)
+    """One page in key order with the total row count on each row. A size above ``max_size`` is an error."""
+    if not 1 <= size <= max_size:
+        raise ValueError(f"a page has 1 to {max_size} rows, not {size}")
     total = df.agg(F.count(F.lit(1))).scalar()
     return df.orderBy(*order).offset((max(page, 1) - 1) * size).limit(size).withColumn("total", total)
 
 
-def controlled(df: DataFrame, max_rows: int = 500) -> DataFrame:
-    """Result of a user query, limited to a preview size."""
-    return df.limit(max_rows)
+def page_after(df: DataFrame, key: str, last, size: int) -> DataFrame:
+    """The page behind the row with key ``last`` (None: the first page), in order of a unique key.
+
+    However deep, each task keeps ``size`` rows only.
+    """
+    rest = df if last is None else df.filter(F.col(key) > F.lit(last))
+    return rest.orderBy(key).limit(size)
+
+
+def controlled(df: DataFrame, max_rows: int, *order: Column | str) -> DataFrame:
+    """The first ``max_rows`` rows in ``order``, with ``more_rows`` true on each if the result has more than that."""
+    first = df.orderBy(*order).limit(max_rows + 1)
+    count = first.agg(F.count(F.lit(1))).scalar()
+    return first.orderBy(*order).limit(max_rows).withColumn("more_rows", count > max_rows)

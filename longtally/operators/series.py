@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .. import lexicon as lx
 from ..functions import periods
+from .runs import numbered
 
 
 def value_column(df: DataFrame) -> str:
@@ -34,8 +35,8 @@ def axis_items(df: DataFrame, axis: str) -> DataFrame:
     """Distinct axis labels in time order: raw, label and position."""
     items = df.select(F.coalesce(axis, F.lit("")).alias("raw")).distinct()
     key = periods.axis_key(F.col("raw"))
-    order = Window.orderBy(key["key"], key["tie"], F.col("raw"))
-    return items.select("raw", periods.axis_label(F.col("raw")).alias("label"), F.row_number().over(order).alias("position"))
+    placed = numbered(items.select("raw", key["key"].alias("_key"), key["tie"].alias("_tie")), [F.col("_key"), F.col("_tie"), F.col("raw")], "position")
+    return placed.select("raw", periods.axis_label(F.col("raw")).alias("label"), "position")
 
 
 def chart_series(df: DataFrame, axis: str, series: str, value: str, order) -> DataFrame:
@@ -100,8 +101,7 @@ def split_axis(series_rows: DataFrame) -> DataFrame:
     other peaks; the median is the element n/2 of the rest in falling order.
     """
     peaks = _maxima(series_rows).filter("peak > 0")
-    order = Window.orderBy(F.desc("peak"), "series")
-    ranked = peaks.withColumn("_r", F.row_number().over(order))
+    ranked = numbered(peaks, [F.desc("peak"), F.col("series")], "_r")
     rest = peaks.agg(F.count(F.lit(1)) - 1).scalar()
     middle = ranked.withColumn("_m", rest).filter(F.col("_r") == F.floor(F.col("_m") / 2) + 2).agg(F.max("peak")).scalar()
     top = ranked.filter("_r = 1").withColumn("median", middle)

@@ -15,14 +15,14 @@ from .. import lexicon as lx
 from ..functions import periods, text
 
 SHEET = ["doc_id", "sheet"]
-_MONTHS_CELL = r"^(?:20\d{2})?年?\s*\d{1,2}-?\d*月"
+_MONTHS_CELL = rf"^(?:20\d{{2}})?年?{text.BLANK}*\d{{1,2}}-?\d*月"
 
 
 def filled_cells(cells: DataFrame) -> DataFrame:
     """Non-empty cells of the sheets that hold data."""
-    out = cells.withColumn("text", F.trim("text")).filter(F.col("text") != "")
+    out = cells.withColumn("text", text.trim_blanks(F.col("text"))).filter(F.col("text") != "")
     for prefix in lx.SKIPPED_SHEET_PREFIXES:
-        out = out.filter(~F.startswith(F.trim("sheet"), F.lit(prefix)))
+        out = out.filter(~F.startswith(text.trim_blanks(F.col("sheet")), F.lit(prefix)))
     return out
 
 
@@ -108,13 +108,13 @@ def sheet_layout(cells: DataFrame) -> DataFrame:
         "_p_year": F.coalesce(F.nullif(own_year, blank), F.nullif(column(F.col("_p.col"))["year"], blank), year),
     })
     from_title = r"^(20\d{2})年(\d{1,2})月"
-    title = F.trim("doc_title")
+    title = text.trim_blanks(F.col("doc_title"))
     fallback = F.when(
         title.rlike(from_title),
         F.concat(F.regexp_extract(title, from_title, 1), F.lit("年1-"), F.regexp_extract(title, from_title, 2), F.lit("月")),
     ).otherwise(F.concat("_year", F.lit("年")))
     bracket = F.nullif(text.paren_unit(F.col("_value_header")), blank)
-    stated_unit = F.nullif(F.regexp_extract("_units", r"单位[：:]\s*([\x{4e00}-\x{9fa5}%a-zA-Z]+)", 1), blank)
+    stated_unit = F.nullif(F.regexp_extract("_units", rf"单位[：:]{text.BLANK}*([\x{{4e00}}-\x{{9fa5}}%a-zA-Z]+)", 1), blank)
     stated = periods.extraction_label(F.col("_p.text"), F.col("_p_year"))
     return out.select(
         *SHEET, "title", F.when(F.col("_p").isNotNull(), stated).otherwise(fallback).alias("period"),

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import lexicon as lx
 from ..functions import text
+from .runs import numbered
 
 
 def _first_rule(conditions: list[Column], results: list, fallback) -> Column:
@@ -89,8 +90,7 @@ def build_tree(leaves: DataFrame) -> DataFrame:
     mid = upper.filter("level = 2").select(F.col("code").alias("parent_code"), F.col("name").alias("sub_category"), F.col("parent_code").alias("_top"))
     homes = mid.join(F.broadcast(top), "_top").drop("_top")
     placed = classify_leaf(leaves).join(F.broadcast(homes), ["category", "sub_category"])
-    position = F.row_number().over(Window.orderBy("indicator_name"))
-    lower = placed.withColumn("sort", position).select(
+    lower = numbered(placed, [F.col("indicator_name")], "sort").select(
         F.format_string("ind_%04d", "sort").alias("code"), F.col("indicator_name").alias("name"),
         F.lit(3).alias("level"), "sort", "parent_code",
     )

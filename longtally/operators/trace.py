@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import squash
+from ..functions.text import squash_ascii
 from .runs import running_groups
 
 
@@ -55,7 +55,7 @@ def collapse_rounds(questions: DataFrame, bucket_size: int = 4096) -> DataFrame:
     Input (session_id, seq, question). Texts are compared after white-space
     squashing. Long sessions are numbered in buckets of ``bucket_size`` turns.
     """
-    rows = questions.withColumn("norm", squash(F.col("question"))).select("session_id", "seq", "norm")
+    rows = questions.withColumn("norm", squash_ascii(F.col("question"))).select("session_id", "seq", "norm")
     numbered = running_groups(
         rows, ["session_id"], [F.col("seq")], F.floor(F.col("seq") / bucket_size),
         lambda previous: F.col("norm") != previous["norm"],

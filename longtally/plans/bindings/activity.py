@@ -31,7 +31,7 @@ def context_of_last_rounds(spark, sf):
 
 @query("collapsed_rounds")
 def collapsed_rounds(spark, sf):
-    return tr.collapse_rounds(b.rounds(spark, sf), bucket_size=2)
+    return tr.collapse_rounds(b.rounds(spark, sf))
 
 
 @query("rebuilt_rounds")
@@ -128,34 +128,37 @@ def _utc(column):
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(column).cast("timestamp_ntz")).alias(column)
 
 
-def _run(spark, stream, label):
+def _current(spark, stream, label, *keys):
     path, checkpoint = new_path(spark, label), new_path(spark, label + "-checkpoint")
-    live.append_to(stream, path, checkpoint).awaitTermination()
-    return spark.read.parquet(path)
+    live.keep_current(stream, path, checkpoint).awaitTermination()
+    return live.current(spark, path, *keys)
 
 
 @query("stream_daily_counts")
 def stream_daily_counts(spark, sf):
     counts = live.publication_counts(_events(spark, sf), "ts", "1 day", "1 day", "event_type")
-    return _run(spark, counts, "daily-counts").select(_utc("window_start"), "event_type", "n")
+    return _current(spark, counts, "daily-counts", "window_start", "event_type").select(_utc("window_start"), "event_type", "n")
 
 
 @query("stream_new_documents")
 def stream_new_documents(spark, sf):
-    rows = live.new_documents(_events(spark, sf), "user_id", "ts", "60 days")
-    return _run(spark, rows.select("user_id", "ts"), "new-documents").select("user_id")
+    path, checkpoint = new_path(spark, "new-documents"), new_path(spark, "new-documents-checkpoint")
+    stream = live.file_stream(spark, sf, b.table(spark, sf, "documents"), files="documents.parquet")
+    keyed = stream.select(F.concat_ws("/", "lang", F.floor(F.col("doc_id") / 2)).alias("source_url"), "doc_id", "text")
+    live.upsert_documents(keyed, path, checkpoint, "source_url", "doc_id").awaitTermination()
+    return spark.read.parquet(path).select("source_url", "doc_id", "text")
 
 
 @query("stream_alerts")
 def stream_alerts(spark, sf):
     alerts = live.sanity_alerts(_events(spark, sf), "ts", "value", 1.0, 250.0, "6 hours", "1 day")
-    return _run(spark, alerts, "alerts").select(_utc("window_start"), "n", "missing", "suspect")
+    return _current(spark, alerts, "alerts", "window_start").select(_utc("window_start"), "n", "missing", "suspect")
 
 
 @query("stream_collapsed_rounds")
 def stream_collapsed_rounds(spark, sf):
     turns = new_path(spark, "turns")
-    b.rounds(spark, sf).repartition(2, "session_id").write.parquet(turns)
+    b.rounds(spark, sf).write.option("maxRecordsPerFile", 3000).parquet(turns)
     stream = live.file_stream(spark, turns, spark.read.parquet(turns), max_files=1)
     landed, rounds = new_path(spark, "landed"), new_path(spark, "rounds")
     live.live_round_collapse(stream, landed, rounds, new_path(spark, "rounds-checkpoint")).awaitTermination()

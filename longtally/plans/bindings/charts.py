@@ -17,13 +17,13 @@ def _values(spark, sf):
 
 @query("conclude_trend")
 def conclude_trend(spark, sf):
-    yearly = select.same_period(_values(spark, sf))
+    yearly = select.same_period(b.indicator_long(spark, sf))
     return i.conclude_trend(yearly, "value", F.col("year"), ["region", "indicator_name"])
 
 
 @query("conclude_trend_overall")
 def conclude_trend_overall(spark, sf):
-    rows = _values(spark, sf).filter((F.col("region") == lx.TOTAL_REGION) & (F.col("indicator_name") == "地区生产总值"))
+    rows = b.indicator_long(spark, sf).filter((F.col("region") == lx.TOTAL_REGION) & (F.col("indicator_name") == "地区生产总值"))
     return i.conclude_trend(rows, "value", F.struct("year", "end", "start"))
 
 

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ... import lexicon as lx
 from ...operators import aggregate as op, select
-from ...sources import bridge as b
+from ...sources import bridge as b, stores
+from ...sources.workspace import new_path
 from ..catalog import query
 
 
@@ -145,15 +146,11 @@ def step_outcomes(spark, sf):
 
 @query("asset_overview")
 def asset_overview(spark, sf):
-    raw = b.indicator_raw(spark, sf)
-    counts = raw.groupBy("source_type", "confidence").agg(F.count(F.lit(1)).alias("n"))
-    return counts
+    return op.asset_overview(b.indicator_raw(spark, sf), ["source_type", "confidence"], ["region", "period", "indicator_name"])
 
 
 @query("split_by_source")
 def split_by_source(spark, sf):
-    parts = [
-        b.indicator_raw(spark, sf).filter(F.col("source_type") == s).select("id", "source_type", "period")
-        for s in ("BULLETIN", "ANALYSIS")
-    ]
-    return parts[0].unionByName(parts[1])
+    path = new_path(spark, "by-source")
+    stores.write_by_source(b.indicator_raw(spark, sf).select("id", "source_type", "period"), path)
+    return spark.read.parquet(path)

@@ -55,8 +55,7 @@ def growth_only_trend(spark, sf):
 
 @query("last_years_window")
 def last_years_window(spark, sf):
-    long = b.indicator_long(spark, sf).filter(F.col("region") == lx.TOTAL_REGION)
-    return op.last_years(long, 2).groupBy("year", "indicator_name").agg(F.count(F.lit(1)).alias("n"))
+    return op.last_years(b.indicator_long(spark, sf), 2).groupBy("year", "indicator_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("equal_period_years")
@@ -131,7 +130,7 @@ def value_or_growth_fallback(spark, sf):
 
 @query("preview_page")
 def preview_page(spark, sf):
-    return op.paged(b.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 3, 500, "o_orderkey")
+    return op.paged(b.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 3, 100, "o_orderkey")
 
 
 @query("history_page")
@@ -147,6 +146,12 @@ def controlled_query(spark, sf):
     b.indicator_raw(spark, sf).createOrReplaceTempView("indicator_raw")
     rows = spark.sql(
         "SELECT id, period, indicator_name, value FROM indicator_raw "
-        "WHERE source_type = 'XLSX' AND value IS NOT NULL ORDER BY value DESC, id"
+        "WHERE source_type = 'XLSX' AND value IS NOT NULL"
     )
-    return op.controlled(rows)
+    return op.controlled(rows, 500, F.desc("value"), "id")
+
+
+@query("next_page")
+def next_page(spark, sf):
+    orders = b.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return op.page_after(orders, "o_orderkey", 500, 100)

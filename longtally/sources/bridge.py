@@ -320,7 +320,7 @@ def renamed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     names = [
         "实际利用境外资金", "外商直接投资", "全市用电总量(万千瓦小时)投资", "全市用电总量(亿千瓦小时)",
-        "全社会客运量(万人)", "客运量(万人)", "保险收入",
+        "全社会客运量(万人)", "客运量(万人)", "保险收入", "地区生产总值(GDP)", "生产总值(GDP)",
     ]
     value = F.floor(F.col("o_totalprice") / 60000).cast("double") * 7000
     return table(spark, sf_dir, "orders").select(
@@ -356,12 +356,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = F.date_add(F.lit("2019-01-01").cast("date"), (key * 13 % 2500).cast("int"))
     return table(spark, sf_dir, "documents").select(
         key.alias("record_id"),
-        F.substring("text", 1, 60).alias("title"),
+        F.col("text").alias("title"),
         F.when(key % 3 != 0, F.col("source")).otherwise(F.lit("")).alias("publish_unit"),
         pick(RECORD_CATEGORIES, key + F.length("lang")).alias("category"),
         F.when(key % 31 != 0, date).alias("publish_date"),
         F.concat(F.lit("https://records.example.org/"), F.col("lang"), F.lit("/"), _div(key, 2).cast("string")).alias("source_url"),
-        F.substring("text", 1, 200).alias("summary"),
     )
 
 
@@ -385,7 +384,7 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed pages in the three container forms of a detail page, some with a workbook link."""
     key = F.col("page_id")
     link = F.when(key % 2 == 0, F.concat(F.lit('<a href="files/'), key.cast("string"), F.lit('.xlsx">附件</a>'))).otherwise(F.lit(""))
-    noise = F.lit("<p>版权所有 主办单位</p><p>GDP <span>2883</span><span>.5</span>亿元</p><br/>")
+    noise = F.lit("<p>版权所有 主办单位</p><p>\u3000\u3000GDP\u00a0<span>2883</span><span>.5</span>亿元</p><br/>")
     body = F.concat(link, noise, F.col("html"))
     page = (
         F.when(key % 3 == 0, F.concat(F.lit("<html><p>before</p><UCAPCONTENT>"), body, F.lit("</UCAPCONTENT><p>after</p></html>")))
@@ -466,7 +465,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
             title, cell(2, 0, lit("地  区")), cell(2, 1, month), cell(3, 1, lit("绝对额(万元)")),
             cell(3, 2, lit("增速(%)")), cell(3, 3, lit("排名"))))
         .when(layout == 1, F.array(
-            title, cell(1, 2, lit("单位：亿元")), cell(2, 0, lit("项  目")), cell(2, 1, lit("本月")),
+            title, cell(1, 2, lit("单位：亿元")), cell(2, 0, lit("项\u3000目")), cell(2, 1, lit("本月")),
             cell(2, 2, lit("本年累计")), cell(2, 3, lit("增长（%）"))))
         .when(layout == 2, F.array(title, cell(2, 0, lit("行  业")), cell(2, 1, month), cell(3, 1, lit("增速（%）"))))
         .when(layout == 3, F.array(title, cell(2, 0, lit("年份")), cell(2, 1, lit("总额"))))
@@ -483,7 +482,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.col("line.k") + 10
     v = F.when(F.col("line.k") % 9 == 0, lit("--")).otherwise(F.col("line.v").cast("string"))
     g = F.concat(F.col("line.g").cast("string"), lit("%"))
-    region_name = pick(["全市", "双清", "大 祥", "新宁", "邵东", "城步", "隆回县"], F.col("line.k"))
+    region_name = pick(["全市", "双清", "大\u3000祥", "\u00a0新宁", "邵东", "城步", "隆回县"], F.col("line.k"))
     item_name = pick(["（一）一般公共预算收入", "二、税收收入", "社会消费品零售总额", "进出口总额："], F.col("line.k"))
     industry = pick(["煤炭开采和洗选业", "纺织业", "食品制造业"], F.col("line.k"))
 
@@ -549,13 +548,14 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns reduced to short repeating questions, for round collapsing."""
-    text = F.concat(F.lit("  Question "), (F.length("text") % 2).cast("string"), F.lit("  now "))
-    return (
-        table(spark, sf_dir, "conversations")
-        .filter(F.col("role") != "system")
-        .select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), text.alias("question"))
+    """All turns with their whole text; every third is asked again at once with other blanks, for round collapsing."""
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("session_id"), (F.col("turn") * 2).alias("seq"), F.col("text").alias("question")
+    )
+    again = turns.filter((F.col("session_id") + F.col("seq") / 2) % 3 == 0).select(
+        "session_id", (F.col("seq") + 1).alias("seq"), F.concat(F.lit("  "), F.replace("question", F.lit(" "), F.lit("  ")), F.lit(" ")).alias("question")
     )
+    return turns.unionByName(again)
 
 
 def price_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,7 +87,7 @@ def _items(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
         F.regexp_extract_all(F.col("part"), F.lit(_LINK), F.lit(2)).alias("label"),
     )
     tidy = lambda x, i: F.struct(
-        i.alias("link"), F.trim(x["href"]).alias("href"), text.squash(visible_text(x["label"])).alias("title")
+        i.alias("link"), text.trim_blanks(x["href"]).alias("href"), text.squash(visible_text(x["label"])).alias("title")
     )
     links = F.filter(F.transform(pair, tidy), lambda x: usable_href(x["href"]))
     return items.select(
@@ -156,7 +156,7 @@ def fill_publish_unit(records: DataFrame, html: str = "html") -> DataFrame:
     """
     spark = records.sparkSession
     hosts = lx.lookup_frame(spark, lx.PUBLISHER_OF_HOST, "_h", "_host_unit")
-    categories = lx.lookup_frame(spark, lx.category_publisher_pairs(), "_c", "_category_unit")
+    categories = lx.lookup_frame(spark, lx.PUBLISHER_OF_CATEGORY, "_c", "_category_unit")
     own = F.nullif(F.coalesce("publish_unit", F.lit("")), F.lit(""))
     out = (
         records.withColumn("_own", own)

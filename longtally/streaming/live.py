@@ -59,12 +59,45 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def land_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each micro-batch to its own folder; a replayed batch overwrites itself."""
+def keep_current(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Write the rows each batch adds or changes under its number; ``current`` reads the newest row of a key.
+
+    In update mode every window is there as soon as it has a row, also those that the watermark has not
+    passed. A replayed batch overwrites itself.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+    return (
+        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        .foreachBatch(write).start()
+    )
+
+
+def current(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """The newest row of each key; folds on the map side."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(*keys, "_row.*")
+
+
+def upsert_documents(stream: DataFrame, path: str, checkpoint: str, key: str, order: str) -> StreamingQuery:
+    """Keep one row per key: the first by ``order``, also if a key comes again after any watermark.
+
+    Each batch writes only keys that no earlier batch has, its own first row of each. A replayed batch
+    overwrites itself and looks at earlier batches alone.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rest = [c for c in batch.columns if c != key]
+        first = batch.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(key, "_row.*")
+        if batch_id:
+            known = spark.read.parquet(path).filter(F.col("batch") < batch_id).select(key)
+            first = first.join(known, key, "left_anti")
+        first.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
     return (
         stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     )

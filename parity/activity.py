@@ -54,10 +54,11 @@ SQL["csv_round_trip"] = with_("raw", "SELECT id, period, region, indicator_name,
 SQL["dictionary_ingest"] = with_("raw", """
 SELECT indicator_name AS indicator_code, coalesce(unit, '-') AS units, count(*) AS n FROM raw WHERE id % 4 <> 0 GROUP BY 1, 2""")
 SQL["stream_daily_counts"] = """
-SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events
-WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2"""
-SQL["stream_new_documents"] = "SELECT DISTINCT user_id FROM events"
+SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"""
+SQL["stream_new_documents"] = """
+SELECT source_url, arg_min(doc_id, doc_id) AS doc_id, arg_min(text, doc_id) AS text
+FROM (SELECT *, concat(lang, '/', doc_id // 2) AS source_url FROM documents) GROUP BY 1"""
 SQL["stream_alerts"] = """
 SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS n, count(*) FILTER (value IS NULL) AS missing,
  count(*) FILTER (value < 1 OR value > 250) AS suspect FROM events GROUP BY 1
-HAVING count(*) FILTER (value < 1 OR value > 250) > 0 AND time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"""
+HAVING count(*) FILTER (value < 1 OR value > 250) > 0 OR count(*) FILTER (value IS NULL) > 0"""

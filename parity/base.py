@@ -36,6 +36,22 @@ def period_label(y="year", s="start", e='"end"') -> str:
     return f"concat({y}, '年', {s}, '-', {e}, '月')"
 
 
+# white space as Unicode has it
+BLANK = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def no_blanks(x: str) -> str:
+    return f"regexp_replace({x}, '{BLANK}+', '', 'g')"
+
+
+def one_blank(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{BLANK}+', ' ', 'g'))"
+
+
+def no_edges(x: str) -> str:
+    return f"regexp_replace({x}, '^{BLANK}+|{BLANK}+$', '', 'g')"
+
+
 CTES: dict[str, tuple[list[str], str]] = {}
 
 
@@ -166,12 +182,11 @@ SELECT o_orderkey AS id, o_custkey AS doc_id,
 FROM orders""")
 
 cte("records", [], f"""
-SELECT doc_id AS record_id, substr(text, 1, 60) AS title,
+SELECT doc_id AS record_id, text AS title,
        CASE WHEN doc_id % 3 <> 0 THEN source ELSE '' END AS publish_unit,
        {pick(b.RECORD_CATEGORIES, "doc_id + length(lang)")} AS category,
        CASE WHEN doc_id % 31 <> 0 THEN DATE '2019-01-01' + CAST(doc_id * 13 % 2500 AS INT) END AS publish_date,
-       concat('https://records.example.org/', lang, '/', doc_id // 2) AS source_url,
-       substr(text, 1, 200) AS summary
+       concat('https://records.example.org/', lang, '/', doc_id // 2) AS source_url
 FROM documents""")
 
 cte("page_records", [], f"""
@@ -212,8 +227,8 @@ SELECT event_id AS step_id, user_id AS session_id, CAST(day(ts) AS INT) AS round
 FROM (SELECT *, CAST(regexp_extract(props, '"k": ?([0-9]+)', 1) AS BIGINT) AS k FROM events)""")
 
 cte("rounds", [], """
-SELECT conv_id AS session_id, turn AS seq, concat('  Question ', length(text) % 2, '  now ') AS question
-FROM conversations WHERE role <> 'system'""")
+SELECT conv_id AS session_id, turn * 2 AS seq, text AS question FROM conversations
+UNION ALL SELECT conv_id, turn * 2 + 1, concat('  ', replace(text, ' ', '  '), ' ') FROM conversations WHERE (conv_id + turn) % 3 = 0""")
 
 cte("price_points", [], """
 SELECT (l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey AS id, CAST(year(l_shipdate) AS VARCHAR) AS period,

@@ -7,14 +7,14 @@ SQL: dict[str, str] = {}
 T = lx.TOTAL_REGION
 SEC = in_list(lx.SECTOR_METRICS)
 V = "v AS (SELECT * FROM long WHERE value IS NOT NULL)"
-TREND = """CASE WHEN "first" IS NULL THEN 'flat' WHEN "last" > "first" * 1.05::DOUBLE THEN 'up' WHEN "last" < "first" * 0.95::DOUBLE THEN 'down' ELSE 'flat' END AS trend"""
+TREND = """CASE WHEN "first" IS NULL OR "last" IS NULL THEN 'flat' WHEN "last" > "first" * 1.05::DOUBLE THEN 'up' WHEN "last" < "first" * 0.95::DOUBLE THEN 'down' ELSE 'flat' END AS trend"""
 
 SQL["conclude_trend"] = with_("long", f"""
-, {V}, y AS (SELECT * FROM v WHERE "end" = (SELECT "end" FROM v ORDER BY year DESC, "end" DESC LIMIT 1))
-SELECT *, {TREND} FROM (SELECT region, indicator_name, count(*) AS points, arg_min(value, year) AS "first", arg_max(value, year) AS "last" FROM y GROUP BY 1, 2)""")
+, y AS (SELECT * FROM long WHERE "end" = (SELECT "end" FROM long ORDER BY year DESC, "end" DESC LIMIT 1))
+SELECT *, {TREND} FROM (SELECT region, indicator_name, count(*) AS points, first(value ORDER BY year) AS "first", last(value ORDER BY year) AS "last" FROM y GROUP BY 1, 2)""")
 SQL["conclude_trend_overall"] = with_("long", f"""
-, {V} SELECT *, {TREND} FROM (SELECT count(*) AS points, arg_min(value, year * 100 + "end") AS "first", arg_max(value, year * 100 + "end") AS "last"
- FROM v WHERE region = '{T}' AND indicator_name = '地区生产总值')""")
+, s AS (SELECT *, year * 100 + "end" AS k FROM long WHERE region = '{T}' AND indicator_name = '地区生产总值')
+SELECT *, {TREND} FROM (SELECT count(*) AS points, first(value ORDER BY k) AS "first", last(value ORDER BY k) AS "last" FROM s)""")
 SQL["conclude_top1"] = with_("long", f"""
 , {V}, r AS (SELECT *, row_number() OVER w AS rn, lead(value) OVER w AS nxt FROM v WHERE region <> '{T}'
  WINDOW w AS (PARTITION BY period, indicator_name ORDER BY value DESC, region))

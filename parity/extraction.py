@@ -1,6 +1,6 @@
 from longtally import lexicon as lx
 from longtally.sources import bridge as b
-from .base import cte, in_list, pick, quote, values, with_
+from .base import BLANK, cte, in_list, no_blanks, no_edges, one_blank, pick, quote, values, with_
 
 SQL: dict[str, str] = {}
 RANK = lx.RANK_SUFFIX
@@ -37,10 +37,10 @@ def has(x: str, words) -> str:
 
 
 def nosp(x: str) -> str:
-    return f"regexp_replace({x}, '\\s+', '', 'g')"
+    return no_blanks(x)
 
 
-cte("filled", ["cells"], "SELECT * EXCLUDE (text), trim(text) AS text FROM cells WHERE trim(text) <> '' AND NOT regexp_matches(trim(sheet), '^(目录|封面)')")
+cte("filled", ["cells"], f"SELECT * EXCLUDE (text), {no_edges('text')} AS text FROM cells WHERE {no_edges('text')} <> '' AND NOT regexp_matches({no_edges('sheet')}, '^(目录|封面)')")
 cte("head", ["filled"], f"""
 SELECT *, coalesce({nosp("axis")} IN {in_list(lx.AXIS_WORDS)}, false) OR coalesce({has(nosp("rest"), sorted({*lx.HEADER_WORDS, *lx.RANK_WORDS, *lx.GROWTH_WORDS}))}, false) AS is_header
 FROM (SELECT *, string_agg(CASE WHEN col >= 1 THEN text END, '') OVER (PARTITION BY doc_id, sheet, row) AS rest,
@@ -79,7 +79,7 @@ cte("axis_map", [], values(lx.REGION_AXIS, "a", "c"))
 
 
 def _clean(x: str) -> str:
-    q = f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    q = one_blank(x)
     return (f"trim(regexp_replace(regexp_replace({q}, '^[一二三四五六七八九十]+、', ''), '^[（(][一二三四五六七八九十]+[)）]', ''), ' :：-—')")
 
 
@@ -113,7 +113,7 @@ def visible(x: str) -> str:
 
 
 def squash(x: str) -> str:
-    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    return one_blank(x)
 
 
 SQL["page_texts"] = with_("detail_pages", f"""
@@ -144,7 +144,7 @@ WITH i AS (SELECT page_id, url, unnest(parts) AS part, CAST(generate_subscripts(
    regexp_extract(regexp_extract(part, '(?s)^<[^>]*>'), '(?is)\\bid="([^"]*)"', 1)) AS sig,
    regexp_extract_all(part, {quote(_LINK)}, 1) AS hs, regexp_extract_all(part, {quote(_LINK)}, 2) AS ls FROM i)
 , a AS (SELECT page_id, url, item, part, sig, unnest(hs) AS h0, unnest(ls) AS l0, CAST(generate_subscripts(hs, 1) - 1 AS INT) AS link FROM s WHERE len(hs) > 0)
-, t AS (SELECT page_id, url, item, part, sig, link, trim(h0) AS href, {squash(visible("l0"))} AS title FROM a)
+, t AS (SELECT page_id, url, item, part, sig, link, {no_edges('h0')} AS href, {squash(visible("l0"))} AS title FROM a)
 SELECT *, coalesce(array_to_string(list_filter([CASE WHEN length(title) < 4 THEN 'short title' END, {_hit("title", "lower(title)", lx.TITLE_BLACKLIST)},
   CASE WHEN title IN {in_list(lx.TITLE_EXACT_BLACKLIST)} THEN 'exact title:' || title END, {_hit("href", "lower(href)", lx.HREF_BLACKLIST)},
   'container:' || list_filter([{", ".join(quote(w) for w in lx.CONTAINER_BLACKLIST)}], lambda w: list_contains(string_split_regex(lower(sig), '[^0-9a-z]+'), w))[1]],
@@ -173,12 +173,12 @@ SQL["simple_list_records"] = with_("list_pages", f"""
 , bx AS (SELECT page_id, url, coalesce(nullif(regexp_extract(html, '(?s)<ul[^>]*class="[^"]*infoList[^"]*"[^>]*>(.*?)</ul>', 1), ''), html) AS body FROM list_pages)
 , hs AS (SELECT *, regexp_extract_all(body, {quote(_A2)}, 1) AS h, regexp_extract_all(body, {quote(_A2)}, 2) AS l FROM bx)
 , u AS (SELECT page_id, url, unnest(h) AS h0, unnest(l) AS l0, CAST(generate_subscripts(h, 1) - 1 AS INT) AS position FROM hs WHERE len(h) > 0)
-, v AS (SELECT page_id, position, trim(regexp_replace(l0, '<[^>]+>|\\s+', ' ', 'g')) AS title, {absolute("url", "h0")} AS source_url FROM u)
+, v AS (SELECT page_id, position, trim(regexp_replace(l0, '<[^>]+>|{BLANK}+', ' ', 'g')) AS title, {absolute("url", "h0")} AS source_url FROM u)
 , w AS (SELECT *, CASE WHEN regexp_matches(source_url, '/t20\\d{{6}}_') THEN try_cast(regexp_replace(regexp_extract(source_url, '/t(20\\d{{6}})_', 1), '(....)(..)(..)', '\\1-\\2-\\3') AS DATE)
   WHEN regexp_matches(source_url, '/20\\d{{4}}/') THEN try_cast(regexp_replace(regexp_extract(source_url, '/(20\\d{{4}})/', 1), '(....)(..)', '\\1-\\2-01') AS DATE) END AS publish_date FROM v)
 SELECT * FROM w WHERE length(title) >= 4 AND (contains(source_url, '/shaoyang/') OR (contains(source_url, 'stats.gov.cn') AND publish_date IS NOT NULL))""")
 cte("host_units", [], values(lx.PUBLISHER_OF_HOST, "a", "c"))
-cte("category_units", [], values(lx.category_publisher_pairs(), "a", "c"))
+cte("category_units", [], values(lx.PUBLISHER_OF_CATEGORY, "a", "c"))
 
 
 def _found(x: str) -> str:
@@ -220,8 +220,8 @@ SQL["prose_indicators"] = with_("anchors", f"""
    CAST(replace(CASE WHEN kn IS NOT NULL AND num IS NOT NULL THEN num ELSE regexp_extract(w, {quote(_GEN)}, 2) END, ',', '').nullif('') AS DOUBLE) AS value,
    CASE WHEN kn IS NOT NULL AND num IS NOT NULL THEN un ELSE regexp_extract(w, {quote(_GEN)}, 3) END AS unit,
    CASE WHEN verb = '下降' THEN -CAST(percent AS DOUBLE) ELSE CAST(percent AS DOUBLE) END AS growth_rate FROM b)
-SELECT doc_id, regexp_replace(indicator_name, '\\s+', '', 'g') AS indicator_code, source_type, period, indicator_name, value, unit, growth_rate FROM (
- SELECT *, row_number() OVER (PARTITION BY doc_id, regexp_replace(indicator_name, '\\s+', '', 'g') ORDER BY verb = '下降', position) AS rn
+SELECT doc_id, {no_blanks('indicator_name')} AS indicator_code, source_type, period, indicator_name, value, unit, growth_rate FROM (
+ SELECT *, row_number() OVER (PARTITION BY doc_id, {no_blanks('indicator_name')} ORDER BY verb = '下降', position) AS rn
  FROM c WHERE indicator_name IS NOT NULL) WHERE rn = 1""")
 SQL["json_payload_slices"] = with_("trace", """
 SELECT step_id, concat(payload, ' end }') AS wide, regexp_extract(payload, '^\\{"text":"([^"]*)"', 1) AS text,

@@ -79,5 +79,7 @@ SQL["any_sheet_per_indicator"] = with_("raw", "SELECT indicator_name, max(sheet_
 SQL["step_outcomes"] = with_("trace", """
 SELECT step_type, count(*) FILTER (status = 'SUCCESS') AS success, count(*) FILTER (status = 'FAILED') AS failed,
  count(*) AS total FROM trace GROUP BY 1""")
-SQL["asset_overview"] = with_("raw", "SELECT source_type, confidence, count(*) AS n FROM raw GROUP BY 1, 2")
-SQL["split_by_source"] = with_("raw", "SELECT id, source_type, period FROM raw WHERE source_type IN ('BULLETIN', 'ANALYSIS')")
+SQL["asset_overview"] = with_("raw", """
+SELECT source_type, confidence, count(*) AS n, count(DISTINCT region) AS regions, count(DISTINCT period) AS periods,
+ count(DISTINCT indicator_name) AS indicator_names FROM raw GROUP BY 1, 2""")
+SQL["split_by_source"] = with_("raw", "SELECT id, source_type, period FROM raw")

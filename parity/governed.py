@@ -1,6 +1,6 @@
 from longtally import lexicon as lx
 from longtally.sources import bridge as b
-from .base import cte, in_list, pick, quote, values, with_
+from .base import cte, in_list, no_blanks, pick, quote, values, with_
 
 SQL: dict[str, str] = {}
 RANK = lx.RANK_SUFFIX
@@ -22,7 +22,7 @@ def key(x: str) -> str:
 cte("aliases", [], values(lx.alias_pairs(), "a", "c"))
 cte("manual", [], values(lx.MANUAL_NAMES, "a", "c"))
 cte("region_map", [], values(lx.REGION_CLEAN, "a", "c"))
-cte("unit_map", [], values(lx.unit_pairs(), "a", "c"))
+cte("unit_map", [], values(lx.UNIT_OF_INDICATOR | lx.UNIT_OF_PART, "a", "c"))
 
 
 def canon(src: str, col: str, name: str, status: str) -> str:
@@ -83,17 +83,16 @@ UNION ALL SELECT DISTINCT period, NULL, NULL, NULL, NULL FROM raw WHERE period L
 SQL["rows_with_documents"] = with_(["raw", "docs"], """
 SELECT CAST(year(doc_date) AS INT) AS doc_year, count(*) AS n, count(DISTINCT raw.doc_id) AS docs
 FROM raw JOIN docs ON raw.doc_id = docs.doc_id GROUP BY 1""")
-SQL["normalise_region"] = with_(["raw", "region_map"], """
-SELECT coalesce(m.c, replace(trim(region), ' ', '')) AS region, count(*) AS n
-FROM raw LEFT JOIN region_map m ON m.a = replace(trim(region), ' ', '') GROUP BY 1""")
+SQL["normalise_region"] = with_(["raw", "region_map"], f"""
+SELECT coalesce(m.c, {no_blanks('region')}) AS region, count(*) AS n
+FROM raw LEFT JOIN region_map m ON m.a = {no_blanks('region')} GROUP BY 1""")
 _NAMES = ", names AS (SELECT indicator_name, count(*) AS rows FROM raw GROUP BY 1)"
 _AUDIT = _NAMES + f", audit AS ({canon('names', 'indicator_name', 'canonical', 'status')})"
 _BASE = ["raw", "aliases", "manual"]
 SQL["remap_audit"] = with_(_BASE, _AUDIT + " SELECT * FROM audit")
 SQL["remap_status_totals"] = with_(_BASE, _AUDIT + " SELECT status, count(*) AS names, CAST(sum(rows) AS BIGINT) AS rows FROM audit GROUP BY 1")
 SQL["alias_dictionary"] = with_(_BASE, _AUDIT + """
-SELECT canonical, string_agg(indicator_name, '|' ORDER BY indicator_name) AS aliases, CAST(sum(rows) AS BIGINT) AS rows
-FROM audit WHERE canonical <> '' GROUP BY 1""")
+SELECT canonical, indicator_name AS alias, rows FROM audit WHERE canonical <> ''""")
 SQL["canonical_indicators"] = with_(_BASE, canon_indicator("ci", "raw", "indicator_name") + """
 SELECT indicator_name, canonical, status, count(*) AS n FROM ci GROUP BY ALL""")
 SQL["merged_name_counts"] = with_(["raw", "long"], """
@@ -115,7 +114,7 @@ cte("balance_sheets", [], values(lx.BALANCE_SHEETS, "a", "c"))
 cte("region_rows", [], values(lx.REGION_ROW, "a", "c"))
 cte("t1", ["raw", "docs", "usd", "majors", "city_sheets", "balance_sheets", "region_rows"], f"""
 SELECT r.*, year(d.doc_date) AS doc_year, u.doc_id IS NOT NULL AS is_usd, m.major, {normal("r.indicator_name")} AS ind,
- replace(trim(r.region), ' ', '') AS bare, cs.c AS city_name, bs.c AS balance_name, rr.c AS row_region
+ {no_blanks('r.region')} AS bare, cs.c AS city_name, bs.c AS balance_name, rr.c AS row_region
 FROM raw r LEFT JOIN docs d ON d.doc_id = r.doc_id LEFT JOIN usd u ON u.doc_id = r.doc_id
 LEFT JOIN majors m ON m.doc_id = r.doc_id AND m.sheet_name = r.sheet_name
 LEFT JOIN city_sheets cs ON cs.a = r.sheet_name LEFT JOIN balance_sheets bs ON bs.a = r.sheet_name
@@ -259,7 +258,7 @@ SQL["cluster_dropped"] = with_("price_points", _CL + """
 SELECT period, count(*) AS n FROM price_points WHERE id NOT IN (SELECT id FROM kp WHERE rn = 1) GROUP BY 1""")
 
 _PAIR_NAMES = ["实际利用境外资金", "外商直接投资", "全市用电总量(万千瓦小时)投资", "全市用电总量(亿千瓦小时)",
-               "全社会客运量(万人)", "客运量(万人)", "保险收入"]
+               "全社会客运量(万人)", "客运量(万人)", "保险收入", "地区生产总值(GDP)", "生产总值(GDP)"]
 cte("pairs", [], f"""
 SELECT o_orderkey AS id, concat(year(o_orderdate), '年1-', quarter(o_orderdate) * 3, '月') AS period,
  {pick(b.RAW_REGIONS[1:9], "o_orderkey // 7")} AS region, {pick(_PAIR_NAMES, "o_orderkey")} AS indicator_name,
@@ -271,13 +270,16 @@ SELECT id FROM pairs a WHERE indicator_name = '实际利用境外资金' AND EXI
 SQL["same_key_pairs"] = with_("pairs", """
 SELECT id FROM pairs a WHERE indicator_name = '实际利用境外资金' AND EXISTS (SELECT 1 FROM pairs t WHERE t.indicator_name = '外商直接投资'
  AND a.period = t.period AND a.region = t.region)""")
-cte("renames", [], values([(o, n, u, 1 if d else 0) for o, n, u, d in lx.ALIGN_RENAMES], "o", "n", "u", "d"))
+cte("renames", [], values([(i, o, n, u, 1 if d else 0) for i, (o, n, u, d) in enumerate(lx.ALIGN_RENAMES)], "k", "o", "n", "u", "d"))
 SQL["rename_and_dedupe"] = with_(["pairs", "renames"], """
+, fresh AS (
+ SELECT a.*, k, n, u, CASE WHEN d = 1 AND value > 10000 THEN round(value / 10000.0::DOUBLE, 4) ELSE value END AS stored
+ FROM pairs a JOIN renames ON o = indicator_name WHERE NOT EXISTS (SELECT 1 FROM pairs t WHERE t.indicator_name = n
+ AND a.period = t.period AND a.region = t.region AND a.value = t.value AND a.growth_rate IS NOT DISTINCT FROM t.growth_rate))
 SELECT id, indicator_name, indicator_name AS indicator_code, value, unit FROM pairs WHERE indicator_name NOT IN (SELECT o FROM renames)
 UNION ALL
-SELECT id, n, replace(n, ' ', ''), CASE WHEN d = 1 AND value > 10000 THEN round(value / 10000.0::DOUBLE, 4) ELSE value END, coalesce(u, unit)
-FROM pairs a JOIN renames ON o = indicator_name WHERE NOT EXISTS (SELECT 1 FROM pairs t WHERE t.indicator_name = n
- AND a.period = t.period AND a.region = t.region AND a.value = t.value AND a.growth_rate IS NOT DISTINCT FROM t.growth_rate)""")
+SELECT id, n, replace(n, ' ', ''), stored, coalesce(u, unit) FROM fresh a WHERE NOT EXISTS (SELECT 1 FROM fresh e WHERE e.k < a.k AND e.n = a.n
+ AND a.period = e.period AND a.region = e.region AND a.value = e.stored AND a.growth_rate IS NOT DISTINCT FROM e.growth_rate)""")
 _REG = f"concat({pick(b.RAW_REGIONS[6:10], 'id')}, {pick(['(45贸外处4)', '(46贸外处5)', '(99其它)'], 'id // 4')})"
 SQL["repair_region_in_name"] = with_("raw", f"""
 , s AS (SELECT * EXCLUDE (indicator_name), CASE WHEN id % 3 = 0 THEN {_REG} ELSE indicator_name END AS nm FROM raw)

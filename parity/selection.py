@@ -43,8 +43,7 @@ SQL["cumulative_trend_in_year"] = _trend(_total(["第二产业增加值"]), SERI
 SQL["region_trend"] = _trend(GDP_REGIONS, "period, " + REGION_COLS, _last(GDP_REGIONS, 2))
 SQL["growth_only_trend"] = _trend(_total(["规模工业增加值"]), SERIES)
 SQL["last_years_window"] = with_("long", f"""
-SELECT year, indicator_name, count(*) AS n FROM long WHERE region = '{TOTAL}'
-AND year >= (SELECT max(year) FROM long WHERE region = '{TOTAL}') - 1 GROUP BY ALL""")
+SELECT year, indicator_name, count(*) AS n FROM long WHERE year >= (SELECT max(year) FROM long) - 1 GROUP BY ALL""")
 SQL["equal_period_years"] = with_("long", """
 SELECT period, region, value FROM long WHERE indicator_name = '地区生产总值' AND (start, "end") = (
  SELECT (start, "end") FROM long WHERE indicator_name = '地区生产总值' ORDER BY year DESC, "end" DESC LIMIT 1)""")
@@ -77,5 +76,6 @@ SQL["history_page"] = with_("trace", """
 , s AS (SELECT session_id, max(created_at) AS last_at, count(*) AS steps FROM trace GROUP BY 1)
 SELECT *, (SELECT count(*) FROM s) AS total FROM s ORDER BY last_at DESC, session_id LIMIT 10 OFFSET 10""")
 SQL["controlled_query"] = with_("raw", """
-SELECT id, period, indicator_name, value FROM raw WHERE source_type = 'XLSX' AND value IS NOT NULL
-ORDER BY value DESC, id LIMIT 500""")
+, c AS (SELECT id, period, indicator_name, value FROM raw WHERE source_type = 'XLSX' AND value IS NOT NULL)
+SELECT *, (SELECT count(*) FROM c) > 500 AS more_rows FROM c ORDER BY value DESC, id LIMIT 500""")
+SQL["next_page"] = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 100"

@@ -231,6 +231,6 @@ def test_tree_and_consistency(spark):
 
 
 def test_lookup_keys_are_unique():
-    for pairs in (lx.alias_pairs(), lx.unit_pairs(), lx.category_publisher_pairs(), lx.question_indicator_pairs()):
+    for pairs in (lx.alias_pairs(), list((lx.UNIT_OF_INDICATOR | lx.UNIT_OF_PART).items()), list(lx.PUBLISHER_OF_CATEGORY.items()), lx.question_indicator_pairs()):
         keys = [k for k, _ in pairs]
         assert len(keys) == len(set(keys)) < 200
