@@ -103,6 +103,17 @@ def classify_questions(spark, sf):
     return qs.classify_questions(b.questions(spark, sf)).drop("question")
 
 
+@query("question_plans")
+def question_plans(spark, sf):
+    return qs.question_plans(b.questions(spark, sf)).drop("question")
+
+
+@query("plan_profile")
+def plan_profile(spark, sf):
+    plans = qs.question_plans(b.questions(spark, sf))
+    return plans.groupBy("intent", "dimensions", "chart", "about_records").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("intent_profile")
 def intent_profile(spark, sf):
     return qs.classify_questions(b.questions(spark, sf)).groupBy("intent", "confidence").agg(F.count(F.lit(1)).alias("n"))

@@ -505,6 +505,9 @@ QUESTION_PHRASES = [
     "2024年地区生产总值趋势如何", "近3年社会消费品零售总额走势", "各县区GDP排名对比", "外商直接投资排名",
     "进出口是多少", "出口交货值与出口对比", "最新的一般公共预算收入是多少", "近五年固定资产投资增速变化",
     "为什么销售额下降", "居民收入占比结构", "9月末各项存款余额", "用户画像与偏好特征", "过去3个月纺织业增长",
+    "各行业固定资产投资增速", "存贷款余额走势", "规模工业大类行业增速", "城镇和乡村零售额", "住户存款结构", "外贸情况怎么样",
+    "各县经济情况", "第二产业变化", "三次产业占比变化", "政府发文情况", "分行业增加值占比", "各区县税收占比趋势",
+    "预算收入中税收和非税收入的构成", "各区域占比分布", "一产投资", "功能分类支出占比",
 ]
 
 

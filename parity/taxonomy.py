@@ -148,6 +148,48 @@ SELECT conv_id, turn, v AS indicator, min(i) AS i FROM (
 SQL["classify_questions"] = with_("asked_inds", """
 SELECT a.* EXCLUDE (found), coalesce(s.l, '') AS indicators FROM asked a LEFT JOIN (
  SELECT conv_id, turn, string_agg(indicator, ',' ORDER BY i) AS l FROM asked_inds GROUP BY 1, 2) s ON s.conv_id = a.conv_id AND s.turn = a.turn""")
+_Q = "question"
+_has = lambda words: any_of(_Q, words)
+_meets = lambda groups: " AND ".join(_has(g) for g in groups)
+_joined = lambda items: quote("|".join(items))
+_DETAIL = case([(_meets(g), _joined(m)) for g, m in lx.DETAIL_METRICS], "NULL")
+_OWN = f"""CASE WHEN {_has(lx.WHOLE_INDUSTRY_WORDS)} THEN {_joined(lx.SECTORS)} ELSE concat_ws('|',
+ CASE WHEN contains(question, '一产') THEN '第一产业' END, CASE WHEN contains(question, '二产') THEN '第二产业' END, CASE WHEN contains(question, '三产') THEN '第三产业' END) END"""
+_CATEGORY = case([(_has(w), _joined(m)) for w, m in lx.CATEGORY_METRICS], f"CASE WHEN {_has(lx.REGION_WORDS)} THEN '地区生产总值' ELSE {_joined(lx.SECTORS)} END")
+_TOTALS = in_list(lx.STRUCTURE_TOTAL_METRICS)
+_TREND, _SREG, _SIND = _has(lx.TREND_WORDS), _has(lx.STRUCTURE_REGION_WORDS), _has(lx.STRUCTURE_INDUSTRY_WORDS)
+_SNAP = f"({_has(lx.SNAPSHOT_WORDS)} AND NOT {_has(lx.SNAPSHOT_BLOCK_WORDS)})"
+_STRUCTURE = case([(_meets(g), _joined(m)) for g, m in lx.STRUCTURE_METRICS], "NULL")
+_USUAL = "CASE WHEN own <> '' THEN own WHEN named <> '' THEN named ELSE category END"
+_PARTS_OR = "CASE WHEN parts <> '' THEN parts ELSE named END"
+_after = lambda dim: f"CASE WHEN {_TREND} THEN '期间|{dim}' ELSE '{dim}' END"
+_PLANS = [  # condition, metrics, dimensions, chart, period
+    ("intent = 'STRUCTURE' AND detail IS NOT NULL", "detail", "'指标'", "'bar'", "'最新期间'"),
+    (f"intent = 'STRUCTURE' AND NOT {_SIND} AND named <> '' AND {_SREG}", _PARTS_OR, _after("区县"), f"CASE WHEN {_TREND} THEN 'line' WHEN {_has(lx.STRUCTURE_COMPARE_WORDS)} THEN 'bar' ELSE 'pie' END", "'最新期间'"),
+    (f"intent = 'STRUCTURE' AND NOT {_SIND} AND named <> ''", _PARTS_OR, _after("指标"), f"CASE WHEN {_TREND} THEN 'line' ELSE 'pie' END", "'最新期间'"),
+    (f"intent = 'STRUCTURE' AND ({_SREG} OR {_SIND})", f"CASE WHEN own <> '' THEN own ELSE {_joined(lx.SECTOR_METRICS)} END", _after("产业"), f"CASE WHEN {_TREND} THEN 'line' ELSE 'pie' END", "'最新期间'"),
+    ("intent = 'STRUCTURE'", _joined(lx.SECTOR_METRICS), "'产业'", "'pie'", "'最新期间'"),
+    ("detail IS NOT NULL AND contains(question, '投资')", _joined(lx.INDUSTRY_INVESTMENT_NAMES), "'期间|行业'", "'line'", "NULL"),
+    ("contains(question, '存贷款')", "'各项存款|各项贷款'", "'期间|指标'", "'line'", "NULL"),
+    (_has(lx.SECTOR_QUESTION_WORDS), _joined(lx.INDUSTRY_NAMES), "'期间|行业'", "'line'", "NULL"),
+    ("structured IS NOT NULL", "structured", "'期间|指标'", "'line'", "NULL"),
+    ("rank_metric IS NOT NULL", "rank_metric", "'区县'", "'bar'", "NULL"),
+    (_SNAP, _USUAL, "'指标'", "'bar'", "'最新期间'"),
+    (f"{_has(lx.REGION_WORDS)} AND {_has(lx.SNAPSHOT_COMPARE_WORDS)}", _USUAL, "'区县'", "'bar'", "NULL"),
+    (_has(lx.REGION_WORDS), _USUAL, "'期间|区县'", "'line'", "NULL"),
+]
+_column = lambda i, other: case([(p[0], p[i]) for p in _PLANS], other)
+_ASKED_PLANS = f"""
+, l AS (SELECT conv_id, turn, string_agg(indicator, '|' ORDER BY i) AS named, coalesce(string_agg(indicator, '|' ORDER BY i) FILTER (indicator NOT IN {_TOTALS}), '') AS parts
+  FROM asked_inds GROUP BY 1, 2)
+, c AS (SELECT q.conv_id, q.turn, question, intent, rank_metric, coalesce(named, '') AS named, coalesce(parts, '') AS parts, {_DETAIL} AS detail, {_OWN} AS own,
+  {_CATEGORY} AS category, {_STRUCTURE} AS structured
+  FROM questions q JOIN asked a ON a.conv_id = q.conv_id AND a.turn = q.turn LEFT JOIN l ON l.conv_id = q.conv_id AND l.turn = q.turn)
+, plans AS (SELECT conv_id, turn, intent, {_column(1, _USUAL)} AS metrics, {_column(2, "CASE WHEN own <> '' THEN '期间|产业' ELSE '期间|指标' END")} AS dimensions,
+  {_column(3, "'line'")} AS chart, {_column(4, "NULL")} AS period, {any_of("lower(question)", lx.RECORD_KEYWORDS)} AS about_records FROM c)
+"""
+SQL["question_plans"] = with_(["questions", "asked_inds"], _ASKED_PLANS + "SELECT * FROM plans")
+SQL["plan_profile"] = with_(["questions", "asked_inds"], _ASKED_PLANS + "SELECT intent, dimensions, chart, about_records, count(*) AS n FROM plans GROUP BY 1, 2, 3, 4")
 SQL["intent_profile"] = with_("asked", "SELECT intent, confidence, count(*) AS n FROM asked GROUP BY 1, 2")
 SQL["rank_questions"] = with_("asked", "SELECT conv_id, turn, rank_metric AS metric FROM asked WHERE rank_metric IS NOT NULL")
 SQL["question_indicators"] = with_("asked_inds", "SELECT conv_id, turn, indicator FROM asked_inds")

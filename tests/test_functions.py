@@ -72,3 +72,38 @@ def test_small_text_helpers(spark):
     assert column(spark, ["noise {\"a\": 1} tail", "none"], text.json_slice) == ['{"a": 1}', None]
     assert column(spark, ["一、地区生产总值（GDP）", "（三）工业："], text.clean_title_numbering) == ["地区生产总值（GDP）", "工业"]
     assert column(spark, [3.0, 2.5], text.plain_number, "double") == ["3", "2.5"]
+
+
+PLANS = [
+    ("存贷款余额走势", "各项存款|各项贷款", "期间|指标", "line", None),
+    ("外商直接投资排名", "外商直接投资", "区县", "bar", None),
+    ("最新的一般公共预算收入是多少", "一般公共预算收入", "指标", "bar", "最新期间"),
+    ("各县经济情况", "地区生产总值", "期间|区县", "line", None),
+    ("第二产业变化", "第二产业", "期间|产业", "line", None),
+    ("外贸情况", "进出口|出口|进口|外商直接投资", "期间|指标", "line", None),
+    ("各区县税收占比趋势", "税收收入", "期间|区县", "line", "最新期间"),
+    ("一般公共预算收入中税收和非税收入的占比", "税收收入|非税收入", "指标", "pie", "最新期间"),
+    ("三次产业占比变化", "第一产业|第二产业|第三产业", "期间|产业", "line", "最新期间"),
+    ("城镇和乡村零售额", "城镇零售额|城区零售额|乡村零售额", "期间|指标", "line", None),
+    ("经济怎么样", "第一产业|第二产业|第三产业", "期间|指标", "line", None),
+]
+
+
+def test_plans_of_questions(spark):
+    from longtally.operators.questions import question_plans
+
+    df = spark.createDataFrame([(p[0],) for p in PLANS], "question string")
+    got = {r["question"]: (r["metrics"], r["dimensions"], r["chart"], r["period"]) for r in question_plans(df).collect()}
+    assert got == {p[0]: p[1:] for p in PLANS}
+
+
+def test_blanks_and_numbers_as_sheets_have_them(spark):
+    from pyspark.sql import functions as F
+
+    from longtally.functions import text
+
+    df = spark.createDataFrame([("项\u3000目", "\u00a0 a\u3000\u3000b\n", "12d", "1,234.5%")], "a string, b string, c string, d string")
+    row = df.select(
+        text.no_space(F.col("a")), text.squash(F.col("b")), text.trim_blanks(F.col("b")), text.to_number(F.col("c")), text.to_number(F.col("d"))
+    ).first()
+    assert tuple(row) == ("项目", "a b", "a\u3000\u3000b", None, 1234.5)

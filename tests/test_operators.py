@@ -234,3 +234,24 @@ def test_lookup_keys_are_unique():
     for pairs in (lx.alias_pairs(), list((lx.UNIT_OF_INDICATOR | lx.UNIT_OF_PART).items()), list(lx.PUBLISHER_OF_CATEGORY.items()), lx.question_indicator_pairs()):
         keys = [k for k, _ in pairs]
         assert len(keys) == len(set(keys)) < 200
+
+
+def test_renames_go_pair_by_pair(spark):
+    from longtally.operators.merge import rename_and_dedupe
+
+    rows = [
+        (1, "2024年1-3月", "全市", "地区生产总值(GDP)", "x", 5.0, 1.0, ""), (2, "2024年1-3月", "全市", "生产总值(GDP)", "x", 5.0, 1.0, ""),
+        (3, "2024年1-3月", "全市", "生产总值(GDP)", "x", 6.0, None, ""), (4, "2024年1-3月", "全市", "地区生产总值(GDP)", "x", 5.0, 1.0, ""),
+        (5, "2024年1-6月", "全市", "地区生产总值", "x", 7.0, None, ""), (6, "2024年1-6月", "全市", "生产总值(GDP)", "x", 7.0, None, ""),
+    ]
+    df = spark.createDataFrame(rows, "id long, period string, region string, indicator_name string, indicator_code string, value double, growth_rate double, unit string")
+    assert sorted(r["id"] for r in rename_and_dedupe(df).collect()) == [1, 3, 4, 5]
+
+
+def test_trend_is_flat_where_an_end_has_no_number(spark):
+    from pyspark.sql import functions as F
+
+    from longtally.operators.insight import conclude_trend
+
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, 5.0), ("a", 3, 9.0), ("b", 1, 1.0), ("b", 2, 2.0)], "g string, o int, v double")
+    assert {r["g"]: r["trend"] for r in conclude_trend(df, "v", F.col("o"), ["g"]).collect()} == {"a": "flat", "b": "up"}
