@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, stored
 from .recurrent import END, Network, Pass, laid_out
 
-HEAD, VOCABULARY, CLASSES, HIDDEN = 1 << 18, 4096, 64, 16
-WINDOW, LANES, RATE, ROUNDS = 32, 512, 0.01, 2
+HEAD, VOCABULARY, CLASSES, HIDDEN = 1 << 17, 2048, 32, 8
+WINDOW, LANES, RATE, ROUNDS = 32, 512, 0.02, 2
 #: Words held at once in a task: documents are laid out into lanes pool by pool.
 POOL_WORDS = 3_000_000
 FLUSH = 400_000
@@ -65,6 +65,22 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _level() -> Column:
+    """Counts by eighths of powers of two."""
+    return F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+
+
+def _head_level(counts: DataFrame) -> int:
+    """The lowest level from which on there are no more than HEAD words; a few hundred levels are looked at."""
+    total, lowest = 0, 2**30
+    for level, words in sorted(map(tuple, counts.groupBy(_level().alias("level")).agg(F.count("*").alias("words")).collect()), reverse=True):
+        total += words
+        if total > HEAD:
+            break
+        lowest = level
+    return lowest
+
+
 class Head:
     """The most frequent words in order, their counts, and the mass of all words beyond the vocabulary."""
 
@@ -171,14 +187,13 @@ def score(documents: DataFrame, train_on: Column, *, text: str = "text", doc_id:
     counts = stored(word_counts(training.select("text")), "lm-counts")
     documents_seen = training.count()
     words_seen, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # Bounded: HEAD words.
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()
-    head = Head(
-        [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.float64), documents_seen,
-        words_seen + documents_seen, distinct + (documents_seen > 0),
-    )
-    last = (top[-1]["n"], bytes(top[-1]["word"])) if len(top) == HEAD else (0, b"")
-    del top
+    frequent = _head_level(counts)
+    # Bounded: HEAD words at most.
+    top = counts.where(_level() >= frequent).toArrow()
+    words, times = top.column("word").to_pylist(), top.column("n").to_numpy()
+    order = sorted(range(len(words)), key=lambda i: (-times[i], words[i]))
+    head = Head([words[i] for i in order], times[order].astype(np.float64), documents_seen, words_seen + documents_seen, distinct + (documents_seen > 0))
+    del top, words, times, order
     parameters = train(training.select("text", "doc_id").select("text", F.xxhash64("doc_id", "text").alias("_share")), head, F.col("_share"))
     sent = documents.sparkSession.sparkContext.broadcast((head, parameters))
 
@@ -216,7 +231,7 @@ def score(documents: DataFrame, train_on: Column, *, text: str = "text", doc_id:
     words = parts.where(F.size("rare") > 0).select("doc_id", "text_key", F.posexplode("rare").alias("at", "r")).select(
         "doc_id", "text_key", (F.col("at") == 0).cast("long").alias("row"), F.col("r.word").alias("word"), F.col("r.n").alias("times")
     )
-    beyond = counts.where((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("word") > F.lit(last[1])))) if last[0] else counts.limit(0)
+    beyond = counts.where(_level() < frequent)
     looked = words.join(beyond, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     # Rows that share id and text are folded together: the sums are those of one row times their number.
     folded = looked.groupBy("doc_id", "text_key").agg(

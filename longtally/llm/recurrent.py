@@ -136,7 +136,7 @@ class Pass:
 
     def _output(self, state: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
         net = self.net
-        group = np.minimum(target // net.width, net.classes)
+        group = np.where(target == net.vocabulary, net.classes, target // net.width)
         logits = state @ net.class_out + net.class_bias
         np.exp(logits, out=logits)
         rows = np.arange(len(target))
