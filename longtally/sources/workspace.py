@@ -37,9 +37,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{folder(spark)}/longtally-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """Names, lengths and times of the input files, two levels deep; a driver-side listing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen = []
+    for entry in files.listStatus(path):
+        inner = files.listStatus(entry.getPath()) if entry.isDirectory() else [entry]
+        seen += [f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in inner]
+    return hashlib.sha1("\n".join(sorted(seen)).encode()).hexdigest()[:16]
+
+
 def written(spark: SparkSession, name: str, sf_dir: str, build: Callable[[], DataFrame], *partition_by: str) -> DataFrame:
-    """The table built by ``build``, written on first use and read afterwards."""
-    key = (spark.sparkContext.applicationId, f"{name}@{sf_dir}")
+    """The table built by ``build``, written on first use and read until an input file changes."""
+    key = (spark.sparkContext.applicationId, f"{name}@{sf_dir}@{_state(spark, sf_dir)}")
     if key not in _WRITTEN:
         tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:8]
         path = new_path(spark, f"{name}-{tag}")
