@@ -104,9 +104,16 @@ def remove_repeats(documents: DataFrame, *, text: str = "text", doc_id: str = "d
     order = F.coalesce("doc_id", never)
     shared = (
         marks.groupBy("h1", "h2").agg(F.min(order).alias("first_id"), F.max(order).alias("last_id"), F.min("text_key").alias("k1"), F.max("text_key").alias("k2"), F.count("*").alias("n"))
-        .where("n > 1 AND (first_id < last_id OR k1 < k2)").select("h1", "h2", "first_id", "k1")
+        .where("n > 1 AND (first_id < last_id OR k1 < k2)").select("h1", "h2", "first_id")
     )
-    later = marks.join(stored(shared, "spans-shared"), ["h1", "h2"]).where((order > F.col("first_id")) | ((F.col("text_key") > F.col("k1")) & (order == F.col("first_id"))))
+    shared_marks = stored(marks.join(stored(shared, "spans-shared"), ["h1", "h2"]).withColumn("first", order == F.col("first_id")), "spans-marks")
+    # Several texts may share the smallest id: of them the one with the smallest checksum is the first.
+    twins = (
+        shared_marks.where("first").groupBy("h1", "h2").agg(F.min("text_key").alias("k1"), F.max("text_key").alias("k2"))
+        .where("k1 < k2").select("h1", "h2", "k1")
+    )
+    second = shared_marks.where("first").join(stored(twins, "spans-twins"), ["h1", "h2"]).where("text_key > k1")
+    later = shared_marks.where("NOT first").select("doc_id", "text_key", "at").union(second.select("doc_id", "text_key", "at"))
     # A group is one text: its list is no longer than its sentences.
     removed = stored(later.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("at")), "spans-removed")
 
