@@ -179,7 +179,8 @@ def test_rename_keeps_one_of_equal_rows(spark):
 
 def test_conclusions(spark):
     df = spark.createDataFrame([(1, "a", 10.0), (2, "b", 20.0), (3, "c", 20.0), (4, "d", None)], "o int, n string, v double")
-    assert insight.conclude_trend(df, "v", F.col("o")).first().trend == "up"
+    assert insight.conclude_trend(df, "v", F.col("o")).first().trend == "flat"
+    assert insight.conclude_trend(df.filter("o < 4"), "v", F.col("o")).first().trend == "up"
     top = insight.conclude_top1(df, "n", "v").first()
     assert (top.name, top.value, top.lead) == ("b", 20.0, 0.0)
     assert insight.conclude_share(df, "n", "v").first().share == 40.0

@@ -30,16 +30,20 @@ def test_replace_by_name_and_split(spark):
     assert {(r.analysis_name, r.v) for r in spark.read.parquet(path).collect()} == {("a", 2), ("b", 1)}
 
 
-def test_workspace_writes_once(spark):
+def test_workspace_writes_once_for_each_state_of_its_inputs(spark, tmp_path):
     calls = []
+    (tmp_path / "table.parquet").write_bytes(b"one")
 
     def build():
         calls.append(1)
         return spark.range(3)
 
     for _ in range(2):
-        assert workspace.written(spark, "once", "/nowhere", build).count() == 3
+        assert workspace.written(spark, "once", str(tmp_path), build).count() == 3
     assert calls == [1]
+    (tmp_path / "table.parquet").write_bytes(b"another")
+    assert workspace.written(spark, "once", str(tmp_path), build).count() == 3
+    assert calls == [1, 1]
 
 
 def stream_of(spark, rows, schema, parts=1):
@@ -83,3 +87,23 @@ def test_split_by_source_and_csv(spark):
     out = workspace.new_path(spark, "csv")
     stores.write_csv(df, out)
     assert sorted(spark.read.option("header", True).csv(out).columns) == ["id", "source_type"]
+
+
+def test_stream_counts_add_up_to_all_events(spark):
+    from longtally.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    counts = catalog.load()["stream_daily_counts"](spark, sf)
+    assert sum(r["n"] for r in counts.collect()) == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_keyed_upsert_takes_a_late_repeat_once(spark):
+    schema = "key string, at int, text string"
+    path, checkpoint = workspace.new_path(spark, "upsert"), workspace.new_path(spark, "upsert-checkpoint")
+    source = workspace.new_path(spark, "upsert-source")
+    for rows in ([("a", 1, "x"), ("b", 5, "y"), ("a", 0, "first")], [("a", 99, "late repeat"), ("c", 7, "z")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        live.upsert_documents(stream, path, checkpoint, "key", "at").awaitTermination()
+    got = sorted((r["key"], r["text"]) for r in spark.read.parquet(path).collect())
+    assert got == [("a", "first"), ("b", "y"), ("c", "z")]
