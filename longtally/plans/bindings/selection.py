@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ...operators import select as op
 from ...sources import bridge as b
-from ... import lexicon as lx
 from ..catalog import query
 
 
