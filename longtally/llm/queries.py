@@ -129,7 +129,7 @@ SQL: dict[str, str] = {
         hits AS (
             SELECT p.doc_id, p.i, p.m, w.item_id FROM places p JOIN windows w ON p.m = w.m AND array_to_string(p.ws[p.i:p.i + p.m - 1], ' ') = w.s
         ),
-        covered AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS at FROM hits) GROUP BY doc_id),
+        covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS place FROM hits) GROUP BY doc_id),
         items AS (
             SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
             FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
