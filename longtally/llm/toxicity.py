@@ -20,6 +20,7 @@ from itertools import cycle
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,15 +34,17 @@ TRAITS, MINED = 4096, 16
 STEM_BYTES = (3, 4, 5, 6, 7, 8)
 LONGEST_WORD = 32
 EM_STEPS, THRESHOLD = 6, 0.3
+#: Of the texts with a mined toxic trait at least this part is toxic, in either half of the sample.
+LEAST_PRECISION = 0.6
 
 #: Insults by theme, lower case.
 LEXICONS = {
     "mind": ["idiot", "idiots", "idiotic", "stupid", "stupidity", "moron", "morons", "moronic", "dumb", "dumbass", "imbecile", "fool", "cretin", "dimwit"],
     "worth": ["worthless", "pathetic", "loser", "losers", "useless", "failure", "nobody"],
-    "dirt": ["trash", "garbage", "scum", "filth", "filthy", "vermin", "pig", "rat"],
+    "dirt": ["trash", "garbage", "scum", "filth", "filthy", "vermin"],
     "disgust": ["disgusting", "vile", "repulsive", "revolting", "hideous", "sickening"],
     "mockery": ["clown", "clowns", "joke", "freak", "creep", "weirdo", "crybaby"],
-    "threat": ["kill", "die", "hang", "shoot", "destroy", "beat", "burn"],
+    "threat": ["kill", "murder", "shoot", "destroy", "strangle"],
     "hate": ["hate", "hated", "despise", "loathe", "detest"],
 }
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -225,6 +228,26 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return crc_mod(doc_id, 4) == 2
 
 
+def _sketch(text: bytes | None) -> int:
+    """The smallest hash of the text's five-word runs: near copies mostly share it."""
+    words = _words(text)
+    runs = (b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+    return min(xxhash.xxh64_intdigest(r) for r in runs) - (1 << 63)
+
+
+def _one_per_sketch(sample: DataFrame) -> DataFrame:
+    """One row of (doc_id, text, toxic, half) for each sketch and label, so that copies do not count as evidence again and again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = [_sketch(t.as_py()) for t in batch.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.int64())], ["doc_id", "sketch"])
+
+    marked = sample.select("doc_id", "text").mapInArrow(run, "doc_id long, sketch long").distinct()
+    first = marked.join(sample.select("doc_id", "toxic").distinct(), "doc_id").groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    return sample.join(first.select("doc_id").distinct(), "doc_id")
+
+
 def _mined(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
     """Traits that tell toxic from clean texts: (toxic, best first; clean, best first), counted over the whole sample.
 
@@ -250,18 +273,17 @@ def _mined(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
     sizes = {(r["half"], r["toxic"]): r["n"] for r in sample.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
     of = lambda c: F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).cast("double")
     counts = cells.groupBy("stem").agg(*(of(c).alias(f"c{c}") for c in range(4)))
-    odds = []
-    for half in (0, 1):
-        rate = [(F.col(f"c{2 * half + y}") + 0.5) / float(sizes.get((half, y), 0) + 1) for y in (0, 1)]
-        odds.append(F.log(rate[1] / rate[0]))
+    seen = [sizes.get((0, y), 0) + sizes.get((1, y), 0) for y in (0, 1)]
     total = [F.col(f"c{y}") + F.col(f"c{2 + y}") for y in (0, 1)]
-    share = [total[y] / float(max(1, sizes.get((0, y), 0) + sizes.get((1, y), 0))) for y in (0, 1)]
-    # How many standard errors the shares are apart.
-    pooled = (total[0] + total[1]) / float(max(1, sum(sizes.values())))
-    spread = F.sqrt(pooled * (1 - pooled) * sum(1.0 / max(1, sizes.get((0, y), 0) + sizes.get((1, y), 0)) for y in (0, 1)) + 1e-12)
-    judged = counts.select("stem", F.least(*odds).alias("low"), F.greatest(*odds).alias("high"), ((share[1] - share[0]) / spread).alias("z"), total[1].alias("in_toxic"))
-    toxic = judged.where("z > 6 AND low > 1.5 AND in_toxic >= 4").orderBy(F.desc("z"), "stem").limit(TRAITS * 3 // 4)
-    clean = judged.where("z < -4 AND high < -0.3").orderBy("z", "stem").limit(TRAITS // 4)
+    share = [total[y] / float(max(1, seen[y])) for y in (0, 1)]
+    # How many standard errors the shares are apart, and which part of the texts with the trait is toxic.
+    pooled = (total[0] + total[1]) / float(max(1, sum(seen)))
+    spread = F.sqrt(pooled * (1 - pooled) * sum(1.0 / max(1, n) for n in seen) + 1e-12)
+    toxic_part = [(F.col(f"c{2 * h + 1}") + 0.5) / (F.col(f"c{2 * h}") + F.col(f"c{2 * h + 1}") + 1) for h in (0, 1)]
+    base = seen[1] / max(1, sum(seen))
+    judged = counts.select("stem", F.least(*toxic_part).alias("low"), F.greatest(*toxic_part).alias("high"), ((share[1] - share[0]) / spread).alias("z"), total[1].alias("in_toxic"))
+    toxic = judged.where(f"z > 6 AND low > {LEAST_PRECISION} AND in_toxic >= 5").orderBy(F.desc("z"), "stem").limit(TRAITS * 3 // 4)
+    clean = judged.where(f"z < -4 AND high < {0.7 * base}").orderBy("z", "stem").limit(TRAITS // 4)
     return [bytes(r["stem"]) for r in toxic.collect()], [bytes(r["stem"]) for r in clean.collect()]
 
 
@@ -279,7 +301,8 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     )
     chosen = F.broadcast(stored(chosen, "toxicity-labels"))  # bounded: at most ``rows`` ids with their label
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
-    sample = stored(docs.join(chosen, "doc_id").withColumn("half", half), "toxicity-sample")
+    labelled = stored(docs.join(chosen, "doc_id").select("doc_id", "text", "toxic", half.alias("half")), "toxicity-labelled")
+    sample = stored(_one_per_sketch(labelled), "toxicity-sample")
     mined, clean = _mined(sample)
     voters = Voters(mined, clean)
 
