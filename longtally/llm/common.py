@@ -96,6 +96,15 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(nodes.select(F.col("root").alias("node"), "root")).distinct()
 
 
+#: Rows up to which a table of one short row per source or shard is sent to all tasks.
+FEW_ROWS = 20_000
+
+
+def sent_if_few(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it was counted to have few rows, else as it is; for tables that are already stored."""
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+
+
 def running_total(df: DataFrame, group: list[str], order: str, value: str, name: str) -> DataFrame:
     """Sum of ``value`` over the rows before each row of its group; for small, already folded tables."""
     before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, checkpointed, running_total, stored
+from .common import WORD, checkpointed, running_total, sent_if_few, stored
 
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
@@ -101,7 +101,7 @@ def mixed(rows: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
     interchangeable.
     """
     moments = checkpointed(rows.groupBy("source", "prior").agg(F.sum("size").cast("double").alias("size")))
-    found = tilts(moments, targets, cap).select(F.col("source").alias("of"), "target", "tilt")
+    found = sent_if_few(checkpointed(tilts(moments, targets, cap).select(F.col("source").alias("of"), "target", "tilt")))
     rate = F.least(F.col("prior") * F.exp("tilt"), F.lit(cap))
     whole = F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-9, F.round("rate")).otherwise(F.floor("rate"))
     uniform = (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("mix")), F.lit(1 << 40)) / float(1 << 40))
@@ -136,7 +136,7 @@ def mixed(rows: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
             full.select("of", "need", F.when(F.col("need") > 0, STEPS * STEPS + 1).otherwise(-1).cast("long"), F.lit(0).cast("long"))
         )
     )
-    placed = draws.join(limits, source.eqNullSafe(F.col("of"))).drop("of")
+    placed = draws.join(sent_if_few(limits), source.eqNullSafe(F.col("of"))).drop("of")
     away = placed.where("fine <> edge").withColumn("up", (F.col("fine") < F.col("edge")).cast("long"))
     order = Window.partitionBy("source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     counted = F.when(F.col("fraction") > 0, F.col("size")).otherwise(0)
@@ -163,7 +163,7 @@ def mix(documents: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, text:
     ), "mix-rows")
     sources = checkpointed(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     targets = checkpointed(capped_targets(checkpointed(cyclic_weights(sources, weights)), cap))
-    sizes = targets.select(F.col("source").alias("of"), "source_size")
+    sizes = sent_if_few(targets.select(F.col("source").alias("of"), "source_size"))
     return mixed(rows, targets, cap).join(sizes, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
 
