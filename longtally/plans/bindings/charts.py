@@ -98,7 +98,7 @@ def axis_order(spark, sf):
 @query("chart_series")
 def chart_series(spark, sf):
     rows = select.region_trend(b.indicator_long(spark, sf))
-    return s.chart_series(rows, "period", "region", "value", F.col("value"))
+    return s.chart_series(rows, "period", "region", s.value_column(rows), F.col("value"))
 
 
 @query("growth_overlay")
