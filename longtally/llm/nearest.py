@@ -7,7 +7,9 @@ vectors (perturbations of few, close cell borders first). The candidates of all
 ranked by exact cosines.
 
 The grid grows with the number of vectors. The number of probes is fitted on a bounded sample:
-the least with which the sample's own neighbours are found as often as ``recall`` asks.
+the least with which the sample's own neighbours are found as often as ``recall`` asks. A grid that
+does not reach it with ``MOST_PROBES`` is replaced by a coarser one. Where the visits would be no
+fewer than the vectors themselves, there is no grid: queries go to all vectors, block by block.
 
 Cells are dealt into groups; a group's rows travel once per table, and a query goes once to
 every group that holds a cell it visits, with the list of those cells. A group of more than
@@ -47,7 +49,7 @@ def probe_order(projections: int, most: int) -> np.ndarray:
     j = np.arange(1, 2 * k + 1)
     mirrored = 2 * k + 1 - j
     score = np.where(j <= k, j * (j + 1) / (4 * (k + 1) * (k + 2)), 1 - mirrored / (k + 1) + mirrored * (mirrored + 1) / (4 * (k + 1) * (k + 2)))
-    rows, heap = [()], [(score[0], (0,))]
+    rows, heap = [()], [(score[0], (0,))] if k else []
     while heap and len(rows) < most:
         cost, places = heapq.heappop(heap)
         if all(2 * k - 1 - p not in places for p in places):
@@ -101,29 +103,36 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, vectors: int, neighbours: int, recall: float) -> Grid:
-    """A grid for so many vectors, with the least number of probes that reaches ``recall`` on the sample."""
+    """The finest grid for so many vectors that reaches ``recall`` on the sample, with the least number of probes.
+
+    Without projections (a full scan) where no grid reaches it with fewer comparisons than there are vectors.
+    """
     projections = int(np.clip(math.ceil(math.log2(max(2.0, vectors / PER_CELL)) / BITS_PER_PROJECTION), 2, 24))
-    grid = Grid(sample.shape[1], projections)
-    unit = _unit(sample)
+    unit = _unit(sample[np.sort(np.unique(sample, axis=0, return_index=True)[1])])  # copies are found by any grid
     own = min(SAMPLE_QUERIES, len(unit))
     near = unit[:own] @ unit.T
     near[np.arange(own), np.arange(own)] = -np.inf
     best = np.argsort(-near, axis=1, kind="stable")[:, : min(neighbours, len(unit) - 1)]
-    cells = grid.cells(unit)
-    first = np.full(best.shape, len(grid.order))
-    for t in range(TABLES):
-        visits = grid.probes(unit[:own], t)
-        for q in range(own):
-            order = np.argsort(visits[q], kind="stable")
-            at = np.searchsorted(visits[q][order], cells[best[q], t])
-            at = np.minimum(at, len(order) - 1)
-            hit = visits[q][order[at]] == cells[best[q], t]
-            first[q] = np.minimum(first[q], np.where(hit, order[at], len(grid.order)))
-    found = np.sort(first, axis=None)
-    if len(found):
-        probes = int(found[min(len(found) - 1, math.ceil(recall * len(found)) - 1)]) + 1
-        grid.order = grid.order[: min(max(probes, 8), len(grid.order))]
-    return grid
+    for k in range(projections, 0, -1):
+        grid = Grid(sample.shape[1], k)
+        most = len(grid.order)
+        cells = grid.cells(unit)
+        nth = np.empty((TABLES, own, len(unit)), np.int64)  # the probe that visits a vector's cell
+        for t in range(TABLES):
+            visits = grid.probes(unit[:own], t)
+            for q in range(own):
+                order = np.argsort(visits[q], kind="stable")
+                at = np.minimum(np.searchsorted(visits[q][order], cells[:, t]), most - 1)
+                nth[t, q] = np.where(visits[q][order[at]] == cells[:, t], order[at], most)
+        found = np.sort(np.take_along_axis(nth.min(axis=0), best, axis=1), axis=None)
+        if not len(found):
+            return grid
+        probes = int(found[math.ceil(recall * len(found)) - 1]) + 1
+        if probes > most:
+            continue
+        grid.order = grid.order[: max(probes, 8)]
+        return grid if (nth < len(grid.order)).sum() < own * len(unit) else Grid(sample.shape[1], 0)
+    return Grid(sample.shape[1], 0)
 
 
 def usable(vector: str):
@@ -142,7 +151,8 @@ def nearest(
     candidate of queries with its own id. Vectors null, empty, zero or with null or non-finite components take
     no part, nor do rows without an id, nor vectors of another dimension than most of the sample. Of equal vectors only the ids
     that can be among the nearest (the smallest ``neighbours`` + 1) are indexed, so copies lose no result. A query
-    that finds fewer than asked is run again over all cells. An empty table gives no rows.
+    that finds fewer than asked is run again over all cells. Where ``fit`` gives no grid, the result is exact.
+    An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.where(usable(vector) & F.col(vec_id).isNotNull()).select(
@@ -159,7 +169,8 @@ def nearest(
     dimension = max(set(sizes), key=lambda n: (sizes.count(n), n))
     grid = fit(np.array([v for v in sample if len(v) == dimension]), total, neighbours, recall)
     rows = rows.where(F.size("v") == dimension)
-    groups = max(partitions(spark), -(-total * TABLES // ROWS_PER_TASK))
+    whole = grid.projections == 0
+    groups = max(partitions(spark), -(-total * (1 if whole else TABLES) // ROWS_PER_TASK))
 
     same = Window.partitionBy(F.xxhash64("v"), F.hash("v"), "v").orderBy("id")
     able = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= neighbours + 1)
@@ -181,6 +192,9 @@ def nearest(
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ids = _matrix(batch.column(1), dimension), batch.column(0).to_numpy()
+            if whole:
+                yield batch_of(group_of(ids), False, ids, data, np.zeros(len(ids), np.int64), np.arange(len(ids) + 1))
+                continue
             cells = grid.cells(_unit(data))
             for t in range(TABLES):
                 yield batch_of(group_of(cells[:, t]), False, ids, data, cells[:, t], np.arange(len(ids) + 1))
@@ -240,7 +254,10 @@ def nearest(
                     for at in range(first, high, QUERIES_AT_ONCE):
                         yield _best(batch.slice(at, min(QUERIES_AT_ONCE, high - at)), *held[0], dimension, neighbours)
 
-    result = stored(ranked(rows.where("asks").select("id", "v").mapInArrow(visits, travelling)), "nearest-found")
+    asked = rows.where("asks").select("id", "v")
+    result = stored(ranked(asked.mapInArrow(everywhere if whole else visits, travelling)), "nearest-found")
+    if whole:
+        return result
     short = result.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(neighbours, total - 1))
     missing = stored(rows.where("asks").join(short, F.col("id") == F.col("query_id"), "left_anti").select("id", "v"), "nearest-missing")
     if missing.isEmpty():

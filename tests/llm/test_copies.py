@@ -165,6 +165,38 @@ def test_neighbours_query_recall(spark):
     assert np.mean([len(got[q] & {i for _, i in near}) / 5 for q, near in truth.items()]) >= 0.9
 
 
+@pytest.mark.parametrize("count", [50_000, 500_000, 50_000_000])
+def test_fit_reaches_recall_for_many_vectors(count):
+    rng = np.random.default_rng(9)
+    loose = rng.normal(size=(2048, 64))  # no near neighbours: the fifth-best cosine is about 0.4
+    close_by = np.repeat(rng.normal(size=(128, 64)), 16, axis=0) + 0.2 * rng.normal(size=(2048, 64))
+    for sample in (loose, rng.permutation(close_by)):
+        grid = nearest.fit(sample, count, 5, 0.97)
+        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        cells, hits = grid.cells(unit), 0
+        for q in range(128):
+            near = unit @ unit[q]
+            near[q] = -2
+            best = np.argsort(-near, kind="stable")[:5]
+            seen = [set(grid.probes(unit[q : q + 1], t)[0].tolist()) for t in range(nearest.TABLES)]
+            hits += sum(any(int(cells[b, t]) in seen[t] for t in range(nearest.TABLES)) for b in best)
+        assert hits >= 0.97 * 640
+    assert grid.projections > 0  # what has near neighbours needs no full scan
+
+
+def test_full_scan_is_exact(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=64)], None) for i in range(1, 900)] + [(2000 + i, [1.0] * 64, None) for i in range(60)]
+    monkeypatch.setattr(nearest, "ROWS_PER_TASK", 100)
+    assert nearest.fit(np.array([v for _, v, _ in rows]), 500_000, 5, 0.97).projections == 0
+    plain = nearest.fit
+    monkeypatch.setattr(nearest, "fit", lambda sample, _, *rest: plain(sample, 500_000, *rest))
+    got = defaultdict(list)
+    for r in nearest.nearest(vectors(spark, rows), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got == {q: [i for _, i in near] for q, near in plain_nearest(rows).items()}
+
+
 def plain_repeats(rows, least_sentences=2, least_words=10):
     seen, out = set(), {}
     for doc, text in sorted(dict.fromkeys(rows), key=lambda r: (r[0] is None, r[0] or 0, xxhash.xxh64_intdigest((r[1] or "").encode(), 7) - (1 << 63))):
