@@ -143,7 +143,10 @@ def train(texts: DataFrame, head: Head, share: Column) -> np.ndarray:
                 places, _, size = laid_out(texts, lanes)
                 follow.run(places, size)
                 seen += int(size.sum())
-            if seen and np.isfinite(flat := network.flat()).all():
+            flat = network.flat()
+            if not np.isfinite(flat).all():
+                raise FloatingPointError(f"the network is no longer finite after {seen} words of a task; none of them would count")
+            if seen:
                 parts = [flat[i : i + width].astype(np.float64) * seen for i in range(0, len(flat), width)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(len(parts)), pa.int32()), pa.array([float(seen)] * len(parts)), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "seen", "sums"]

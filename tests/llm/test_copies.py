@@ -290,6 +290,13 @@ def test_lm_scores_against_counts(spark, monkeypatch):
     assert language_model.score(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_lm_training_that_diverges_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "RATE", 1e38)
+    docs = documents(spark, [(i, "some words to learn from " * 40) for i in range(40)])
+    with pytest.raises(Exception, match="no longer finite after [0-9]+ words"):
+        language_model.score(docs, F.lit(True)).count()
+
+
 def test_pipeline_stages_against_their_operators(spark):
     docs = table(spark, SF, "documents")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
