@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, stored
 from .recurrent import END, Network, Pass, laid_out
 
-HEAD, VOCABULARY, CLASSES, HIDDEN = 1 << 17, 2048, 32, 8
-WINDOW, LANES, RATE, ROUNDS = 32, 512, 0.02, 2
+HEAD, VOCABULARY, CLASSES, HIDDEN = 1 << 17, 4096, 64, 16
+WINDOW, LANES, RATE, ROUNDS = 32, 512, 0.01, 2
 #: Words held at once in a task: documents are laid out into lanes pool by pool.
 POOL_WORDS = 3_000_000
 FLUSH = 400_000

@@ -290,6 +290,14 @@ def test_lm_scores_against_counts(spark, monkeypatch):
     assert language_model.score(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_lm_network_tells_4095_words_apart():
+    words, counts = [b"w%d" % i for i in range(5000)], np.arange(5000, 0, -1.0)
+    head = language_model.Head(words, counts, 10, int(counts.sum()) + 10, 5001)
+    net = head.network()
+    assert (net.vocabulary, net.classes, net.hidden) == (4096, 64, 16)
+    assert head.counts[-1] == counts[4095:].sum()
+
+
 def test_lm_training_that_diverges_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(language_model, "RATE", 1e38)
     docs = documents(spark, [(i, "some words to learn from " * 40) for i in range(40)])
