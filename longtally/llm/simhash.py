@@ -138,6 +138,7 @@ def _links(key: np.ndarray, point: np.ndarray, home: np.ndarray, threshold: int)
     width = size[group[at]]
     left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     cuts = np.searchsorted(np.cumsum(width), np.arange(0, int(width.sum()) + PAIRS_AT_ONCE, PAIRS_AT_ONCE))
+    cuts = np.append(cuts, len(at))  # a sum that is a multiple would leave out the last home
     for low, high in zip(cuts[:-1], cuts[1:], strict=True):
         own, n = at[low:high], width[low:high]
         if not len(own):

@@ -85,6 +85,14 @@ def test_components_against_all_pairs(spark, monkeypatch, homes):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("pairs", [2, 3, 4, 5])
+def test_the_last_home_of_a_batch_is_compared(monkeypatch, pairs):
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", pairs)
+    points = np.array([1, 0, 9, 8], np.uint64)
+    a, b = simhash._links(np.array([0, 0, 1, 1]), points, np.array([True, False, True, False]), 3)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(1, 0), (9, 8)]
+
+
 def test_fingerprints_and_query(spark):
     docs = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").collect()]
     prints = [(d, plain_fingerprint(t)) for d, t in docs]
