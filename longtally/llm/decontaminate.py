@@ -153,6 +153,9 @@ def _passes(benchmark: DataFrame, item_id: str, text: str, window: int, windows_
             pending, size = [], 0
     yield Pass(pending, window)
 
+#: Columns that ``find_contamination`` adds.
+ADDED = ("n_words", "hit_spans", "hit_items")
+
 
 def find_contamination(
     documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -165,8 +168,7 @@ def find_contamination(
     window. Null and empty texts have no words and no hits. Items without an id hit, but are not listed.
     Repeated documents and items are judged alike. Columns of these names in the input are replaced.
     """
-    added = ("n_words", "hit_spans", "hit_items")
-    kept = [c for c in documents.columns if c not in added]
+    kept = [c for c in documents.columns if c not in ADDED]
     schema = T.StructType([
         *(documents.schema[c] for c in kept), T.StructField("n_words", T.LongType()),
         T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("hit_items", T.ArrayType(T.LongType())),
@@ -190,7 +192,7 @@ def find_contamination(
                     items = [sorted({*a, *b}) for a, b in zip(batch.column(len(kept) + 2).to_pylist(), items, strict=True)]
                 values = ([len(t) for t in texts], spans, items)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(kept)], *(pa.array(v, t) for v, t in zip(values, arrow, strict=True))], [*kept, *added]
+                    [*batch.columns[: len(kept)], *(pa.array(v, t) for v, t in zip(values, arrow, strict=True))], [*kept, *ADDED]
                 )
 
         found = found.mapInArrow(run, schema)

@@ -17,12 +17,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, checkpointed, running_total, sent_if_few, stored
+from .common import WORD, checkpointed, quoted, running_total, sent_if_few, stored, unused
 
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
 TOLERANCE = 1e-10
-MAX_STEPS = 60
+MAX_STEPS = 200
+#: Tilt of a source that shall give no words; its exponential is 0.
+NO_RATE = -1000.0
+#: Columns of the result and of its steps.
+RESULTS = {
+    "doc_id", "source", "size", "prior", "source_size", "target", "rate", "copies", "taken",
+    "of", "tilt", "floor", "fraction", "draw", "fine", "coarse", "edge", "base", "need", "up",
+}
 #: A document's draw is cut into this many coarse, and each of these into as many fine steps.
 STEPS = 1024
 
@@ -70,25 +77,41 @@ def capped_targets(sources: DataFrame, cap: float = CAP) -> DataFrame:
 
 
 def tilts(moments: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
-    """(source, target, tilt) from ``moments`` (source, prior, size) and ``targets`` (source, target)."""
-    now = checkpointed(targets.select("source", "target", F.lit(0.0).alias("tilt")))
+    """(source, target, tilt) from ``moments`` (source, prior, size) and ``targets`` (source, target).
+
+    Words grow with the tilt, and each source keeps a bracket (low, high) around its solution: without the cap
+    the target is met at ``low`` exactly, and at ``high`` every word is at the cap. A Newton step that leaves the
+    bracket, or has no slope to go by, becomes a bisection. With one prior per source the first step settles.
+    A source that is not settled after ``MAX_STEPS`` is an error. A source without words keeps the tilt 0, one
+    with words but no target is sent to rate 0.
+    """
+    ends = moments.groupBy("source").agg(F.sum(F.col("size") * F.col("prior")).alias("mass"), F.min("prior").alias("least"))
+    nothing = (F.col("mass") <= 0) | F.col("mass").isNull()
+    low = F.when(nothing, 0.0).when(F.col("target") > 0, F.log("target") - F.log("mass")).otherwise(NO_RATE)
+    high = F.when(nothing, 0.0).when(F.col("target") > 0, F.greatest(F.lit(math.log(cap)) - F.log("least"), low)).otherwise(NO_RATE)
+    at = targets.select(F.col("source").alias("of"), "target").join(ends, F.col("of").eqNullSafe(F.col("source")), "left")
+    now = checkpointed(at.select(F.col("of").alias("source"), "target", low.alias("low"), high.alias("high"), low.alias("tilt")))
     for _ in range(MAX_STEPS):
         raw = F.col("prior") * F.exp("tilt")
         step = (
             moments.join(now, moments["source"].eqNullSafe(now["source"])).drop(moments["source"])
-            .groupBy("source", "target", "tilt")
+            .groupBy("source", "target", "low", "high", "tilt")
             .agg(F.sum(F.col("size") * F.least(raw, F.lit(cap))).alias("words"), F.sum(F.when(raw < cap, F.col("size") * raw)).alias("curvature"))
         )
         gap = F.col("target") - F.col("words")
         settled = F.abs(gap) <= TOLERANCE * F.greatest("target", F.lit(1.0))
-        move = F.when(settled, 0.0).when(F.coalesce("curvature", F.lit(0.0)) > 0, gap / F.col("curvature")).otherwise(F.signum(gap))
-        now = checkpointed(step.select(
-            "source", "target", (F.col("tilt") + F.least(F.greatest(move, F.lit(-4.0)), F.lit(4.0))).alias("tilt"), settled.alias("settled"),
-        ))
+        step = step.select(
+            "source", "target", F.when(gap > 0, F.col("tilt")).otherwise(F.col("low")).alias("low"),
+            F.when(gap < 0, F.col("tilt")).otherwise(F.col("high")).alias("high"), "tilt",
+            (F.col("tilt") + gap / F.nullif("curvature", F.lit(0.0))).alias("newton"), settled.alias("settled"),
+        )
+        inside = (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high"))
+        tilt = F.when(F.col("settled"), F.col("tilt")).when(inside, F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2)
+        now = checkpointed(step.select("source", "target", "low", "high", tilt.alias("tilt"), "settled"))
         if now.where("NOT settled").isEmpty():
-            break
+            return now.select("source", "target", "tilt")
         now = now.drop("settled")
-    return now.select("source", "target", "tilt")
+    raise ArithmeticError(f"sources did not reach their targets in {MAX_STEPS} steps")
 
 
 def mixed(rows: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
@@ -151,12 +174,16 @@ def mix(documents: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, text:
     """(doc_id, source, size, prior, source_size, target, rate, copies, taken) of every row of ``documents``.
 
     ``size`` counts words (a null text has none). ``prior`` names a column of positive rates to stay close to
-    (default 1 for all; null or not positive counts as 1); ``carry`` names columns to keep. Documents without words get whole copies by their
-    rate and take no words. Null ids and sources are kept; a null source is a source of its own. An empty
-    table gives no rows.
+    (default 1 for all; null or not positive counts as 1); ``carry`` names columns to keep, which must not be named
+    like a result; other columns are dropped. Documents without words get whole copies by their
+    rate and take no words. Null ids and sources are kept; a null source is a source of its own. Repeated rows are
+    mixed one by one. An empty table gives no rows.
     """
     if not math.isfinite(cap) or cap <= 0:
         raise ValueError("cap must be a positive number")
+    taken = set(carry) & RESULTS
+    if taken:
+        raise ValueError(f"carried columns named like results: {sorted(taken)}")
     own = F.col(prior).cast("double") if prior else F.lit(1.0)
     rows = stored(documents.select(
         "doc_id", "source", word_count(F.col(text)).alias("size"), F.when(own > 0, own).otherwise(1.0).alias("prior"), *carry,
@@ -173,7 +200,8 @@ def mixed_documents(documents: DataFrame, weights: tuple = WEIGHTS, cap: float =
     Every row is numbered where it is first written, so rows that repeat each other are mixed one by one.
     """
     columns = documents.columns
-    numbered = stored(documents.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
-    copies = mix(numbered, weights, cap, text, carry=("_row",)).where("copies > 0").select("_row", F.col("copies").cast("int").alias("_copies"))
-    taken = numbered.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return taken.select(*(f"`{c}`" for c in columns))
+    row, kept = unused("_row", columns), unused("_mix", columns)
+    numbered = stored(documents.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
+    copies = mix(numbered, weights, cap, text, carry=(row,)).where("copies > 0").select(row, F.col("copies").cast("int").alias(kept))
+    taken = numbered.join(copies, row).withColumn(kept, F.explode(F.sequence(F.lit(1), F.col(kept))))
+    return taken.select(*map(quoted, columns))

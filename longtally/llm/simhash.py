@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import components, stored
+from .common import components, quoted, stored, unused
 
 SEED = 42
 HOMES_PER_BLOCK = 4096
@@ -212,16 +212,19 @@ def one_of_each(documents: DataFrame, threshold: int = 3) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest doc_id stays, nulls last;
     of rows that share it, that with the smallest text. All columns stay as they are."""
     columns = documents.columns
-    marked = stored(fingerprinted(documents, name="_simhash"), "simhash-documents")
-    groups = near_duplicates(marked.select("doc_id", F.col("_simhash").alias("fingerprint")), threshold)
-    crowd = marked.groupBy("_simhash").agg(F.count("*").alias("_rows"))
-    crowd = crowd.join(groups.select(F.col("fingerprint").alias("_simhash"), F.col("root").alias("_root"), F.col("component_id").alias("_least")), "_simhash")
+    mark, root, least, several_rows, rank = (unused(n, columns) for n in ("_simhash", "_root", "_least", "_shared", "_rank"))
+    own = [quoted(c) for c in columns]
+    marked = stored(fingerprinted(documents, name=mark), "simhash-documents")
+    groups = near_duplicates(marked.select("doc_id", F.col(mark).alias("fingerprint")), threshold)
+    crowd = marked.groupBy(F.col(mark).alias("fingerprint")).agg(F.count("*").alias("n")).join(groups, "fingerprint")
     # Slim first: only components of several rows need their rows compared.
-    sums = crowd.groupBy("_root").agg(F.sum("_rows").alias("_all")).where("_all > 1")
-    several = stored(crowd.join(sums, "_root").select("_simhash", "_root", "_least"), "simhash-several")
-    joined = marked.join(several.withColumn("_shared", F.lit(True)), "_simhash", "left")
-    alone = joined.where("_shared IS NULL").select(*(f"`{c}`" for c in columns))
-    first = joined.where("_shared AND doc_id <=> _least").select("_root", *(f"`{c}`" for c in columns))
-    order = Window.partitionBy("_root").orderBy(F.col("text").asc_nulls_last())
-    one = first.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*(f"`{c}`" for c in columns))
+    sums = crowd.groupBy("root").agg(F.sum("n").alias("all")).where("all > 1").select("root")
+    several = stored(crowd.join(sums, "root").select(
+        F.col("fingerprint").alias(mark), F.col("root").alias(root), F.col("component_id").alias(least), F.lit(True).alias(several_rows)
+    ), "simhash-several")
+    joined = marked.join(several, mark, "left")
+    alone = joined.where(F.col(several_rows).isNull()).select(*own)
+    first = joined.where(F.col(several_rows) & F.col("doc_id").eqNullSafe(F.col(least))).select(root, *own)
+    order = Window.partitionBy(root).orderBy(F.col("text").asc_nulls_last())
+    one = first.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*own)
     return alone.union(one)

@@ -313,6 +313,18 @@ def test_lm_training_that_diverges_is_an_error(spark, monkeypatch):
         language_model.score(docs, F.lit(True)).count()
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(i, f"plain words number {i} of a text that nobody has written before {i * 7}", f"s{i % 3}") for i in range(30)] + [(90, "", None), (None, None, "s1")]
+    names = ("n_words", "hit_spans", "hit_items", "_toxicity", "_simhash", "_root", "_least", "_shared", "_rank", "_row", "_copies", "_copy", "score")
+    docs = documents(spark, rows).withColumns({c: F.lit("mine") for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r[c] == "mine" for r in got for c in names), name
+    assert corpus_pipeline.into_shards(spark, docs, SF).count() == len(rows)
+
+
 def test_pipeline_stages_against_their_operators(spark):
     docs = table(spark, SF, "documents")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]

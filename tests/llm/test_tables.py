@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from longtally.llm import archive, mixing, queries, sharding
 from longtally.llm.common import new_path, table
@@ -165,6 +166,44 @@ def test_mix_tilts_given_rates(spark):
     assert len({(s, round(t, 6)) for s, t in tilt if t is not None}) == 2  # one tilt a source wherever the cap does not bind
 
 
+def test_mix_settles_at_all_ratios(spark):
+    rng = np.random.default_rng(11)
+    priors = [0.01, 0.3, 1.0, 2.5, 40.0]
+    moments, targets = [], []
+    ratios = [*np.geomspace(0.001, 2.9, 40), *np.linspace(2.9, 3.0, 40), 2.981, 2.99, 2.999, 3.0]
+    for i, ratio in enumerate(ratios):
+        for several in (False, True):
+            name, sizes = f"{i}-{several}", []
+            for prior in (priors if several else [1.0]):
+                sizes.append(float(rng.integers(1, 10**6)))
+                moments.append((name, prior, sizes[-1]))
+            targets.append((name, float(ratio) * sum(sizes)))
+    sized = spark.createDataFrame([*moments, ("empty", 1.0, 0.0)], "source string, prior double, size double")
+    found = mixing.tilts(sized, spark.createDataFrame([*targets, ("empty", 0.0)], "source string, target double"))
+    tilt = {r["source"]: r["tilt"] for r in found.collect()}
+    assert len(tilt) == len(targets) + 1 and tilt["empty"] == 0
+    words = defaultdict(float)
+    for name, prior, size in moments:
+        words[name] += size * min(3.0, prior * np.exp(tilt[name]))
+    for name, target in targets:
+        assert close(words[name], target, 1e-8), name
+
+
+def test_mix_close_to_the_cap(spark):
+    rows = [(i, "w " * 10, "a") for i in range(1000)] + [(5000 + i, "v " * 10, "b") for i in range(3186)]
+    got = mixing.mix(documents(spark, rows), weights=(29_900, 11_960)).collect()
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    assert abs(taken["a"] - 29_900) <= 5 and abs(taken["b"] - 11_960) <= 5
+
+
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    docs = documents(spark, [(i, "a b c", "s") for i in range(8)]).withColumns({c: F.col("doc_id") for c in ("_row", "_mix", "_copies", "size", "up", "a b`c")})
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and all(r["_row"] == r["size"] == r["a b`c"] == r["doc_id"] for r in out.collect()) and out.count() == 8
+
+
 def test_mixed_documents_repeat_rows(spark):
     docs = table(spark, SF, "documents")
     out = mixing.mixed_documents(docs)
