@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longtally.llm import decontaminate, mixing, sharding, simhash, toxicity
-from longtally.llm.common import stored, table
+from longtally.llm.common import quoted, stored, table, unused
 
 SHARDS = 24
 
@@ -18,8 +18,8 @@ SHARDS = 24
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, learned from the labels of the other documents, scores below the threshold."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    kept = toxicity.scored(docs, model, name="_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD)
-    return kept.select(*(f"`{c}`" for c in docs.columns))
+    score = unused("_toxicity", docs.columns)
+    return toxicity.scored(docs, model, name=score).where(F.col(score) < toxicity.THRESHOLD).select(*map(quoted, docs.columns))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a test item."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("hit_spans") == 0).select(*(f"`{c}`" for c in docs.columns))
+    aside = {c: unused("_" + c, docs.columns) for c in docs.columns if c in decontaminate.ADDED}
+    found = decontaminate.find_contamination(docs.withColumnsRenamed(aside), table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("hit_spans") == 0).select(*(quoted(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
