@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, decontaminate, language_model, mixing, nearest, sharding, simhash, spans, toxicity, url_filter
+from . import archive, chat, decontaminate, language_model, mixing, nearest, sharding, simhash, spans, toxicity, url_filter
 from .common import new_path, stored, table
 
 URL_RULES = [
@@ -87,6 +87,21 @@ def entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixture = spark.sql("""
+        SELECT conv_id, turn, role, '</s>[INST] ok [/INST]' AS text
+        FROM VALUES (-7L, 0L, 'user'), (-7L, 1L, 'assistant') AS t(conv_id, turn, role)
+    """)
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(fixture)
+    read = chat.read_back(chat.render(chat.reconstruct(chat.log_of(conversations))))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(said, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filters,
     "op2_recurrent_lm_scores": recurrent_lm_scores,
@@ -98,11 +113,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_span_dedup": sentence_span_dedup,
     "op9_weak_toxicity": weak_toxicity,
     "op10_entropy_mixing": entropy_mixing,
+    "op13_chat_formatting": chat_formatting,
 }
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
 _BY_LENGTH = sorted(URL_RULES, key=lambda r: -len(r.name))
 _ITEM_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_LOWER.format("coalesce(text, '')"))
+_ESCAPED = "replace({}, '\\', '\\\\')"
+for _control in chat.CONTROLS:
+    _ESCAPED = f"replace({_ESCAPED}, '{_control}', '{_control[0]}\\{_control[1:]}')"
 
 SQL: dict[str, str] = {
     "op1_url_filters": f"""
@@ -146,4 +165,17 @@ SQL: dict[str, str] = {
             CASE WHEN first_id <> p.page_id THEN first_id END AS refers_to
         FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 100
     """,
+    "op13_chat_formatting": f"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ),
+        f AS (SELECT *, length({_ESCAPED.format("text")}) + length(replace({_ESCAPED.format("role")}, chr(10), concat('\\', chr(10)))) AS written FROM c)
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(written + {len(chat.START) + 1 + len(chat.END)}) AS BIGINT) AS formatted_chars
+        FROM f GROUP BY conv_id
+    """,
 }
