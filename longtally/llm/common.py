@@ -127,3 +127,24 @@ def running_total(df: DataFrame, group: list[str], order: str, value: str, name:
     """Sum of ``value`` over the rows before each row of its group; for small, already folded tables."""
     before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0).cast("long")))
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str, label: str) -> DataFrame:
+    """``df`` with ``name``: the place of each row in its group, from 0, ascending by ``order``, nulls first.
+
+    Rows are dealt by ranges, sorted and numbered where they are written, so neither a large group nor all
+    rows ever meet in one task; only one count for each range and group in it is joined back. Rows equal in
+    ``order`` get their places in any order. ``df`` should be stored, as ranges are sampled from it first.
+    """
+    at, part, row, first, offset, of_part = (unused(n, df.columns) for n in ("_at", "_part", "_row", "_first", "_offset", "_of_part"))
+    of = [unused(f"_of{i}", df.columns) for i in range(len(group))]
+    keys = [quoted(c).asc_nulls_first() for c in (*group, *order)]
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id())
+    placed = stored(dealt, label).withColumn(part, F.shiftright(at, 33)).withColumn(row, F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = placed.groupBy(F.col(part).alias(of_part), *(quoted(c).alias(o) for c, o in zip(group, of))).agg(F.min(row).alias(first), F.count("*").alias("n"))
+    counts = sent_if_few(stored(running_total(counts, of, of_part, "n", offset).drop("n"), f"{label}-counts"))
+    same = F.col(part) == F.col(of_part)
+    for c, o in zip(group, of):
+        same = same & quoted(c).eqNullSafe(F.col(o))
+    place = (F.col(row) - F.col(first) + F.col(offset)).alias(name)
+    return placed.join(counts, same).select(*map(quoted, df.columns), place)

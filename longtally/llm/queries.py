@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, chat, decontaminate, language_model, mixing, nearest, sharding, simhash, spans, toxicity, url_filter
-from .common import new_path, stored, table
+from . import archive, chat, decontaminate, language_model, manifest, mixing, nearest, sharding, simhash, spans, toxicity, url_filter
+from .common import crc_mod, new_path, stored, table
 
 URL_RULES = [
     url_filter.Rule("org", "/", "allow"),
@@ -87,6 +87,11 @@ def entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = manifest.manifest(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 0)
+    return made.withColumnRenamed("proof", "proof_sha256")
+
+
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixture = spark.sql("""
         SELECT conv_id, turn, role, '</s>[INST] ok [/INST]' AS text
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_span_dedup": sentence_span_dedup,
     "op9_weak_toxicity": weak_toxicity,
     "op10_entropy_mixing": entropy_mixing,
+    "op12_merkle_manifest": merkle_manifest,
     "op13_chat_formatting": chat_formatting,
 }
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -122,6 +128,45 @@ _ITEM_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".forma
 _ESCAPED = "replace({}, '\\', '\\\\')"
 for _control in chat.CONTROLS:
     _ESCAPED = f"replace({_ESCAPED}, '{_control}', '{_control[0]}\\{_control[1:]}')"
+#: crc32 of a text of ASCII characters, bit by bit.
+_CRC_BIT = "xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr({0}, CAST(i // 8 + 1 AS BIGINT), 1)) ELSE 0 END)"
+_CRC = (
+    "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), CAST(range(8 * len({0})) AS UBIGINT[])), lambda c, i: "
+    f"CAST(xor({_CRC_BIT} >> 1, 3988292384 * ({_CRC_BIT} & 1)) AS UBIGINT)))"
+)
+
+
+def _merkle_sql() -> str:
+    """The manifest level by level: five levels for a source, three above; enough for a million rows a source."""
+    told = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(strlen(CAST({c} AS VARCHAR)), ':', {c}) END"
+    leaf = lambda text: "sha256(concat(" + ", ".join([*map(told, manifest.FIELDS[:-1]), told(text)]) + "))"
+    lowered = _LOWER.format("text")
+    crc = _CRC.format("CAST(doc_id AS VARCHAR)")
+    parts = [
+        f"l AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lowered)} ELSE {leaf('text')} END AS shown FROM documents)",
+        "a0 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k, count(*) OVER (PARTITION BY source) AS n, leaf AS digest FROM l)",
+    ]
+    climb = lambda t, i: f"{t}{i + 1} AS (SELECT source, k // 16 AS k, (n + 15) // 16 AS n, sha256(string_agg(digest, '' ORDER BY k)) AS digest FROM {t}{i} WHERE n > 1 GROUP BY source, k // 16, n)"
+    done = lambda t, height: " UNION ALL ".join(f"SELECT source, digest FROM {t}{i} WHERE n = 1" for i in range(height + 1))
+    parts += [climb("a", i) for i in range(5)] + [f"subroots AS ({done('a', 5)})"]
+    parts.append("b0 AS (SELECT 0 AS source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS k, count(*) OVER () AS n, digest, source AS name FROM subroots)")
+    parts += [climb("b", i) for i in range(3)] + [f"summit AS ({done('b', 3)})"]
+    parts.append("""w0 AS (
+        SELECT doc_id, leaf, a0.source, a0.k, b0.k AS s, b0.digest AS subroot, summit.digest AS root, shown AS fold, '' AS proof
+        FROM a0 JOIN b0 ON a0.source IS NOT DISTINCT FROM b0.name CROSS JOIN summit)""")
+    steps = [("a", i, "k") for i in range(5)] + [("b", i, "s") for i in range(3)]
+    for at, (t, i, k) in enumerate(steps):
+        same = "w.source IS NOT DISTINCT FROM r.source AND " if t == "a" else ""
+        left = f"coalesce(array_to_string(ds[1:({k} // {16**i}) % 16], ''), '')"
+        right = f"coalesce(array_to_string(ds[({k} // {16**i}) % 16 + 2:], ''), '')"
+        parts.append(f"""w{at + 1} AS (
+            SELECT doc_id, leaf, w.source, k, s, subroot, root, CASE WHEN ds IS NULL THEN fold ELSE sha256(concat({left}, fold, {right})) END AS fold,
+                concat(proof, {left}, {right}) AS proof
+            FROM w{at} w LEFT JOIN (SELECT source, k // 16 AS run, list(digest ORDER BY k) AS ds FROM {t}{i} WHERE n > 1 GROUP BY source, k // 16) r
+            ON {same}r.run = {k} // {16 ** (i + 1)})""")
+    return f"""WITH {", ".join(parts)}
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM w{len(steps)}"""
+
 
 SQL: dict[str, str] = {
     "op1_url_filters": f"""
@@ -178,4 +223,5 @@ SQL: dict[str, str] = {
             CAST(sum(written + {len(chat.START) + 1 + len(chat.END)}) AS BIGINT) AS formatted_chars
         FROM f GROUP BY conv_id
     """,
+    "op12_merkle_manifest": _merkle_sql(),
 }
