@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, chat, decontaminate, language_model, manifest, mixing, nearest, sharding, simhash, spans, toxicity, url_filter
+from . import archive, chat, decontaminate, divergence, language_model, manifest, mixing, nearest, sharding, simhash, spans, toxicity, url_filter
 from .common import crc_mod, new_path, stored, table
 
 URL_RULES = [
@@ -87,6 +87,10 @@ def entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = manifest.manifest(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 0)
     return made.withColumnRenamed("proof", "proof_sha256")
@@ -118,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_span_dedup": sentence_span_dedup,
     "op9_weak_toxicity": weak_toxicity,
     "op10_entropy_mixing": entropy_mixing,
+    "op11_source_divergence": source_divergence,
     "op12_merkle_manifest": merkle_manifest,
     "op13_chat_formatting": chat_formatting,
 }
@@ -224,4 +229,32 @@ SQL: dict[str, str] = {
         FROM f GROUP BY conv_id
     """,
     "op12_merkle_manifest": _merkle_sql(),
+    "op11_source_divergence": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+            FROM documents
+        ),
+        w AS (SELECT id, lang, source, unnest(ws) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+        v AS (SELECT lang, count(*) AS v, sum(total) AS words FROM kept GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        g AS (SELECT lang, source, coalesce(sum(n), 0) AS words FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+        p AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)::HUGEINT) // (g.words + 2 * v.v) AS p,
+                1 + (1000000000 * (k.total + 2)::HUGEINT) // (v.words + 2 * v.v) AS q
+            FROM g JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ),
+        s AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+        ),
+        r AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q
+        ),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
 }
