@@ -406,6 +406,11 @@ def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('.html">国家统计数据解读 '), key, F.lit("</a></li>"),
         F.lit('<tr id="row"><td><a href="javascript:void(0)">无效链接文字</a></td><td><a href="#top">锚点链接</a></td></tr>'),
         F.lit('<li><a href="detail/'), key, F.lit('.html">关于&nbsp;工作'), key, F.lit("的通知</a></li></ul>"),
+        F.lit('<!-- <li><a href="/c.html">注释里的链接标题</a></li> --></em><div class="side nav"><ul><li><a href="/site/'), key,
+        F.lit(""".html">机构设置与职能介绍</a></li></ul></div><div id='main'><br/><ol><li class=outer><a title="a > b" href='/zc/"""), key,
+        F.lit(".html'>外层条目标题文字"), key, F.lit("</a><p>说明<ul><li><a href=/zc/in"), key, F.lit(".html>内层条目的标题"), key,
+        F.lit('</a></li><li><a href="/zc/b'), key, F.lit('.html?x=1&amp;y=2">未<b>闭合</b>条目的标题<img src=x></a></ul> 2024-03-0'), month,
+        F.lit("</li></ol></div>"),
     )
     return table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.col("html"), items).alias("html"))
 

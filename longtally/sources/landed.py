@@ -1,7 +1,8 @@
 """Landed web pages to texts, list records and publishing units.
 
-Pages are matched with regular expressions on the whole HTML text; one page is
-one row, so nothing here shuffles except where records are merged.
+List pages are read through their element tree, other pages by regular expressions
+on the whole HTML text; one page is one row, so nothing here shuffles except where
+records are merged.
 """
 
 from __future__ import annotations
@@ -12,20 +13,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import lexicon as lx
 from ..functions import text
+from . import elements
 
-# named entities that occur in running text; '&' comes last
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 _HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
-_LINK = r'(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
-_CONTAINER = r"(?is)<li\b[^>]*>.*?</li>|<tr\b[^>]*>.*?</tr>"
 
 
 def visible_text(html: Column) -> Column:
     """Text between tags; scripts, styles and comments are dropped, entities decoded."""
-    out = F.regexp_replace(F.regexp_replace(html, _HIDDEN, ""), r"<[^>]*>", "")
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    return elements.decoded(F.regexp_replace(F.regexp_replace(html, _HIDDEN, ""), r"<[^>]*>", ""))
 
 
 def page_content(html: Column) -> Column:
@@ -77,26 +72,35 @@ def usable_href(href: Column) -> Column:
     return (href != "") & ~bad
 
 
-def _items(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """List items and table rows with their class/id signature and usable links."""
-    items = pages.select(key, url, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(_CONTAINER), F.lit(0))).alias("item", "part"))
-    opening = F.regexp_extract("part", r"(?s)^<[^>]*>", 0)
-    attribute = lambda a: F.regexp_extract(opening, rf'(?is)\b{a}="([^"]*)"', 1)
-    pair = F.arrays_zip(
-        F.regexp_extract_all(F.col("part"), F.lit(_LINK), F.lit(1)).alias("href"),
-        F.regexp_extract_all(F.col("part"), F.lit(_LINK), F.lit(2)).alias("label"),
-    )
-    tidy = lambda x, i: F.struct(
-        i.alias("link"), text.trim_blanks(x["href"]).alias("href"), text.squash(visible_text(x["label"])).alias("title")
+def _items(pages: DataFrame, key: str, url: str, html: str, with_text: bool = False) -> DataFrame:
+    """List items and table rows, nested ones too, with the classes and ids of all that encloses them.
+
+    ``links`` are the usable links anywhere inside; ``text`` is all of an item's text, if asked for.
+    """
+    cut = pages.select(key, url, elements.tags(F.col(html)).alias("_tags"), elements.texts(F.col(html)).alias("_texts"))
+    cut = cut.withColumn("_elements", elements.elements(F.col("_tags"), ("li", "tr", "a")))
+    tag = lambda e: F.get("_tags", e["at"])
+    anchors = F.transform(F.filter("_elements", lambda e: e["name"] == "a"), lambda e: F.struct(
+        e["at"].alias("at"), text.trim_blanks(elements.attribute(tag(e), "href")).alias("href"),
+        text.squash(elements.inside(e, F.col("_texts"), "")).alias("title"),
+    ))
+    cut = cut.withColumn("_anchors", F.filter(anchors, lambda a: a["href"].isNotNull()))
+    within = lambda e: F.transform(
+        F.filter("_anchors", lambda a: (a["at"] > e["at"]) & (a["at"] < e["closed"])),
+        lambda a, i: F.struct(i.alias("link"), a["href"].alias("href"), a["title"].alias("title")),
     )
-    links = F.filter(F.transform(pair, tidy), lambda x: usable_href(x["href"]))
-    return items.select(
-        "*", F.concat_ws(" ", attribute("class"), attribute("id")).alias("signature"), links.alias("links")
+    facts = lambda e, i: F.struct(
+        i.alias("item"), e["path"].alias("signature"), F.filter(within(e), lambda a: usable_href(a["href"])).alias("links"),
+        *([text.squash(elements.inside(e, F.col("_texts"), " ")).alias("text")] if with_text else []),
     )
+    return cut.select(key, url, F.inline(F.transform(F.filter("_elements", lambda e: e["name"] != "a"), facts)))
 
 
 def page_links(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
-    """Usable links of every list item or table row, with the reasons against each."""
+    """Usable links of every list item or table row, with the reasons against each.
+
+    A link inside nested items belongs to each of them.
+    """
     links = _items(pages, key, url, html).select(key, "item", "signature", F.inline("links"))
     return links.withColumn("reasons", link_reasons(F.col("title"), F.col("href"), F.col("signature")))
 
@@ -109,17 +113,16 @@ def list_records(pages: DataFrame, key: str, url: str = "url", html: str = "html
     clean = F.filter("links", lambda x: F.size(link_reasons(x["title"], x["href"], F.col("signature"))) == 0)
     ranked = F.transform(clean, lambda x: F.struct(
         F.length(x["title"]).alias("n"), (-x["link"]).alias("first"), x["title"].alias("title"), x["href"].alias("href")))
-    rows = _items(pages, key, url, html).filter(F.size("links") > 0).withColumn("_best", F.array_max(ranked))
+    rows = _items(pages, key, url, html, with_text=True).filter(F.size("links") > 0).withColumn("_best", F.array_max(ranked))
     rows = rows.filter(F.col("_best").isNotNull())
-    rows = rows.withColumn("_text", text.squash(visible_text(F.regexp_replace("part", "<", " <"))))
     return rows.select(
         key, "item", F.col("_best.title").alias("title"),
-        F.coalesce(text.first_match(F.col("_text"), lx.DOC_NO_RE, 0), F.lit("")).alias("doc_no"),
-        F.coalesce(text.first_match(F.col("_text"), lx.PUBLISHER_LABEL_RE), F.lit("")).alias("publish_unit"),
-        F.coalesce(text.first_match(F.col("_text"), lx.CATEGORY_LABEL_RE), F.lit("")).alias("category"),
-        text.find_date(F.col("_text")).alias("publish_date"),
+        F.coalesce(text.first_match(F.col("text"), lx.DOC_NO_RE, 0), F.lit("")).alias("doc_no"),
+        F.coalesce(text.first_match(F.col("text"), lx.PUBLISHER_LABEL_RE), F.lit("")).alias("publish_unit"),
+        F.coalesce(text.first_match(F.col("text"), lx.CATEGORY_LABEL_RE), F.lit("")).alias("category"),
+        text.find_date(F.col("text")).alias("publish_date"),
         text.absolute_url(F.col(url), F.col("_best.href")).alias("source_url"),
-        F.substring("_text", 1, 200).alias("summary"),
+        F.substring("text", 1, 200).alias("summary"),
     )
 
 

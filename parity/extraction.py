@@ -105,11 +105,15 @@ SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('<html><p>before</p><UCAPCON
  WHEN 1 THEN concat('<html><div class="wenz"><p>', {_NOISE}, '</p></div> </div><p>after</p>', html) ELSE {_BODY} END AS html FROM pages""")
 
 
+def entities(x: str) -> str:
+    for e, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        x = f"replace({x}, '{e}', '{c}')"
+    return x
+
+
 def visible(x: str) -> str:
     out = f"regexp_replace(regexp_replace({x}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"
-    for e, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        out = f"replace({out}, '{e}', '{c}')"
-    return out
+    return entities(out)
 
 
 def squash(x: str) -> str:
@@ -128,7 +132,11 @@ SELECT page_id, url, concat(html, '<ul class="box infoList"><li class="item"><a
  '期</a><a href="/x">更多</a> 发布日期 2023-0', {_MO}, '-1', {_MO}, ' 发文单位：邵阳市统计局 公开类别：统计信息 邵政办发〔2023〕', page_id, '号</li>',
  '<li class="nav"><a href="http://www.stats.gov.cn/sj/t20240', {_MO}, '15_', page_id, '.html">国家统计数据解读 ', page_id, '</a></li>',
  '<tr id="row"><td><a href="javascript:void(0)">无效链接文字</a></td><td><a href="#top">锚点链接</a></td></tr>',
- '<li><a href="detail/', page_id, '.html">关于&nbsp;工作', page_id, '的通知</a></li></ul>') AS html FROM pages""")
+ '<li><a href="detail/', page_id, '.html">关于&nbsp;工作', page_id, '的通知</a></li></ul>',
+ '<!-- <li><a href="/c.html">注释里的链接标题</a></li> --></em><div class="side nav"><ul><li><a href="/site/', page_id,
+ '.html">机构设置与职能介绍</a></li></ul></div><div id=''main''><br/><ol><li class=outer><a title="a > b" href=''/zc/', page_id,
+ '.html''>外层条目标题文字', page_id, '</a><p>说明<ul><li><a href=/zc/in', page_id, '.html>内层条目的标题', page_id,
+ '</a></li><li><a href="/zc/b', page_id, '.html?x=1&amp;y=2">未<b>闭合</b>条目的标题<img src=x></a></ul> 2024-03-0', {_MO}, '</li></ol></div>') AS html FROM pages""")
 
 
 def _hit(tag: str, hay: str, words) -> str:
@@ -136,15 +144,47 @@ def _hit(tag: str, hay: str, words) -> str:
     return f"'{tag}:' || list_filter({lists}, lambda w: contains({hay}, lower(w)))[1]"
 
 
-_LINK = '(?is)<a\\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
-cte("links", ["list_pages"], f"""
-WITH i AS (SELECT page_id, url, unnest(parts) AS part, CAST(generate_subscripts(parts, 1) - 1 AS INT) AS item FROM (
-  SELECT *, regexp_extract_all(html, '(?is)<li\\b[^>]*>.*?</li>|<tr\\b[^>]*>.*?</tr>') AS parts FROM list_pages))
-, s AS (SELECT *, concat_ws(' ', regexp_extract(regexp_extract(part, '(?s)^<[^>]*>'), '(?is)\\bclass="([^"]*)"', 1),
-   regexp_extract(regexp_extract(part, '(?s)^<[^>]*>'), '(?is)\\bid="([^"]*)"', 1)) AS sig,
-   regexp_extract_all(part, {quote(_LINK)}, 1) AS hs, regexp_extract_all(part, {quote(_LINK)}, 2) AS ls FROM i)
-, a AS (SELECT page_id, url, item, part, sig, unnest(hs) AS h0, unnest(ls) AS l0, CAST(generate_subscripts(hs, 1) - 1 AS INT) AS link FROM s WHERE len(hs) > 0)
-, t AS (SELECT page_id, url, item, part, sig, link, {no_edges('h0')} AS href, {squash(visible("l0"))} AS title FROM a)
+_TAG = r"""(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!\w[^>]*>|</?[a-z][^\s/>]*(?:[^'">]|"[^"]*"|'[^']*')*>"""
+_VOID = ("", "script", "style", "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+
+
+def _attribute(tag: str, name: str) -> str:
+    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    raw = f"regexp_extract({tag}, {quote(pattern)}, 1)"
+    inner = f"CASE WHEN left({raw}, 1) IN ('\"', '''') THEN substr({raw}, 2, length({raw}) - 2) ELSE {raw} END"
+    return f"CASE WHEN {raw} <> '' THEN {entities(inner)} END"
+
+
+_NODES = "STRUCT(pos INT, name VARCHAR, path VARCHAR)[]"
+# Every page is read tag by tag, all pages in step; a row holds the open elements after its tag and those it closed.
+cte("nodes", ["list_pages"], f"""
+WITH RECURSIVE g AS (SELECT page_id, url, regexp_extract_all(html, {quote(_TAG)}) AS tags FROM list_pages)
+, t AS (SELECT page_id, tag, CAST(pos AS INT) AS pos, CAST(n AS INT) AS n, lower(regexp_extract(tag, '^</?([A-Za-z][^\\s/>]*)', 1)) AS name,
+   starts_with(tag, '</') AS closing, concat_ws(' ', {_attribute("tag", "class")}, {_attribute("tag", "id")}) AS sign
+   FROM (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS pos, len(tags) AS n FROM g))
+, m AS MATERIALIZED (SELECT *, name IN {in_list(_VOID)} OR (ends_with(tag, '/>') AND NOT closing) AS void FROM t)
+, walk AS (
+ SELECT page_id, -1 AS pos, CAST([] AS {_NODES}) AS open, CAST([] AS {_NODES}) AS gone FROM g
+ UNION ALL
+ SELECT w.page_id, m.pos,
+  CASE WHEN void THEN open
+   WHEN closing THEN list_filter(open, lambda s: s.pos < coalesce(list_max([x.pos FOR x IN open IF x.name = m.name]), m.pos))
+   ELSE list_append(open, {{'pos': m.pos, 'name': m.name, 'path': CASE WHEN m.name = 'body' THEN '' ELSE concat_ws(' ', open[-1].path, nullif(m.sign, '')) END}}) END,
+  CASE WHEN closing AND NOT void THEN list_filter(open, lambda s: s.pos >= coalesce(list_max([x.pos FOR x IN open IF x.name = m.name]), m.pos)) ELSE [] END
+ FROM walk w JOIN m ON m.page_id = w.page_id AND m.pos = w.pos + 1)
+, ends AS (SELECT page_id, pos AS closed, unnest(gone) AS e FROM walk
+   UNION ALL SELECT w.page_id, n, unnest(open) FROM walk w JOIN (SELECT DISTINCT page_id, n FROM t) x ON x.page_id = w.page_id WHERE w.pos = n - 1)
+SELECT m.page_id, e.pos AS pos, closed, e.name AS name, e.path AS path, m.tag AS tag FROM ends JOIN m ON m.page_id = ends.page_id AND m.pos = e.pos
+WHERE e.name IN ('li', 'tr', 'a')""")
+cte("pieces", ["list_pages"], f"SELECT page_id, url, string_split_regex(html, {quote(_TAG)}) AS texts FROM list_pages")
+cte("links", ["nodes", "pieces"], f"""
+WITH i AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INT) AS item FROM nodes WHERE name <> 'a')
+, h AS (SELECT n.page_id, n.pos, {no_edges(_attribute("tag", "href"))} AS href, {squash(entities("array_to_string(texts[n.pos + 2:closed + 1], '')"))} AS title
+   FROM nodes n JOIN pieces p ON p.page_id = n.page_id WHERE name = 'a')
+, a AS (SELECT i.page_id, i.item, i.path AS sig, i.pos AS start, i.closed, href, title,
+   CAST(row_number() OVER (PARTITION BY i.page_id, i.item ORDER BY h.pos) - 1 AS INT) AS link FROM i JOIN h ON h.page_id = i.page_id AND h.pos > i.pos AND h.pos < i.closed
+   WHERE href IS NOT NULL)
+, t AS (SELECT a.*, url, {squash(entities("array_to_string(texts[start + 2:closed + 1], ' ')"))} AS txt FROM a JOIN pieces p ON p.page_id = a.page_id)
 SELECT *, coalesce(array_to_string(list_filter([CASE WHEN length(title) < 4 THEN 'short title' END, {_hit("title", "lower(title)", lx.TITLE_BLACKLIST)},
   CASE WHEN title IN {in_list(lx.TITLE_EXACT_BLACKLIST)} THEN 'exact title:' || title END, {_hit("href", "lower(href)", lx.HREF_BLACKLIST)},
   'container:' || list_filter([{", ".join(quote(w) for w in lx.CONTAINER_BLACKLIST)}], lambda w: list_contains(string_split_regex(lower(sig), '[^0-9a-z]+'), w))[1]],
@@ -163,7 +203,7 @@ def absolute(base: str, href: str) -> str:
 _D = lx.DATE_RE
 SQL["list_records"] = with_("links", f"""
 , k AS (SELECT *, row_number() OVER (PARTITION BY page_id, item ORDER BY length(title) DESC, link) AS rn FROM links WHERE reasons = '')
-, x AS (SELECT *, {squash(visible("replace(part, '<', ' <')"))} AS txt FROM k WHERE rn = 1)
+, x AS (SELECT * FROM k WHERE rn = 1)
 SELECT page_id, item, title, trim(regexp_extract(txt, {quote(lx.DOC_NO_RE)})) AS doc_no, trim(regexp_extract(txt, {quote(lx.PUBLISHER_LABEL_RE)}, 1)) AS publish_unit,
  trim(regexp_extract(txt, {quote(lx.CATEGORY_LABEL_RE)}, 1)) AS category,
  try_cast(concat(regexp_extract(txt, '{_D}', 1), '-', lpad(regexp_extract(txt, '{_D}', 2), 2, '0'), '-', lpad(regexp_extract(txt, '{_D}', 3), 2, '0')) AS DATE) AS publish_date,

@@ -1,11 +1,13 @@
 """Sheet layouts, prose and pages against literal fixtures."""
 
 import datetime
+import random
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
 from longtally.operators import prose, sheets
-from longtally.sources import landed
+from longtally.sources import elements, landed
 
 
 def grid(spark, rows, title="2025年9月月报卡数据", sheet="s"):
@@ -112,3 +114,83 @@ def test_publish_unit_order(spark):
     df = spark.createDataFrame(rows, "record_id int, source_url string, category string, publish_unit string, html string")
     got = {r.record_id: r.unit_source for r in landed.fill_publish_unit(df).collect()}
     assert got == {1: "page", 2: "host", 3: "category", 4: "missing", 5: "own"}
+
+
+def links_of(spark, html):
+    df = spark.createDataFrame([(1, "https://h.org/l/", html)], "id int, url string, html string")
+    return df, {r.title: (r.href, r.reasons) for r in landed.page_links(df, "id").collect()}
+
+
+def test_list_items_know_what_encloses_them(spark):
+    _, links = links_of(spark, """
+        <body class="nav"><div class="side Nav"><ul><li><a href="/a.html">机构设置与职能介绍</a></li></ul></div>
+        <div id='x-crumb'><table><tr><td><a href='/b.html'>单引号的链接标题</a></td></tr></table></div>
+        <div class="navigator"><ul><li><a class=x href=/c.html>没有引号的链接标题</a></li></ul></div></body>""")
+    assert links == {
+        "机构设置与职能介绍": ("/a.html", ["container:nav"]), "单引号的链接标题": ("/b.html", ["container:crumb"]), "没有引号的链接标题": ("/c.html", [])
+    }
+
+
+def test_nested_list_items_stay_apart(spark):
+    df, links = links_of(spark, """<ul><li class="outer">甲<ul><li><a href="/in1.html">内层条目一的标题</a> 2024-01-02</li>
+        <li><a href="/in2.html?a=1&amp;b=2">内层<b>条目</b>二</a></ul> 乙 <a href="/out.html">外层条目自己的标题文字</a> 2024-03-04</li></ul>
+        <!-- <li><a href="/no.html">注释里的链接标题</a></li> --><script>"<li><a href='/no.html'>脚本里的链接</a></li>"</script>""")
+    assert set(links) == {"内层条目一的标题", "内层条目二", "外层条目自己的标题文字"} and links["内层条目二"][0] == "/in2.html?a=1&b=2"
+    rows = landed.list_records(df, "id").orderBy("item").collect()
+    assert [(r.item, r.title, r.summary) for r in rows] == [
+        (0, "外层条目自己的标题文字", "甲 内层条目一的标题 2024-01-02 内层 条目 二 乙 外层条目自己的标题文字 2024-03-04"),
+        (1, "内层条目一的标题", "内层条目一的标题 2024-01-02"), (2, "内层条目二", "内层 条目 二"),
+    ]
+
+
+class Tree(HTMLParser):
+    """Open elements on a stack, as plain code."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.stack, self.made, self.at, self.void = [], [], 0, elements.VOID
+        self.feed(html)
+        self.close()
+        self.made += [(at, self.at, name, path) for at, name, path in self.stack]
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in self.void:
+            values = dict(attrs)
+            own = [values[k] for k in ("class", "id") if k in values]
+            above = [self.stack[-1][2]] if self.stack else []
+            self.stack.append((self.at, tag, "" if tag == "body" else " ".join(above + ([" ".join(own)] if own else []))))
+        self.at += 1
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in self.void:
+            at, name, path = self.stack.pop()
+            self.made.append((at, at, name, path))
+
+    def handle_endtag(self, tag):
+        opened = [i for i, s in enumerate(self.stack) if s[1] == tag]
+        if opened and tag not in self.void:
+            self.made += [(at, self.at, name, path) for at, name, path in self.stack[opened[-1]:]]
+            del self.stack[opened[-1]:]
+        self.at += 1
+
+
+SOUP = ["<li>", "<LI class='a b'>", '<li id="x">', "</li>", "<ul class=u>", "</ul>", "<div id=d class='c'>", "</div>", "<a href=/x>", "</a>", "<p>", "</p>",
+        "<br>", "<br/>", "<tr/>", "<tr>", "</tr>", "</em>", "<body class=n>", "</body>", "text", " 1 < 2 "]
+
+
+def test_elements_of_any_soup_of_tags(spark):
+    rng = random.Random(3)
+    soups = ["".join(rng.choices(SOUP, k=rng.randint(0, 40))) for _ in range(150)] + ["".join(rng.choices(SOUP, k=3 * elements.PART + 7)), "", "<li>" * 600]
+    df = spark.createDataFrame(list(enumerate(soups)), "i int, html string").withColumn("tags", elements.tags(F.col("html")))
+    got = df.select("i", F.size("tags").alias("n"), F.size(elements.texts(F.col("html"))).alias("texts"), elements.elements(F.col("tags"), ("li", "tr", "a")).alias("e"))
+    for r in got.collect():
+        tree = Tree(soups[r.i])
+        want = sorted((at, closed, name, " ".join(path.split())) for at, closed, name, path in tree.made if name in ("li", "tr", "a"))
+        assert [(e.at, e.closed, e.name, " ".join(e.path.split())) for e in r.e] == want, soups[r.i]
+        assert r.texts == r.n + 1
+
+
+def test_pages_without_html(spark):
+    df = spark.createDataFrame([(1, "u", None), (2, "u", ""), (3, "u", "<li>no link")], "id int, url string, html string")
+    assert landed.page_links(df, "id").count() == landed.list_records(df, "id").count() == 0
