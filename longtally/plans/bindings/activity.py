@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ...operators import trace as tr
-from ...sources import bridge as b, stores
+from ...sources import bridge as b, keyed, status, stores
 from ...sources.workspace import new_path
 from ...streaming import live
 from ..catalog import query
@@ -73,6 +73,60 @@ def insert_ignore(spark, sf):
     return stores.insert_ignore(raw.filter("id % 3 = 0"), raw.filter("id % 3 <> 0"), keys, F.col("id")).select("id")
 
 
+def _stored_versions(spark, sf):
+    path = new_path(spark, "records")
+    old, new = _record_versions(spark, sf)
+    merge = keyed.newest("source_url", ["title", "category"], F.col("record_id"))
+    for batch_id, rows in enumerate((old.withColumn("record_id", F.lit(None).cast("long")), new)):
+        keyed.merge_batch(rows.select("source_url", "title", "category", "record_id"), path, batch_id, "source_url", merge, buckets=8)
+    return path
+
+
+@query("stored_upsert")
+def stored_upsert(spark, sf):
+    return keyed.current(spark, _stored_versions(spark, sf)).select("source_url", "title", "category")
+
+
+@query("stored_upsert_outcomes")
+def stored_upsert_outcomes(spark, sf):
+    return keyed.outcomes(spark, _stored_versions(spark, sf)).select("batch", "outcome", "n")
+
+
+@query("stored_insert_ignore")
+def stored_insert_ignore(spark, sf):
+    raw, path, keys = b.indicator_raw(spark, sf), new_path(spark, "inserted"), ["doc_id", "sheet_name", "region"]
+    for batch_id, rows in enumerate((raw.filter("id % 3 = 0"), raw.filter("id % 3 <> 0"))):
+        keyed.merge_batch(rows, path, batch_id, keys, keyed.ignore(keys, F.col("id")), buckets=8)
+    return keyed.current(spark, path).select("id")
+
+
+def _states(spark, sf):
+    path = new_path(spark, "status-log")
+    for rows in b.status_entries(spark, sf):
+        status.append(rows, path)
+    return status.current(spark.read.schema(status.LOG).parquet(path))
+
+
+@query("document_states")
+def document_states(spark, sf):
+    return _states(spark, sf).drop("at")
+
+
+@query("documents_to_fetch")
+def documents_to_fetch(spark, sf):
+    return status.to_fetch(b.statistics(spark, sf), _states(spark, sf), most_failures=2)
+
+
+@query("sheets_to_read")
+def sheets_to_read(spark, sf):
+    return status.to_read_sheets(b.statistics(spark, sf), _states(spark, sf))
+
+
+@query("prose_to_read")
+def prose_to_read(spark, sf):
+    return status.to_read_prose(b.statistics(spark, sf), _states(spark, sf))
+
+
 @query("pending_documents")
 def pending_documents(spark, sf):
     docs = b.indicator_docs(spark, sf).select("doc_id")
@@ -142,11 +196,15 @@ def stream_daily_counts(spark, sf):
 
 @query("stream_new_documents")
 def stream_new_documents(spark, sf):
+    # dealt by a hash into several files, one a batch: the first document of a key often comes after a later one
+    landed = new_path(spark, "landed-documents")
+    rows = b.table(spark, sf, "documents").select(
+        F.concat_ws("/", "lang", F.floor(F.col("doc_id") / 2)).alias("source_url"), "doc_id", "text")
+    rows.repartition(6, F.col("doc_id")).write.parquet(landed)
+    stream = live.file_stream(spark, landed, rows, max_files=1)
     path, checkpoint = new_path(spark, "new-documents"), new_path(spark, "new-documents-checkpoint")
-    stream = live.file_stream(spark, sf, b.table(spark, sf, "documents"), files="documents.parquet")
-    keyed = stream.select(F.concat_ws("/", "lang", F.floor(F.col("doc_id") / 2)).alias("source_url"), "doc_id", "text")
-    live.upsert_documents(keyed, path, checkpoint, "source_url", "doc_id").awaitTermination()
-    return spark.read.parquet(path).select("source_url", "doc_id", "text")
+    live.upsert_documents(stream, path, checkpoint, "source_url", "doc_id", buckets=8).awaitTermination()
+    return keyed.current(spark, path).select("source_url", "doc_id", "text")
 
 
 @query("stream_alerts")
@@ -157,9 +215,11 @@ def stream_alerts(spark, sf):
 
 @query("stream_collapsed_rounds")
 def stream_collapsed_rounds(spark, sf):
+    # turns of a session are dealt over the batches, so most batches bring late ones
     turns = new_path(spark, "turns")
-    b.rounds(spark, sf).write.option("maxRecordsPerFile", 3000).parquet(turns)
-    stream = live.file_stream(spark, turns, spark.read.parquet(turns), max_files=1)
-    landed, rounds = new_path(spark, "landed"), new_path(spark, "rounds")
-    live.live_round_collapse(stream, landed, rounds, new_path(spark, "rounds-checkpoint")).awaitTermination()
-    return live.current_rounds(spark, rounds)
+    rows = b.rounds(spark, sf)
+    rows.repartition(10, F.col("session_id") + F.col("seq") * 7).write.parquet(turns)
+    stream = live.file_stream(spark, turns, rows, max_files=1)
+    rounds = new_path(spark, "rounds")
+    live.live_round_collapse(stream, rounds, new_path(spark, "rounds-checkpoint"), buckets=8).awaitTermination()
+    return keyed.current(spark, rounds)

@@ -364,6 +364,32 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+STATISTICS = ["统计月报", "统计公报", "统计分析"]
+
+
+def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publication records of the three statistical categories, one for each document."""
+    return table(spark, sf_dir, "documents").select("doc_id", pick(STATISTICS, F.col("doc_id") + F.length("lang")).alias("category"))
+
+
+def status_entries(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Log entries of four runs over the records: fetches, of which some fail, again or for good, entries that come
+    late or twice, and the reading of sheets and texts."""
+    key = F.col("doc_id")
+    report = F.col("category") == STATISTICS[0]
+    rows = statistics(spark, sf_dir)
+    at = lambda hours: F.timestamp_seconds(F.lit(1_700_000_000) + F.lit(hours * 3600) + key)
+    entry = lambda keep, stage, state, hours, attempt: rows.where(keep).select(
+        "doc_id", (F.lit(stage) if isinstance(stage, int) else stage).alias("stage"), state.alias("status"), at(hours).alias("at"), F.lit(attempt).alias("attempt")
+    )
+    fetched = F.when(~report | (key % 4 != 0), "DONE").otherwise("TEXT_DONE")
+    read = F.when(~report, "TEXT_DONE").when(key % 11 == 0, "XLSX_FAIL").otherwise("XLSX_DONE")
+    first = entry(key % 13 != 0, 1, F.when(key % 5 == 0, "FAILED").otherwise(fetched), 0, 1)
+    again = entry(key % 10 == 0, 1, F.when(key % 3 == 0, "FAILED").otherwise(fetched), 5, 2)
+    late = entry(key % 7 == 0, 1, F.lit("FAILED"), 6, 1)
+    return [first, again.union(late), again, entry(key % 4 == 1, F.when(report, 2).otherwise(3), read, 9, 1)]
+
+
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed pages as records whose publishing unit is often missing."""
     key = F.col("page_id")

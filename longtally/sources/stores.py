@@ -1,7 +1,9 @@
 """Writers and incremental reads: upsert, insert-ignore, replace, export, ingest.
 
-Tables are parquet folders. A rewrite goes to a new folder first, so a lost
-executor or a failed job never leaves a half-written table in place.
+Tables are parquet folders. A rewrite goes to a folder beside the table and is put in
+place when it is complete (``publish``), so a lost executor or a failed job never leaves
+a half-written table; keyed tables that batches keep current are in ``keyed``. Replacing
+by name is the one exception: it replaces whole partitions by Spark's dynamic overwrite.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.merge import keep_first
+from .publish import publish
 
 
 def upsert_outcomes(old: DataFrame, new: DataFrame, key: str, columns, order) -> DataFrame:
@@ -42,13 +45,15 @@ def pending(docs: DataFrame, done: DataFrame, key: str, limit: int | None = None
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header. Spark writes plain UTF-8, without a byte-order mark."""
-    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    """CSV in UTF-8 with a header. Each file starts with a byte-order mark, carried by the first column's name."""
+    first, *others = df.columns
+    marked = df.toDF("\ufeff" + first, *others)
+    publish(df.sparkSession, lambda to: marked.write.option("header", True).option("encoding", "UTF-8").csv(to), path)
 
 
 def write_by_source(df: DataFrame, path: str, column: str = "source_type") -> None:
     """Split a long table into one folder per source."""
-    df.write.mode("overwrite").partitionBy(column).parquet(path)
+    publish(df.sparkSession, lambda to: df.write.partitionBy(column).parquet(to), path)
 
 
 def replace_by_name(df: DataFrame, path: str, column: str = "analysis_name") -> None:
@@ -57,9 +62,8 @@ def replace_by_name(df: DataFrame, path: str, column: str = "analysis_name") ->
 
 
 def rebuild_table(spark: SparkSession, df: DataFrame, path: str, backup: str) -> DataFrame:
-    """Back up the current table, then replace it. ``df`` must not read ``path``."""
-    spark.read.parquet(path).write.mode("errorifexists").parquet(backup)
-    df.write.mode("overwrite").parquet(path)
+    """Replace the current table and keep it as ``backup``, which must not exist. ``df`` may read the table."""
+    publish(spark, lambda to: df.write.parquet(to), path, backup)
     return spark.read.parquet(path)
 
 

@@ -6,10 +6,14 @@ sink. State is bounded by watermarks, and each sink tolerates a replayed batch.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Iterator
 
-from ..operators.trace import collapse_rounds
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from ..functions.text import squash_ascii
+from ..sources import keyed
 
 
 def file_stream(
@@ -82,57 +86,115 @@ def current(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(*keys, "_row.*")
 
 
-def upsert_documents(stream: DataFrame, path: str, checkpoint: str, key: str, order: str) -> StreamingQuery:
-    """Keep one row per key: the first by ``order``, also if a key comes again after any watermark.
-
-    Each batch writes only keys that no earlier batch has, its own first row of each. A replayed batch
-    overwrites itself and looks at earlier batches alone.
-    """
+def keep_table(stream: DataFrame, path: str, checkpoint: str, key: str, merge: keyed.Merge, buckets: int = 64, mode: str = "append") -> StreamingQuery:
+    """Keep a keyed table current: each batch rewrites the buckets of its own keys alone, and a replay changes nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c != key]
-        first = batch.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(key, "_row.*")
-        if batch_id:
-            known = spark.read.parquet(path).filter(F.col("batch") < batch_id).select(key)
-            first = first.join(known, key, "left_anti")
-        first.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        keyed.merge_batch(batch, path, batch_id, key, merge, buckets)
 
     return (
-        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        .foreachBatch(write).start()
     )
 
 
-def live_round_collapse(
-    stream: DataFrame, turns_path: str, rounds_path: str, checkpoint: str, buckets: int = 256
-) -> StreamingQuery:
-    """Keep collapsed rounds current for the sessions each batch touches.
+def upsert_documents(stream: DataFrame, path: str, checkpoint: str, key: str, order: str, buckets: int = 64) -> StreamingQuery:
+    """Keep one row per key: the first by ``order``, in whatever batch it comes and however late."""
+    return keep_table(stream, path, checkpoint, key, keyed.first_by(key, order), buckets)
+
+
+class SessionRounds(StatefulProcessor):
+    """Rounds of one session at a time, from the turns its state keeps.
 
-    Turns are landed per batch and session bucket, then the rounds of the touched
-    sessions are recomputed from their landed turns and written under the batch
-    number; readers take the highest batch per session. The join on the bucket lets
-    Spark skip the folders of untouched buckets. Late turns are placed by their
-    sequence number, so they correct earlier rounds. A replayed batch overwrites
-    its own folders.
+    A timer that every turn pushes on closes a session after ``idle_ms`` without one: its turns leave the state,
+    its rounds stay as they are, and what comes after is passed over.
     """
 
-    def update(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.hash("session_id"), F.lit(buckets))
-        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{turns_path}/batch={batch_id}")
-        turns = spark.read.parquet(turns_path).filter(F.col("batch") <= batch_id)
-        touched = turns.filter(F.col("batch") == batch_id).select("bucket", "session_id").distinct()
-        known = turns.join(touched, ["bucket", "session_id"], "left_semi")
-        rounds = collapse_rounds(known.select("session_id", "seq", "question").distinct())
-        rounds.write.mode("overwrite").parquet(f"{rounds_path}/batch={batch_id}")
+    CLOSED = -1
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.turns = handle.getListState("turns", "seq long, question string")
+        self.due = handle.getValueState("due", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        due = self.due.get()[0] if self.due.exists() else None
+        if due == self.CLOSED:
+            return
+        known = {(t[0], t[1]) for t in self.turns.get()} if due is not None else set()
+        fresh = {(int(s), q) for frame in rows for s, q in zip(frame["seq"], frame["question"], strict=True)} - known
+        if fresh:
+            self.turns.appendList(sorted(fresh, key=_place))
+        if due is not None:
+            self.handle.deleteTimer(due)
+        due = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+        self.handle.registerTimer(due)
+        self.due.update((due,))
+        rounds = _rounds(sorted(known | fresh, key=_place))
+        yield pd.DataFrame([(key[0], *r) for r in rounds], columns=["session_id", "round_no", "seq", "question", "asked"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.turns.clear()
+        self.due.update((self.CLOSED,))
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
-    return (
-        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(update).start()
-    )
 
+def _place(turn: tuple) -> tuple:
+    return turn[0], turn[1] or ""
 
-def current_rounds(spark: SparkSession, rounds_path: str) -> DataFrame:
-    """Rounds of the latest batch that touched each session."""
-    rows = spark.read.parquet(rounds_path)
-    newest = rows.groupBy("session_id").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["session_id", "batch"], "left_semi").drop("batch")
+
+def _rounds(turns: list[tuple]) -> list[tuple]:
+    """(round_no, seq, question, asked): consecutive equal questions share a round.
+
+    As in the batch version, a turn without text goes on with the round, and so does the one after it.
+    """
+    rounds: list[tuple] = []
+    previous = None
+    for seq, question in turns:
+        if rounds and (previous is None or question is None or question == previous):
+            rounds[-1] = (len(rounds), seq, question, rounds[-1][3] + 1)
+        else:
+            rounds.append((len(rounds) + 1, seq, question, 1))
+        previous = question
+    return rounds
+
+
+def session_rounds(stream: DataFrame, idle_ms: int) -> DataFrame:
+    """(session_id, round_no, seq, question, asked): all rounds of every session a batch touches.
+
+    Turns (session_id, seq, question) may come late and repeatedly; they take their place by ``seq``.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in stream.schema}
+    turns = stream.select("session_id", F.col("seq").cast("long").alias("seq"), squash_ascii(F.col("question")).alias("question"))
+    schema = f"session_id {kind['session_id']}, round_no long, seq long, question string, asked long"
+    return turns.groupBy("session_id").transformWithStateInPandas(SessionRounds(idle_ms), schema, "Update", "ProcessingTime")
+
+
+#: State on disk, and no batches without data: timers are looked at with the next turns.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+def live_round_collapse(stream: DataFrame, rounds_path: str, checkpoint: str, buckets: int = 64, idle_ms: int = 30 * 86_400_000) -> StreamingQuery:
+    """Keep collapsed rounds current for the sessions each batch touches.
+
+    Turns live in a state store (RocksDB), so no batch reads what earlier ones have landed, and the rounds of a
+    touched session replace its earlier ones in a keyed table.
+    """
+    conf = stream.sparkSession.conf
+    before = {name: conf.get(name) for name in STATE}
+    try:  # a query takes its settings when it starts
+        for name, value in STATE.items():
+            conf.set(name, value)
+        return keep_table(session_rounds(stream, idle_ms), rounds_path, checkpoint, "session_id", keyed.replaced("session_id"), buckets, "update")
+    finally:
+        for name, value in before.items():
+            conf.set(name, value)

@@ -1,4 +1,4 @@
-from .base import with_
+from .base import cte, with_
 
 SQL: dict[str, str] = {}
 _J = "regexp_extract({p}, '^\\{{\"text\":\"([^\"]*)\"', 1)"
@@ -42,6 +42,31 @@ _UP = """
 """
 SQL["upsert_outcomes"] = with_("records", _UP + "SELECT * FROM u")
 SQL["upsert_counts"] = with_("records", _UP + "SELECT outcome, count(*) AS n FROM u GROUP BY 1")
+SQL["stored_upsert"] = with_("records", _UP + "SELECT source_url, title, category FROM u")
+SQL["stored_upsert_outcomes"] = with_("records", _UP + """
+SELECT CAST(0 AS BIGINT) AS batch, 'inserted' AS outcome, count(*) AS n FROM o HAVING count(*) > 0
+UNION ALL SELECT 1, outcome, count(*) FROM u WHERE outcome <> 'kept' GROUP BY outcome""")
+SQL["stored_insert_ignore"] = with_("raw", """
+SELECT coalesce(min(id) FILTER (id % 3 = 0), min(id)) AS id FROM raw GROUP BY doc_id, sheet_name, region""")
+# Four runs: first fetch, second fetch and a late entry of the first, the second again, reading.
+cte("statistics", [], "SELECT doc_id, ['统计月报', '统计公报', '统计分析'][(doc_id + length(lang)) % 3 + 1] AS category FROM documents")
+cte("states", ["statistics"], """
+WITH r AS (SELECT doc_id, category = '统计月报' AS report FROM statistics)
+, f AS (SELECT *, CASE WHEN NOT report OR doc_id % 4 <> 0 THEN 'DONE' ELSE 'TEXT_DONE' END AS fetched FROM r)
+, e AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'FAILED' ELSE fetched END AS status, 0 AS hour FROM f WHERE doc_id % 13 <> 0
+  UNION ALL SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'FAILED' ELSE fetched END, 5 FROM f WHERE doc_id % 10 = 0
+  UNION ALL SELECT doc_id, 'FAILED', 6 FROM f WHERE doc_id % 7 = 0
+  UNION ALL SELECT doc_id, CASE WHEN NOT report THEN 'TEXT_DONE' WHEN doc_id % 11 = 0 THEN 'XLSX_FAIL' ELSE 'XLSX_DONE' END, 9 FROM f WHERE doc_id % 4 = 1)
+, l AS (SELECT doc_id, list({'status': status, 'attempts': 1, 'failures': CASE WHEN status IN ('FAILED', 'XLSX_FAIL') THEN 1 ELSE 0 END} ORDER BY hour) AS es FROM e GROUP BY doc_id)
+SELECT doc_id, unnest(list_reduce(list_prepend({'status': 'PENDING', 'attempts': 0, 'failures': 0}, es), lambda s, x:
+  CASE WHEN (s.status IN ('PENDING', 'FAILED') AND x.status IN ('DONE', 'TEXT_DONE', 'FAILED')) OR (s.status = 'DONE' AND x.status IN ('TEXT_DONE', 'XLSX_DONE', 'XLSX_FAIL'))
+  THEN {'status': x.status, 'attempts': s.attempts + 1, 'failures': s.failures + x.failures} ELSE s END)) FROM l""")
+SQL["document_states"] = with_("states", "SELECT * FROM states")
+SQL["documents_to_fetch"] = with_(["statistics", "states"], """
+SELECT d.doc_id, category FROM statistics d LEFT JOIN states s ON s.doc_id = d.doc_id WHERE status IS NULL OR (status IN ('PENDING', 'FAILED') AND failures < 2)""")
+_READY = "SELECT d.doc_id, category FROM statistics d JOIN states s ON s.doc_id = d.doc_id WHERE status = 'DONE' AND category IN "
+SQL["sheets_to_read"] = with_(["statistics", "states"], _READY + "('统计月报')")
+SQL["prose_to_read"] = with_(["statistics", "states"], _READY + "('统计公报', '统计分析')")
 SQL["insert_ignore"] = with_("raw", """
 SELECT min(id) AS id FROM raw a WHERE id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM raw o WHERE o.id % 3 = 0 AND o.doc_id = a.doc_id AND o.sheet_name = a.sheet_name AND o.region = a.region)
 GROUP BY doc_id, sheet_name, region""")

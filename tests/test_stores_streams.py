@@ -1,10 +1,13 @@
 """Writers, incremental reads and streams."""
 
 import datetime
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from longtally.sources import stores, workspace
+from longtally.operators import trace
+from longtally.sources import keyed, publish, status, stores, workspace
 from longtally.streaming import live
 
 
@@ -65,9 +68,9 @@ def test_counts_wait_for_the_watermark(spark):
 def test_live_collapse_over_several_batches(spark):
     rows = [("s", i, q) for i, q in enumerate(["a", "a", "b", "b", "a", "c"])]
     stream = stream_of(spark, rows, "session_id string, seq int, question string", parts=3)
-    turns, rounds = workspace.new_path(spark, "turns"), workspace.new_path(spark, "rounds")
-    live.live_round_collapse(stream, turns, rounds, workspace.new_path(spark, "cp")).awaitTermination()
-    got = [(r.round_no, r.question) for r in live.current_rounds(spark, rounds).orderBy("round_no").collect()]
+    rounds = workspace.new_path(spark, "rounds")
+    live.live_round_collapse(stream, rounds, workspace.new_path(spark, "cp")).awaitTermination()
+    got = [(r.round_no, r.question) for r in keyed.current(spark, rounds).orderBy("round_no").collect()]
     assert got == [(1, "a"), (2, "b"), (3, "a"), (4, "c")]
 
 
@@ -105,5 +108,132 @@ def test_keyed_upsert_takes_a_late_repeat_once(spark):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         live.upsert_documents(stream, path, checkpoint, "key", "at").awaitTermination()
-    got = sorted((r["key"], r["text"]) for r in spark.read.parquet(path).collect())
+    got = sorted((r["key"], r["text"]) for r in keyed.current(spark, path).collect())
     assert got == [("a", "first"), ("b", "y"), ("c", "z")]
+
+
+def watched(query, seconds=150):
+    assert query.awaitTermination(seconds), "stream did not end"
+    return [p for p in query.recentProgress if p.numInputRows]
+
+
+def test_rounds_of_late_turns_over_many_batches(spark):
+    rng = random.Random(2)
+    turns = [(s, i, rng.choice([" ask  a", "ask a", "b", None, ""])) for s in "xyz" for i in range(40)] + [("w", 0, "only")]
+    dealt = turns[::-1][:60] + turns
+    stream = stream_of(spark, dealt, "session_id string, seq long, question string", parts=10)
+    rounds = workspace.new_path(spark, "rounds")
+    seen = watched(live.live_round_collapse(stream, rounds, workspace.new_path(spark, "cp"), buckets=4))
+    assert len(seen) == 10 and max(p.numInputRows for p in seen) <= len(dealt) // 10 + 1  # no batch reads earlier turns
+    want = trace.collapse_rounds(spark.createDataFrame(turns, "session_id string, seq long, question string")).collect()
+    columns = ("session_id", "round_no", "seq", "question", "asked")
+    values = lambda rows: sorted(tuple(r[c] for c in columns) for r in rows)
+    assert values(keyed.current(spark, rounds).collect()) == values(want)
+
+
+def test_idle_sessions_are_closed(spark):
+    schema = "session_id string, seq long, question string"
+    source, rounds, checkpoint = (workspace.new_path(spark, n) for n in ("idle", "idle-rounds", "idle-cp"))
+    for rows in ([("a", 0, "x"), ("b", 0, "x")], [("b", 1, "y")], [("a", 1, "late"), ("b", 2, "late")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        watched(live.live_round_collapse(spark.readStream.schema(schema).parquet(source), rounds, checkpoint, buckets=2, idle_ms=1))
+    got = sorted((r.session_id, r.round_no) for r in keyed.current(spark, rounds).collect())
+    assert ("a", 1) in got and ("a", 2) not in got  # closed by the timer before its late turn
+
+
+def test_first_row_by_order_in_whatever_batch(spark):
+    schema = "key string, at int, text string"
+    source, path, checkpoint = (workspace.new_path(spark, n) for n in ("first", "first-table", "first-cp"))
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", "c", "d", None]), rng.choice([None, *range(50)]), f"t{i}") for i in range(60)]
+    for i in range(6):
+        spark.createDataFrame(rows[i * 10 : i * 10 + 10], schema).coalesce(1).write.mode("append").parquet(source)
+    spark.createDataFrame([("a", 99, "too late")], schema).coalesce(1).write.mode("append").parquet(source)
+    stream = live.file_stream(spark, source, spark.read.schema(schema).parquet(source), max_files=1)
+    assert len(watched(live.upsert_documents(stream, path, checkpoint, "key", "at", buckets=16))) == 7
+    want = {}
+    for key, at, text in rows:
+        place = (at is None, at or 0, text)
+        want[key] = min(want.get(key, place), place)
+    assert {r["key"]: (r["at"] is None, r["at"] or 0, r["text"]) for r in keyed.current(spark, path).collect()} == want
+    told = keyed.outcomes(spark, path).collect()
+    assert sum(r["n"] for r in told if r["outcome"] == "inserted") == len(want)
+    last = [r for r in told if r["batch"] == 6]
+    assert [(r["outcome"], r["n"], r["buckets"]) for r in last] == [("unchanged", 1, 1)]  # one bucket of 16 rewritten
+
+
+def test_a_batch_is_applied_once_and_lost_ones_are_finished(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "k int, v string")
+    path, merge = workspace.new_path(spark, "keyed"), keyed.newest("k", ["v"], F.col("v"))
+    keyed.merge_batch(frame([(i, "old") for i in range(20)]), path, 0, "k", merge, 4)
+    keyed.merge_batch(frame([(1, "new"), (50, "in")]), path, 1, "k", merge, 4)
+    keyed.merge_batch(frame([(1, "replayed with other rows")]), path, 1, "k", merge, 4)
+    files = publish.Folders(spark, path)
+    values = lambda: {r.k: r.v for r in keyed.current(spark, path).collect()}
+    assert values() == {i: "old" for i in range(20)} | {1: "new", 50: "in"}
+    assert {(r.batch, r.outcome, r.n) for r in keyed.outcomes(spark, path).collect()} == {(0, "inserted", 20), (1, "updated", 1), (1, "inserted", 1)}
+    # lost before it was complete: dropped; lost while buckets were moved: finished
+    frame([(2, "half")]).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{path}/_next/batch=2")
+    keyed.recover(spark, path)
+    assert values()[2] == "old" and not files.names(f"{path}/_next")
+    bucket = next(r[0] for r in frame([(2, "x")]).select(keyed.bucket_of("k", 4)).collect())
+    kept = spark.read.parquet(f"{path}/bucket={bucket}").withColumn("v", F.when(F.col("k") == 2, "moved").otherwise(F.col("v")))
+    kept.withColumn("bucket", F.lit(bucket)).write.partitionBy("bucket").parquet(f"{path}/_next/batch=2")
+    spark.createDataFrame([(2, "updated", 1, 1)], "batch long, outcome string, n long, buckets int").write.parquet(f"{path}/_next/batch=2/_counts")
+    files.mark(f"{path}/_next/batch=2/{publish.COMPLETE}")
+    files.move(f"{path}/bucket={bucket}", f"{path}/_old/batch=2/bucket={bucket}")  # here the job was lost
+    keyed.recover(spark, path)
+    assert values()[2] == "moved" and len(values()) == 21 and "_old" not in [n for n in files.names(path) if files.names(f"{path}/{n}")]
+    assert keyed.outcomes(spark, path).where("batch = 2").count() == 1
+
+
+def test_a_failing_writer_leaves_the_table(spark):
+    path, backup = workspace.new_path(spark, "table"), workspace.new_path(spark, "backup")
+    rows = lambda v: spark.createDataFrame([(v,)], "v int")
+    rows(1).write.parquet(path)
+    with pytest.raises(Exception, match="no luck"):
+        stores.rebuild_table(spark, rows(2).select(F.raise_error(F.lit("no luck")).alias("v")), path, backup)
+    assert spark.read.parquet(path).first().v == 1
+    assert stores.rebuild_table(spark, spark.read.parquet(path).select((F.col("v") + 1).alias("v")), path, backup).first().v == 2
+    assert spark.read.parquet(backup).first().v == 1
+    with pytest.raises(FileExistsError):
+        stores.rebuild_table(spark, rows(3), path, backup)
+    # lost between the two renames
+    third, files = workspace.new_path(spark, "backup"), publish.Folders(spark, path)
+    aside = publish._beside(path, "next")
+    rows(3).write.parquet(aside)
+    files.mark(f"{aside}/{publish.COMPLETE}")
+    files.move(path, third)
+    publish.recover(spark, path, third)
+    assert spark.read.parquet(path).first().v == 3 and spark.read.parquet(third).first().v == 2
+
+
+def test_csv_files_start_with_a_mark(spark):
+    path = workspace.new_path(spark, "csv")
+    stores.write_csv(spark.range(6).select("id", F.lit("值").alias("名")).repartition(3), path)
+    files = [r.content for r in spark.read.format("binaryFile").load(path).select("content").collect()]
+    assert len(files) == 3 and all(bytes(f).startswith(b"\xef\xbb\xbfid,") for f in files)
+
+
+def test_status_log_folds_to_states(spark):
+    t = lambda h: datetime.datetime(2024, 1, 1, h)
+    log = [
+        (1, 1, "FAILED", t(0), 1), (1, 1, "FAILED", t(1), 2), (1, 1, "FAILED", t(1), 2), (2, 1, "DONE", t(0), 1), (2, 2, "XLSX_FAIL", t(2), 1), (2, 1, "FAILED", t(3), 1),
+        (3, 1, "DONE", t(0), 1), (3, 1, "FAILED", t(1), 1), (4, 2, "XLSX_DONE", t(0), 1), (None, 1, "DONE", t(0), 1), (5, 1, "DONE", None, 1), (6, 1, "DONE", t(0), 1),
+    ]
+    state = status.current(spark.createDataFrame(log, status.LOG))
+    assert {r.doc_id: (r.status, r.attempts, r.failures) for r in state.collect()} == {
+        1: ("FAILED", 2, 2), 2: ("XLSX_FAIL", 2, 1), 3: ("DONE", 1, 0), 4: ("PENDING", 0, 0), 6: ("DONE", 1, 0)
+    }
+    records = spark.createDataFrame([(i, c) for i, c in enumerate([None, "统计月报", "统计月报", "统计月报", "统计公报", "统计分析", "统计分析"])], "doc_id long, category string")
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    assert ids(status.to_fetch(records, state)) == [0, 1, 4, 5] and ids(status.to_fetch(records, state, most_failures=2)) == [0, 4, 5]
+    assert ids(status.to_fetch(records, state, force=True)) == list(range(7))
+    assert ids(status.to_read_sheets(records, state)) == [3] and ids(status.to_read_prose(records, state)) == [6]
+    assert ids(status.to_read_sheets(records, state, force=True)) == [1, 2, 3]
+    path = workspace.new_path(spark, "log")
+    read = status.to_read_prose(records, state)
+    status.append(spark.createDataFrame(log, status.LOG), path)
+    status.append(status.entries(read, state, 3, F.lit("TEXT_DONE"), F.lit("2024-01-02 00:00:00")), path)
+    after = status.current(spark.read.schema(status.LOG).parquet(path))
+    assert ids(status.to_read_prose(records, after)) == [] and after.where("doc_id = 6").first().attempts == 2
