@@ -23,8 +23,7 @@ def conclude_trend(spark, sf):
 
 @query("conclude_trend_overall")
 def conclude_trend_overall(spark, sf):
-    rows = b.indicator_long(spark, sf).filter((F.col("region") == lx.TOTAL_REGION) & (F.col("indicator_name") == "地区生产总值"))
-    return i.conclude_trend(rows, "value", F.struct("year", "end", "start"))
+    return i.conclude_trend(b.indicator_long(spark, sf), "value", F.struct("year", "end", "start"), ["region", "indicator_name"])
 
 
 @query("conclude_top1")

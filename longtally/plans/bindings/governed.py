@@ -212,5 +212,4 @@ def unit_in_name(spark, sf):
 def yoy_growth(spark, sf):
     from ...operators.reports import yoy
 
-    rows = b.indicator_long(spark, sf).filter(F.col("region") == lx.TOTAL_REGION)
-    return yoy(rows).filter(F.col("yoy").isNotNull()).select("period", "indicator_name", "yoy")
+    return yoy(b.indicator_long(spark, sf)).filter(F.col("yoy").isNotNull()).select("period", "region", "indicator_name", "yoy")

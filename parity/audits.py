@@ -15,7 +15,7 @@ SELECT yr AS year, count(DISTINCT indicator_name) AS hits, (SELECT count(*) FROM
  round(count(DISTINCT indicator_name)::DOUBLE / (SELECT count(*) FROM uni), 4) AS coverage
 FROM pp WHERE indicator_name IN (SELECT indicator_name FROM uni) GROUP BY 1""")
 SQL["leftovers"] = on_clean(f"""
-, cc AS (SELECT *, substr(period, 1, 4) AS y FROM merged WHERE NOT (substr(period, 1, 4) = '2001' AND indicator_name IN ('饮料类', '地区生产总值排名')))
+, cc AS (SELECT *, substr(period, 1, 4) AS y FROM merged)
 SELECT indicator_name, CASE WHEN indicator_name IN {in_list(lx.TRAP_NAMES)} THEN 'VARIANT'
  WHEN regexp_matches(indicator_name, '^(总计中：|其中：|其中:)') OR indicator_name IN {in_list(lx.LEFTOVER_NOISE_NAMES)} THEN 'NOISE' ELSE 'DISCONTINUED' END AS status,
  count(*) AS rows, string_agg(DISTINCT y, ',' ORDER BY y) AS years
@@ -52,8 +52,8 @@ SQL["sanity_check_raw"] = with_("raw", _sanity(
     "SELECT period, region, indicator_name, value, growth_rate FROM raw", "period, region, indicator_name",
     "concat_ws(', ', period, region, indicator_name)", ["value", "growth_rate"]))
 SQL["sanity_check_snapshot"] = with_("long", _sanity(
-    "SELECT period, region, value, growth_rate FROM long WHERE indicator_name = '地区生产总值排名'", "period, region",
-    "concat_ws(', ', period, region)", ["value", "growth_rate"]))
+    "SELECT period, region, indicator_name, value, growth_rate FROM long", "period, region, indicator_name",
+    "concat_ws(', ', period, region, indicator_name)", ["value", "growth_rate"]))
 SQL["exact_duplicates"] = with_("raw", """
 SELECT CAST(sum(c - 1) AS BIGINT) AS extra_rows, min(concat_ws(', ', period, region, indicator_name)) AS example FROM (
  SELECT period, region, indicator_name, floor(value / 50000) AS v, count(*) AS c FROM raw GROUP BY ALL HAVING count(*) > 1)""")
@@ -77,7 +77,7 @@ SQL["expectation_check"] = with_("long", f"""
 SELECT metric, count(CASE WHEN value IS NOT NULL OR growth_rate IS NOT NULL THEN 1 END) AS n,
  count(CASE WHEN value IS NOT NULL OR growth_rate IS NOT NULL THEN 1 END) >= min_rows AS enough_rows,
  target IS NULL OR coalesce(bool_or(abs(value - target) <= 0.5 OR abs(growth_rate - target) <= 0.5), false) AS value_found
-FROM e LEFT JOIN long ON indicator_name = metric AND region = '{T}' GROUP BY metric, min_rows, target""")
+FROM e LEFT JOIN long ON indicator_name = metric GROUP BY metric, min_rows, target""")
 SQL["falling_cumulatives"] = with_("long", """
 , l AS (SELECT * EXCLUDE (value), CASE WHEN year = 1999 AND "end" = 6 THEN value / 2 ELSE value END AS value FROM long WHERE value IS NOT NULL AND unit NOT IN ('%', '名', '元'))
 SELECT region, indicator_name, period, previous, value FROM (
@@ -133,8 +133,8 @@ SQL["monthly_wide"] = on_rows("SELECT period, " + ", ".join(
 SQL["annual_fallback"] = with_("raw", r"""
 , l AS (SELECT *, CAST(substr(period, 1, 4) AS INT) AS year FROM raw WHERE regexp_matches(period, '^\d{4}年') AND value IS NOT NULL)
 , k AS (SELECT year, value, CASE
-  WHEN source_type = 'XLSX' AND regexp_matches(period, '^\d{4}年$') AND indicator_name = '生产总值(GDP)' AND year < 1998 THEN 0
-  WHEN source_type = 'XLSX' AND regexp_matches(period, '^\d{4}年$') AND indicator_name = '地区生产总值（GDP）' AND year < 2000 THEN 1
+  WHEN source_type = 'XLSX' AND regexp_matches(period, '^\d{4}年$') AND indicator_name = '生产总值(GDP)' THEN 0
+  WHEN source_type = 'XLSX' AND regexp_matches(period, '^\d{4}年$') AND indicator_name = '地区生产总值（GDP）' THEN 1
   WHEN source_type = 'BULLETIN' AND indicator_name = '地区生产总值（GDP）' AND value BETWEEN 1500 AND 450000 THEN 2 END AS lv FROM l)
 SELECT year, value, ['XLSX first', 'XLSX second', 'BULLETIN'][lv + 1] AS source FROM (
  SELECT *, row_number() OVER (PARTITION BY year ORDER BY lv, value DESC) AS rn FROM k WHERE lv IS NOT NULL) WHERE rn = 1""")

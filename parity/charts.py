@@ -13,8 +13,8 @@ SQL["conclude_trend"] = with_("long", f"""
 , y AS (SELECT * FROM long WHERE "end" = (SELECT "end" FROM long ORDER BY year DESC, "end" DESC LIMIT 1))
 SELECT *, {TREND} FROM (SELECT region, indicator_name, count(*) AS points, first(value ORDER BY year) AS "first", last(value ORDER BY year) AS "last" FROM y GROUP BY 1, 2)""")
 SQL["conclude_trend_overall"] = with_("long", f"""
-, s AS (SELECT *, year * 100 + "end" AS k FROM long WHERE region = '{T}' AND indicator_name = '地区生产总值')
-SELECT *, {TREND} FROM (SELECT count(*) AS points, first(value ORDER BY k) AS "first", last(value ORDER BY k) AS "last" FROM s)""")
+, s AS (SELECT *, year * 100 + "end" AS k FROM long)
+SELECT *, {TREND} FROM (SELECT region, indicator_name, count(*) AS points, first(value ORDER BY k) AS "first", last(value ORDER BY k) AS "last" FROM s GROUP BY 1, 2)""")
 SQL["conclude_top1"] = with_("long", f"""
 , {V}, r AS (SELECT *, row_number() OVER w AS rn, lead(value) OVER w AS nxt FROM v WHERE region <> '{T}'
  WINDOW w AS (PARTITION BY period, indicator_name ORDER BY value DESC, region))

@@ -326,6 +326,6 @@ SELECT indicator_name, {bracket("indicator_name")} AS bracket, {ruled("indicator
  trim(regexp_replace(regexp_replace(q, '^[一二三四五六七八九十]+、', ''), '^[（(][一二三四五六七八九十]+[)）]', ''), ' :：-—') AS clean,
  {normal("indicator_name")} AS normal, n FROM c0""")
 SQL["yoy_growth"] = with_("long", """
-SELECT l.period, l.indicator_name, round((l.value - p.value) / nullif(p.value, 0) * 100, 2) AS yoy FROM long l JOIN long p
+SELECT l.period, l.region, l.indicator_name, round((l.value - p.value) / nullif(p.value, 0) * 100, 2) AS yoy FROM long l JOIN long p
  ON p.year = l.year - 1 AND p."end" = l."end" AND p.region = l.region AND p.indicator_name = l.indicator_name
-WHERE l.region = '全市' AND l.value IS NOT NULL AND p.value IS NOT NULL AND p.value <> 0""")
+WHERE l.value IS NOT NULL AND p.value IS NOT NULL AND p.value <> 0""")
