@@ -36,12 +36,47 @@ def dedupe_exact(df: DataFrame) -> DataFrame:
 CLUSTER_KEYS = ["period", "region", "indicator_name", "unit"]
 
 
+#: Distinct values of one key that one step holds, about.
+STEP = 1000
+#: Cuts of one key: beyond them its steps grow.
+MOST_CUTS = 4096
+
+
+def with_steps(points: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the step of ``value`` among the quantiles of its key, not decreasing in ``value``; 0 in small keys.
+
+    Only keys of more than ``STEP`` rows are looked at again. Their number of rows decides the number of cuts,
+    which are every so many of a fixed grid of quantiles; the step is a binary search in the sorted cuts.
+    """
+    sizes = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > STEP)
+    same = lambda left, right: reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in by])
+    large = points.alias("p").join(sizes.alias("s"), same("p", "s")).select("p.*", "_n")
+    shares = [(i + 1) / MOST_CUTS for i in range(MOST_CUTS - 1)]
+    grid = large.groupBy(*by).agg(F.percentile_approx(F.col(value).cast("double"), shares, 8 * MOST_CUTS).alias("_grid"), F.first("_n").alias("_n"))
+    every = F.greatest(F.lit(1), F.floor(F.lit(MOST_CUTS) / F.ceil(F.col("_n") / STEP))).cast("int")
+    cuts = F.array_distinct(F.filter("_grid", lambda c, i: (i + 1) % every == 0))
+    cut = grid.select(*by, cuts.alias("_cuts"))
+
+    def search(x: Column) -> Column:
+        # lowest place whose cut lies above x: halves an interval as often as the largest array needs
+        start = F.struct(F.lit(0).alias("low"), F.size("_cuts").alias("high"))
+        middle = lambda s: F.floor((s["low"] + s["high"]) / 2).cast("int")
+        halve = lambda s, _: F.when(s["low"] >= s["high"], s).when(F.get("_cuts", middle(s)) <= x, F.struct(
+            (middle(s) + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), middle(s).alias("high")))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_CUTS.bit_length())), start, halve, lambda s: s["low"])
+
+    joined = points.alias("p").join(cut.alias("c"), same("p", "c"), "left").select("p.*", "_cuts")
+    step = F.when(F.size("_cuts") > 0, search(F.col(value).cast("double"))).otherwise(0)
+    return joined.withColumn(name, step).drop("_cuts")
+
+
 def value_clusters(df: DataFrame, gap: float = lx.CONFLICT_TOLERANCE) -> DataFrame:
     """Distinct values per key with a cluster number; a step above ``gap`` opens a cluster.
 
-    Equal values collapse first (count and smallest id). Each key's range of values is cut into as many
-    equal steps as it has thousands of distinct values, and runs are numbered step by step, so a hot key
-    is spread over tasks whatever the scale of its values.
+    Equal values collapse first (count and smallest id). Keys with more than ``STEP`` distinct values are cut
+    at quantiles of their own values into steps of about that many, found by a sketch that merges on the map
+    side; a value's step is the number of cuts at or below it. Runs are numbered step by step, so a hot key is
+    spread evenly over tasks however skewed its values are.
     """
     points = (
         df.filter(F.col("value").isNotNull())
@@ -49,14 +84,7 @@ def value_clusters(df: DataFrame, gap: float = lx.CONFLICT_TOLERANCE) -> DataFra
         .agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("id"))
     )
     limit = F.lit(str(gap)).cast("decimal(20,4)")
-    spans = points.groupBy(*[F.col(k).alias(f"_{k}") for k in CLUSTER_KEYS]).agg(
-        F.min("value").cast("double").alias("_low"), F.max("value").cast("double").alias("_high"),
-        F.ceil(F.count(F.lit(1)) / 1000).alias("_steps"),
-    )
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in CLUSTER_KEYS])
-    share = (F.col("value").cast("double") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
-    step = F.coalesce(F.floor(share * F.col("_steps")), F.lit(0))
-    stepped = points.join(spans, same).withColumn("_step", step).select(*points.columns, "_step")
+    stepped = with_steps(points, CLUSTER_KEYS, "value", "_step")
     return running_groups(
         stepped, CLUSTER_KEYS, [F.col("value")], F.col("_step"),
         lambda previous: F.col("value") - previous["value"] > limit,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .. import lexicon as lx
 from ..functions.text import squash_ascii
 from .runs import running_groups
 
@@ -78,6 +79,46 @@ def rebuild_round(steps: DataFrame) -> DataFrame:
     )
 
 
+def rebuild_charts(steps: DataFrame) -> DataFrame:
+    """Chart of every round that has a result: (session_id, round_no, chart_type, title, columns, rows).
+
+    Type and title come from the round's last readable plan (a table without one), columns and rows from its last
+    readable result; a round whose result has no columns gives no chart. ``rows`` is an array of VARIANT, as rows
+    need not have the same fields; it is empty where the result has none.
+    """
+    place = F.struct("created_at", "step_id")
+    readable = F.try_parse_json("payload").isNotNull()
+    last = lambda t: F.try_parse_json(F.max_by("payload", F.when((F.col("step_type") == t) & readable, place)))
+    found = steps.where(F.col("step_type").isin("PLAN", "EXECUTE")).groupBy("session_id", "round_no").agg(
+        last("PLAN").alias("plan"), last("EXECUTE").alias("result")
+    )
+    of = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    metrics = of("plan", "$.metrics", "array<string>")
+    told = F.when(F.size(metrics) > 0, F.concat(F.lit("「"), F.array_join(metrics, "、"), F.lit("」"))).otherwise("")
+    charts = found.select(
+        "session_id", "round_no", F.coalesce(of("plan", "$.chartType", "string"), F.lit("table")).alias("chart_type"),
+        F.concat(F.coalesce(of("plan", "$.targetTable", "string"), F.lit("")), told).alias("title"),
+        of("result", "$.columns", "array<string>").alias("columns"),
+        F.coalesce(of("result", "$.rows", "array<variant>"), F.array().cast("array<variant>")).alias("rows"),
+    )
+    return charts.where(F.col("columns").isNotNull())
+
+
+def chart_cells(charts: DataFrame, max_rows: int = lx.STATEMENT_ROWS) -> DataFrame:
+    """Cells of rebuilt charts as long rows (session_id, round_no, row, field, text, number), of the first ``max_rows`` rows each.
+
+    A number stands in ``number``, anything else in ``text``. Fields that are null, or that a row does not have, give no cell.
+    """
+    rows = charts.select("session_id", "round_no", F.posexplode("rows").alias("row", "value")).where(F.col("row") < max_rows)
+    cells = rows.select("session_id", "round_no", "row", F.explode(F.try_variant_get("value", "$", "map<string,variant>")).alias("field", "value"))
+    numeric = F.schema_of_variant("value").rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")
+    cells = cells.select(
+        "session_id", "round_no", "row", "field", F.when(~numeric, F.try_variant_get("value", "$", "string")).alias("text"),
+        F.when(numeric, F.try_variant_get("value", "$", "double")).alias("number"),
+    )
+    return cells.where(F.col("text").isNotNull() | F.col("number").isNotNull())
+
+
 def step_profile(steps: DataFrame) -> DataFrame:
     """Steps, failures and latency per step type."""
     failed = F.count(F.when(F.col("status") == "FAILED", 1))

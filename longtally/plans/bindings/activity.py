@@ -39,6 +39,24 @@ def rebuilt_rounds(spark, sf):
     return tr.rebuild_round(b.trace(spark, sf))
 
 
+@query("rebuilt_charts")
+def rebuilt_charts(spark, sf):
+    charts = tr.rebuild_charts(b.chart_trace(spark, sf))
+    return charts.select("session_id", "round_no", "chart_type", "title", F.array_join("columns", ",").alias("columns"), F.size("rows").alias("n_rows"))
+
+
+@query("rebuilt_chart_cells")
+def rebuilt_chart_cells(spark, sf):
+    return tr.chart_cells(tr.rebuild_charts(b.chart_trace(spark, sf)))
+
+
+@query("rebuilt_chart_series")
+def rebuilt_chart_series(spark, sf):
+    cells = tr.chart_cells(tr.rebuild_charts(b.chart_trace(spark, sf))).where("number IS NOT NULL")
+    rows = cells.select(F.col("session_id").cast("string").alias("session"), F.concat_ws("/", "round_no", "field").alias("item"), "number", "row")
+    return rows.groupBy("session", "item").agg(F.sum("number").alias("total"), F.count("*").alias("points"))
+
+
 @query("step_profile")
 def step_profile(spark, sf):
     return tr.step_profile(b.trace(spark, sf))

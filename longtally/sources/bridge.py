@@ -581,6 +581,23 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chart_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace with plans and results as payloads: rows of unlike fields, some results without columns, some cut off."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    props = table(spark, sf_dir, "events").select(F.col("event_id").alias("step_id"), k.alias("k"), "value")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    plan = F.when(F.col("k") % 5 == 0, text('{"targetTable":"t', F.col("k") % 3, '"}')).otherwise(
+        text('{"chartType":"', F.when(F.col("k") % 2 == 0, "line").otherwise("bar"), '","targetTable":"t', F.col("k") % 3, '","metrics":["产值","增速"]}'))
+    result = (
+        F.when(F.col("k") % 7 == 0, F.lit('{"rows":[{"a":1}]}')).when(F.col("k") % 11 == 0, F.lit('{"columns":["a"]}'))
+        .when(F.col("k") % 13 == 0, F.lit('{"columns":["a"],"rows":['))
+        .otherwise(text('{"columns":["region","n"],"rows":[{"region":"r', F.col("k") % 4, '","n":', F.col("k"), '},{"region":"全市","share":',
+                        F.round(F.col("k") / 8, 3), ',"note":null},{"n":"', F.col("k"), '"}]}'))
+    )
+    steps = trace(spark, sf_dir).drop("payload").join(props.drop("value"), "step_id")
+    return steps.withColumn("payload", F.when(F.col("step_type") == "PLAN", plan).when(F.col("step_type") == "EXECUTE", result)).drop("k")
+
+
 def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns with their whole text; every third is asked again at once with other blanks, for round collapsing."""
     turns = table(spark, sf_dir, "conversations").select(

@@ -29,6 +29,33 @@ SQL["rebuilt_rounds"] = with_("trace", f"""
 SELECT session_id, round_no, {_J.format(p=_LAST("QUESTION"))} AS question, {_J.format(p=_LAST("PLAN"))} AS plan, {_J.format(p=_LAST("SQL"))} AS sql,
  {_J.format(p=_LAST("EXECUTE"))} AS execution, {_A.format(p=_LAST("INTERPRET"))} AS interpretation
 FROM (SELECT *, max(round_no) OVER (PARTITION BY session_id) AS m FROM trace) WHERE round_no = m GROUP BY 1, 2""")
+cte("charts", ["trace"], """
+WITH e AS (SELECT event_id AS step_id, CAST(regexp_extract(props, '"k": ?([0-9]+)', 1) AS BIGINT) AS k FROM events)
+, p AS (SELECT session_id, round_no, step_type, created_at, t.step_id, CASE step_type
+  WHEN 'PLAN' THEN CASE WHEN k % 5 = 0 THEN concat('{"targetTable":"t', k % 3, '"}')
+   ELSE concat('{"chartType":"', CASE WHEN k % 2 = 0 THEN 'line' ELSE 'bar' END, '","targetTable":"t', k % 3, '","metrics":["产值","增速"]}') END
+  WHEN 'EXECUTE' THEN CASE WHEN k % 7 = 0 THEN '{"rows":[{"a":1}]}' WHEN k % 11 = 0 THEN '{"columns":["a"]}' WHEN k % 13 = 0 THEN '{"columns":["a"],"rows":['
+   ELSE concat('{"columns":["region","n"],"rows":[{"region":"r', k % 4, '","n":', k, '},{"region":"全市","share":', round(k / 8, 3), ',"note":null},{"n":"', k, '"}]}') END END AS payload
+  FROM trace t JOIN e ON e.step_id = t.step_id)
+, l AS (SELECT session_id, round_no,
+  arg_max(payload, {'a': created_at, 'b': step_id}) FILTER (step_type = 'PLAN' AND json_valid(payload)) AS plan,
+  arg_max(payload, {'a': created_at, 'b': step_id}) FILTER (step_type = 'EXECUTE' AND json_valid(payload)) AS result
+  FROM p WHERE step_type IN ('PLAN', 'EXECUTE') GROUP BY 1, 2)
+SELECT session_id, round_no, coalesce(plan ->> '$.chartType', 'table') AS chart_type,
+ concat(coalesce(plan ->> '$.targetTable', ''), CASE WHEN json_array_length(plan, '$.metrics') > 0 THEN concat('「', array_to_string(from_json(json_extract(plan, '$.metrics'), '["VARCHAR"]'), '、'), '」') ELSE '' END) AS title,
+ array_to_string(from_json(json_extract(result, '$.columns'), '["VARCHAR"]'), ',') AS columns,
+ coalesce(from_json(json_extract(result, '$.rows'), '["JSON"]'), []) AS rs FROM l WHERE json_extract(result, '$.columns') IS NOT NULL""")
+SQL["rebuilt_charts"] = with_("charts", "SELECT session_id, round_no, chart_type, title, columns, CAST(len(rs) AS INT) AS n_rows FROM charts")
+_CELLS = """
+, r AS (SELECT session_id, round_no, unnest(rs) AS v, CAST(generate_subscripts(rs, 1) - 1 AS INT) AS row FROM charts)
+, f AS (SELECT session_id, round_no, row, v, unnest(json_keys(v)) AS field FROM r)
+, c AS (SELECT session_id, round_no, row, field, json_extract_string(v, concat('$."', field, '"')) AS text, json_type(v, concat('$."', field, '"')) AS kind FROM f)
+, cells AS (SELECT session_id, round_no, row, field, CASE WHEN kind NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN text END AS text,
+  CASE WHEN kind IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(text AS DOUBLE) END AS number FROM c WHERE text IS NOT NULL)
+"""
+SQL["rebuilt_chart_cells"] = with_("charts", _CELLS + "SELECT * FROM cells")
+SQL["rebuilt_chart_series"] = with_("charts", _CELLS + """
+SELECT CAST(session_id AS VARCHAR) AS session, concat(round_no, '/', field) AS item, sum(number) AS total, count(*) AS points FROM cells WHERE number IS NOT NULL GROUP BY 1, 2""")
 SQL["step_profile"] = with_("trace", """
 SELECT step_type, count(*) AS n, count(*) FILTER (status = 'FAILED') AS failed, round(sum(duration_ms)::DOUBLE / count(*), 2) AS avg_ms, max(duration_ms) AS max_ms FROM trace GROUP BY 1""")
 _UP = """

@@ -1,5 +1,6 @@
 """Operators against literal fixtures and brute force."""
 
+import datetime
 import random
 
 import pytest
@@ -256,3 +257,38 @@ def test_trend_is_flat_where_an_end_has_no_number(spark):
 
     df = spark.createDataFrame([("a", 1, None), ("a", 2, 5.0), ("a", 3, 9.0), ("b", 1, 1.0), ("b", 2, 2.0)], "g string, o int, v double")
     assert {r["g"]: r["trend"] for r in conclude_trend(df, "v", F.col("o"), ["g"]).collect()} == {"a": "flat", "b": "up"}
+
+
+def test_steps_of_a_skewed_key_hold_equal_counts(spark):
+    from longtally.operators import merge
+
+    # values spread over many powers of ten: steps of equal width would put most of them into one
+    values = spark.range(40_000).select(F.lit("hot").alias("k"), F.exp(F.randn(7) * 4).cast("decimal(30,12)").alias("value")).distinct()
+    rows = values.union(spark.createDataFrame([("small", 1), ("small", 2), (None, 3)], "k string, value int").select("k", F.col("value").cast("decimal(30,12)")))
+    stepped = merge.with_steps(rows, ["k"], "value", "step").cache()
+    counts = {(r.k, r.step): r["count"] for r in stepped.groupBy("k", "step").count().collect()}
+    hot = [n for (k, _), n in counts.items() if k == "hot"]
+    assert len(hot) >= 35 and max(hot) <= 2 * sum(hot) / len(hot)
+    assert counts[("small", 0)] == 2 and counts[(None, 0)] == 1
+    bounds = sorted((r.lo, r.hi) for r in stepped.where("k = 'hot'").groupBy("step").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect())
+    assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:]))
+    stepped.unpersist()
+
+
+def test_charts_of_past_rounds(spark):
+    t = datetime.datetime(2024, 1, 1)
+    plan = '{"chartType":"bar","targetTable":"stat","metrics":["产值","增速"]}'
+    steps = [
+        (1, 1, 1, "PLAN", plan), (2, 1, 1, "PLAN", '{"broken'), (3, 1, 1, "EXECUTE", '{"columns":["a","b"],"rows":[{"a":"x","b":1.5},{"c":{"d":[1]},"b":null},{"a":"7"}]}'),
+        (4, 1, 2, "EXECUTE", '{"columns":["a"]}'), (5, 1, 3, "EXECUTE", '{"rows":[{"a":1}]}'), (6, 1, 3, "PLAN", plan), (7, 2, 1, "EXECUTE", "null"), (8, 2, 2, "EXECUTE", None),
+        (9, 3, 1, "EXECUTE", '{"columns":["a"],"rows":[' + ",".join('{"a":%d}' % i for i in range(600)) + "]}"),
+    ]
+    rows = spark.createDataFrame([(i, s, r, k, p, t) for i, s, r, k, p in steps], "step_id long, session_id long, round_no int, step_type string, payload string, created_at timestamp")
+    charts = trace.rebuild_charts(rows)
+    got = {(r.session_id, r.round_no): (r.chart_type, r.title, r.columns, r.n) for r in charts.withColumn("n", F.size("rows")).drop("rows").collect()}
+    assert got == {(1, 1): ("bar", "stat「产值、增速」", ["a", "b"], 3), (1, 2): ("table", "", ["a"], 0), (3, 1): ("table", "", ["a"], 600)}
+    cells = trace.chart_cells(charts)
+    assert sorted((r.row, r.field, r.text, r.number) for r in cells.where("session_id = 1").collect()) == [
+        (0, "a", "x", None), (0, "b", None, 1.5), (1, "c", '{"d":[1]}', None), (2, "a", "7", None)
+    ]
+    assert cells.where("session_id = 3").count() == 500
