@@ -6,10 +6,9 @@ own cell and then neighbouring cells in the order in which they are expected to
 vectors (perturbations of few, close cell borders first). The candidates of all tables are
 ranked by exact cosines.
 
-The grid grows with the number of vectors. The number of probes is fitted on a bounded sample:
-the least with which the sample's own neighbours are found as often as ``recall`` asks. A grid that
-does not reach it with ``MOST_PROBES`` is replaced by a coarser one. Where the visits would be no
-fewer than the vectors themselves, there is no grid: queries go to all vectors, block by block.
+The grid is fitted on a bounded sample: for every number of projections and tables, the least number of
+probes with which the sample's own neighbours are found as often as ``recall`` asks. Of these the one of least
+work is taken, for the number of vectors there are: candidates of a query, each counted once, and cells visited.
 
 Cells are dealt into groups; a group's rows travel once per table, and a query goes once to
 every group that holds a cell it visits, with the list of those cells. A group of more than
@@ -31,12 +30,10 @@ from pyspark.sql.window import Window
 
 from .common import partitions, stored
 
-TABLES, WIDTH, PER_CELL = 4, 2.0, 32
+TABLE_COUNTS, WIDTH, MOST_PROJECTIONS = (1, 2, 4), 2.0, 24
 SAMPLE, SAMPLE_QUERIES, MOST_PROBES = 4096, 128, 6561
 ROWS_PER_TASK = 8192
 QUERIES_AT_ONCE = 256
-#: Entropy in bits of a standard normal value cut into cells of WIDTH.
-BITS_PER_PROJECTION = 0.5 * math.log2(2 * math.pi * math.e) - math.log2(WIDTH)
 
 
 def probe_order(projections: int, most: int) -> np.ndarray:
@@ -69,11 +66,11 @@ class Grid:
 
     def __init__(self, dimension: int, projections: int, probes: int = MOST_PROBES, seed: int = 11):
         draw = np.random.default_rng([seed, dimension, projections])
-        self.dimension, self.projections = dimension, projections
-        self.axes = draw.normal(size=(TABLES, dimension, projections))
-        self.shift = draw.uniform(0, WIDTH, size=(TABLES, projections))
-        self.factor = draw.integers(-(2**62), 2**62, size=(TABLES, projections), dtype=np.int64) | 1
-        self.table = draw.integers(-(2**62), 2**62, size=TABLES, dtype=np.int64)
+        self.dimension, self.projections, self.tables = dimension, projections, max(TABLE_COUNTS)
+        self.axes = draw.normal(size=(self.tables, dimension, projections))
+        self.shift = draw.uniform(0, WIDTH, size=(self.tables, projections))
+        self.factor = draw.integers(-(2**62), 2**62, size=(self.tables, projections), dtype=np.int64) | 1
+        self.table = draw.integers(-(2**62), 2**62, size=self.tables, dtype=np.int64)
         self.order = probe_order(projections, probes)
 
     def _cells(self, unit: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +80,7 @@ class Grid:
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
         """Cell of each vector in each table."""
-        return np.stack([self._cells(unit, t)[2] for t in range(TABLES)], axis=1)
+        return np.stack([self._cells(unit, t)[2] for t in range(self.tables)], axis=1)
 
     def probes(self, unit: np.ndarray, t: int) -> np.ndarray:
         """Cells of table t that each vector visits, in order."""
@@ -103,36 +100,47 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, vectors: int, neighbours: int, recall: float) -> Grid:
-    """The finest grid for so many vectors that reaches ``recall`` on the sample, with the least number of probes.
+    """The grid of least work for so many vectors among those that reach ``recall`` on the sample.
 
-    Without projections (a full scan) where no grid reaches it with fewer comparisons than there are vectors.
+    Work is the number of candidates, a vector found in several tables counted once, and of cells visited. Where
+    no grid reaches the recall with ``MOST_PROBES``, the one that comes closest is taken.
     """
-    projections = int(np.clip(math.ceil(math.log2(max(2.0, vectors / PER_CELL)) / BITS_PER_PROJECTION), 2, 24))
     unit = _unit(sample[np.sort(np.unique(sample, axis=0, return_index=True)[1])])  # copies are found by any grid
     own = min(SAMPLE_QUERIES, len(unit))
     near = unit[:own] @ unit.T
     near[np.arange(own), np.arange(own)] = -np.inf
     best = np.argsort(-near, axis=1, kind="stable")[:, : min(neighbours, len(unit) - 1)]
-    for k in range(projections, 0, -1):
+    if not best.size:
+        return Grid(sample.shape[1], 1, 1)
+    chosen, least = None, (math.inf, math.inf)
+    worse = 0
+    for k in range(1, MOST_PROJECTIONS + 1):
         grid = Grid(sample.shape[1], k)
         most = len(grid.order)
         cells = grid.cells(unit)
-        nth = np.empty((TABLES, own, len(unit)), np.int64)  # the probe that visits a vector's cell
-        for t in range(TABLES):
+        nth = np.full((own, len(unit)), most)  # the probe that first visits a vector's cell in any table so far
+        reached = False
+        for t in range(grid.tables):
             visits = grid.probes(unit[:own], t)
             for q in range(own):
                 order = np.argsort(visits[q], kind="stable")
                 at = np.minimum(np.searchsorted(visits[q][order], cells[:, t]), most - 1)
-                nth[t, q] = np.where(visits[q][order[at]] == cells[:, t], order[at], most)
-        found = np.sort(np.take_along_axis(nth.min(axis=0), best, axis=1), axis=None)
-        if not len(found):
-            return grid
-        probes = int(found[math.ceil(recall * len(found)) - 1]) + 1
-        if probes > most:
-            continue
-        grid.order = grid.order[: max(probes, 8)]
-        return grid if (nth < len(grid.order)).sum() < own * len(unit) else Grid(sample.shape[1], 0)
-    return Grid(sample.shape[1], 0)
+                here = visits[q][order[at]] == cells[:, t]
+                nth[q] = np.minimum(nth[q], np.where(here, order[at], most))
+            if t + 1 not in TABLE_COUNTS:
+                continue
+            found = np.sort(np.take_along_axis(nth, best, axis=1), axis=None)
+            probes = min(int(found[math.ceil(recall * len(found)) - 1]) + 1, most)
+            missed = max(0.0, recall - (found < probes).mean())
+            work = (nth < probes).mean() * vectors + probes * (t + 1)
+            if (missed, work) < least:
+                chosen, least, reached = (k, t + 1, probes), (missed, work), True
+        worse = 0 if reached else worse + 1
+        if worse == 3:  # finer grids need ever more probes from here on
+            break
+    grid = Grid(sample.shape[1], chosen[0], chosen[2])
+    grid.tables = chosen[1]
+    return grid
 
 
 def usable(vector: str):
@@ -151,8 +159,8 @@ def nearest(
     candidate of queries with its own id. Vectors null, empty, zero or with null or non-finite components take
     no part, nor do rows without an id, nor vectors of another dimension than most of the sample. Of equal vectors only the ids
     that can be among the nearest (the smallest ``neighbours`` + 1) are indexed, so copies lose no result. A query
-    that finds fewer than asked is run again over all cells. Where ``fit`` gives no grid, the result is exact.
-    An empty table gives no rows.
+    that finds fewer than asked is run again over all cells. Of rows that share an id, the one nearest to the query
+    counts. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.where(usable(vector) & F.col(vec_id).isNotNull()).select(
@@ -169,8 +177,7 @@ def nearest(
     dimension = max(set(sizes), key=lambda n: (sizes.count(n), n))
     grid = fit(np.array([v for v in sample if len(v) == dimension]), total, neighbours, recall)
     rows = rows.where(F.size("v") == dimension)
-    whole = grid.projections == 0
-    groups = max(partitions(spark), -(-total * (1 if whole else TABLES) // ROWS_PER_TASK))
+    groups = max(partitions(spark), -(-total * grid.tables // ROWS_PER_TASK))
 
     same = Window.partitionBy(F.xxhash64("v"), F.hash("v"), "v").orderBy("id")
     able = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= neighbours + 1)
@@ -192,11 +199,8 @@ def nearest(
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ids = _matrix(batch.column(1), dimension), batch.column(0).to_numpy()
-            if whole:
-                yield batch_of(group_of(ids), False, ids, data, np.zeros(len(ids), np.int64), np.arange(len(ids) + 1))
-                continue
             cells = grid.cells(_unit(data))
-            for t in range(TABLES):
+            for t in range(grid.tables):
                 yield batch_of(group_of(cells[:, t]), False, ids, data, cells[:, t], np.arange(len(ids) + 1))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +209,7 @@ def nearest(
                 batch = whole.slice(low, QUERIES_AT_ONCE // 4)
                 data, ids = _matrix(batch.column(1), dimension), batch.column(0).to_numpy()
                 unit = _unit(data)
-                cells = np.concatenate([grid.probes(unit, t) for t in range(TABLES)], axis=1)
+                cells = np.concatenate([grid.probes(unit, t) for t in range(grid.tables)], axis=1)
                 part = group_of(cells.ravel()).astype(np.int64)
                 key = np.repeat(np.arange(len(ids)), cells.shape[1]) * groups + part
                 order = np.argsort(key, kind="stable")
@@ -230,7 +234,7 @@ def nearest(
         met = own.unionByName(to).drop("parts").repartition("part_of", "part").sortWithinPartitions("part_of", "part", "asks")
         found = met.select("part_of", "part", "asks", "id", "v", "cells").mapInArrow(search, "query_id long, vec_id long, score double")
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        ranks = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best))
+        ranks = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best))
         return ranks.where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,9 +259,7 @@ def nearest(
                         yield _best(batch.slice(at, min(QUERIES_AT_ONCE, high - at)), *held[0], dimension, neighbours)
 
     asked = rows.where("asks").select("id", "v")
-    result = stored(ranked(asked.mapInArrow(everywhere if whole else visits, travelling)), "nearest-found")
-    if whole:
-        return result
+    result = stored(ranked(asked.mapInArrow(visits, travelling)), "nearest-found")
     short = result.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(neighbours, total - 1))
     missing = stored(rows.where("asks").join(short, F.col("id") == F.col("query_id"), "left_anti").select("id", "v"), "nearest-missing")
     if missing.isEmpty():

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -186,23 +187,35 @@ def test_fit_reaches_recall_for_many_vectors(count):
             near = unit @ unit[q]
             near[q] = -2
             best = np.argsort(-near, kind="stable")[:5]
-            seen = [set(grid.probes(unit[q : q + 1], t)[0].tolist()) for t in range(nearest.TABLES)]
-            hits += sum(any(int(cells[b, t]) in seen[t] for t in range(nearest.TABLES)) for b in best)
+            seen = [set(grid.probes(unit[q : q + 1], t)[0].tolist()) for t in range(grid.tables)]
+            hits += sum(any(int(cells[b, t]) in seen[t] for t in range(grid.tables)) for b in best)
         assert hits >= 0.97 * 640
     assert grid.projections > 0  # what has near neighbours needs no full scan
 
 
-def test_full_scan_is_exact(spark, monkeypatch):
-    rng = np.random.default_rng(10)
-    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=64)], None) for i in range(1, 900)] + [(2000 + i, [1.0] * 64, None) for i in range(60)]
-    monkeypatch.setattr(nearest, "ROWS_PER_TASK", 100)
-    assert nearest.fit(np.array([v for _, v, _ in rows]), 500_000, 5, 0.97).projections == 0
-    plain = nearest.fit
-    monkeypatch.setattr(nearest, "fit", lambda sample, _, *rest: plain(sample, 500_000, *rest))
-    got = defaultdict(list)
-    for r in nearest.nearest(vectors(spark, rows), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append(r["vec_id"])
-    assert got == {q: [i for _, i in near] for q, near in plain_nearest(rows).items()}
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_given_vectors_are_found_through_a_grid(sf):
+    data = np.array(pq.read_table(f"/root/testdata/{sf}/embeddings.parquet").column("embedding").to_pylist())
+    grid = nearest.fit(data[np.random.default_rng(3).permutation(len(data))][: nearest.SAMPLE], len(data), 5, 0.97)
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    cells, hits, candidates = grid.cells(unit), 0, 0
+    asked = range(0, len(data), 50)
+    for q in asked:
+        near = unit @ unit[q]
+        near[q] = -2
+        met = np.zeros(len(data), bool)
+        for t in range(grid.tables):
+            met |= np.isin(cells[:, t], grid.probes(unit[q : q + 1], t)[0])
+        met[q] = False
+        candidates += met.sum()
+        hits += met[np.argsort(-near, kind="stable")[:5]].sum()
+    assert grid.projections > 0 and hits >= 0.9 * 5 * len(asked) and candidates < 0.95 * len(data) * len(asked)
+
+
+def test_rows_of_one_id_count_once(spark):
+    rows = [(0, [1.0, 0.0], None), (1, [0.0, 1.0], None), (1, [1.0, 0.1], None), (1, [1.0, 0.1], None), (2, [1.0, 1.0], None)]
+    got = nearest.nearest(vectors(spark, rows), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["rank"]) for r in got] == [(1, 1), (2, 2)] and close(got[0]["score"], 1 / math.sqrt(1.01), 1e-6)
 
 
 def plain_repeats(rows, least_sentences=2, least_words=10):
