@@ -3,9 +3,9 @@
 1. Words of the training documents are counted, folded in the tasks and by one shuffle.
 2. The most frequent words (``HEAD``, a fixed number) are sent to all tasks; the first of them
    are the network's vocabulary.
-3. Training: in every round each task runs its own share of the training documents through a
-   copy of the network (truncated backpropagation in ``recurrent``), and the copies are
-   averaged by words seen. Every training document is in exactly one round.
+3. Training: a hash deals the training documents into cells of about the same number of words. In every round
+   each share runs its cell through a copy of the network (truncated backpropagation in ``recurrent``),
+   and the copies are averaged by words seen. Every training document is in exactly one cell.
 4. Scoring: each task runs its documents in parallel lanes, with the state carried over window
    borders, and gives the log-likelihood of each whole document.
 
@@ -26,11 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stored
+from .common import crc_mod, new_path, stored
 from .recurrent import END, Network, Pass, laid_out
 
 HEAD, VOCABULARY, CLASSES, HIDDEN = 1 << 17, 4096, 64, 16
-WINDOW, LANES, RATE, ROUNDS = 32, 512, 0.01, 2
+WINDOW, LANES, RATE = 32, 512, 0.01
+#: Words of a cell, which one copy of the network reads in one round; shares from which on there are more rounds; the least and the most of them.
+CELL_WORDS, SHARES, ROUNDS = 2_000_000, 8, (2, 8)
+#: Tasks of a round; with more shares than that, a task trains several, one after the other.
+MOST_TASKS = 10_000
 #: Words held at once in a task: documents are laid out into lanes pool by pool.
 POOL_WORDS = 3_000_000
 FLUSH = 400_000
@@ -122,56 +126,97 @@ def _for_network(found: np.ndarray, vocabulary: int) -> np.ndarray:
     return np.append(np.where((found < 0) | (found >= vocabulary), vocabulary, found), END)
 
 
-def train(texts: DataFrame, head: Head, share: Column) -> np.ndarray:
-    """Parameters of the network after ROUNDS rounds over ``texts`` (first column); ``share`` is a hash that deals documents to rounds."""
-    context = texts.sparkSession.sparkContext
+def _dealt(training: DataFrame, number: dict, vocabulary: int, cell: Column, rounds: int, label: str) -> DataFrame:
+    """(_round, _share, _key, numbers) of the texts in the first column, written by round: what the network reads, two bytes a word."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, found, _ in _pools(batches, number, 0):
+            at = 0
+            for batch in held:
+                own = [_for_network(f, vocabulary).astype("<u2").tobytes() for f in found[at : at + batch.num_rows]]
+                at += batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(own, pa.large_binary()).cast(pa.binary())], ["_round", "_share", "_key", "numbers"])
+
+    schema = "_round int, _share int, _key long, numbers binary"
+    placed = training.select(
+        "text", (cell % rounds).cast("int").alias("_round"), F.floor(cell / rounds).cast("int").alias("_share"), F.col("_key")
+    ).mapInArrow(encode, schema)
+    path = new_path(training.sparkSession, label)
+    placed.write.partitionBy("_round").parquet(path)
+    return training.sparkSession.read.schema(schema).parquet(path)
+
+
+def train(training: DataFrame, head: Head) -> np.ndarray:
+    """Parameters of the network after all rounds over ``training`` (text, _key: a hash of the row).
+
+    The words of the corpus alone decide into how many cells of about CELL_WORDS a hash deals the documents,
+    and cells into rounds and shares. Every share of a round trains its own copy from the same start, in the order of
+    the hash, and copies are averaged in the order of shares; so the result does not depend on partitions, and a copy takes as
+    many steps in a large corpus as in a small one.
+    """
+    context = training.sparkSession.sparkContext
     now = head.network().flat()
     small = {w: n for w, n in head.number.items() if n < head.size}
     width = -(-len(now) // BLOCKS)
-    dealt = texts.withColumn("_round", F.pmod(share, F.lit(ROUNDS)))
-    for turn in range(ROUNDS):
-        sent = context.broadcast((now, small))
+    cells = max(1, -(-head.total // CELL_WORDS))
+    rounds = min(max(cells // SHARES, ROUNDS[0]), ROUNDS[1])
+    shares = -(-cells // rounds)
+    sizes = (head.size, min(CLASSES, head.size))
+    dealt = _dealt(training, small, head.size, F.pmod("_key", F.lit(rounds * shares)), rounds, "lm-cells")
+    schema = "block int, share int, seen double, sums binary"
+    for turn in range(rounds):
+        sent = context.broadcast(now)
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            flat, number = sent.value
-            network = head_shape().load(flat)
-            follow, seen = Pass(network, WINDOW, RATE), 0
-            for _, numbers, _ in _pools(batches, number, 0):
-                texts = [_for_network(found, network.vocabulary) for found in numbers]
+            def follow(copy: Pass, texts: list[np.ndarray]) -> int:
                 # Few lanes for little text: a gradient step for each window needs windows.
                 lanes = int(np.clip(sum(map(len, texts)) // (WINDOW * 64), 16, LANES))
                 places, _, size = laid_out(texts, lanes)
-                follow.run(places, size)
-                seen += int(size.sum())
-            flat = network.flat()
-            if not np.isfinite(flat).all():
-                raise FloatingPointError(f"the network is no longer finite after {seen} words of a task; none of them would count")
-            if seen:
-                parts = [flat[i : i + width].astype(np.float64) * seen for i in range(0, len(flat), width)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(len(parts)), pa.int32()), pa.array([float(seen)] * len(parts)), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "seen", "sums"]
+                copy.run(places, size)
+                return int(size.sum())
+
+            def closed(share: int, copy: Pass, seen: int) -> pa.RecordBatch:
+                flat = copy.net.flat()
+                if not np.isfinite(flat).all():
+                    raise FloatingPointError(f"the network is no longer finite after {seen} words of a share; none of them would count")
+                parts = [(flat[i : i + width].astype(np.float64) * seen).tobytes() for i in range(0, len(flat), width)]
+                n = len(parts)
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(range(n), pa.int32()), pa.array([share] * n, pa.int32()), pa.array([float(seen)] * n), pa.array(parts, pa.binary())], ["block", "share", "seen", "sums"]
                 )
 
+            at, copy, texts, held, seen = None, None, [], 0, 0
+            for batch in batches:
+                for share, numbers in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if share != at:
+                        if at is not None:
+                            yield closed(at, copy, seen + follow(copy, texts))
+                        at, texts, held, seen = share, [], 0, 0
+                        copy = Pass(Network(*sizes, HIDDEN).load(sent.value), WINDOW, RATE)
+                    elif held >= POOL_WORDS:
+                        seen += follow(copy, texts)
+                        texts, held = [], 0
+                    texts.append(np.frombuffer(numbers.as_buffer(), "<u2").astype(np.int32))
+                    held += len(texts[-1])
+            if at is not None:
+                yield closed(at, copy, seen + follow(copy, texts))
+
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
             for batch in batches:
-                for block, seen, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    own = sums.setdefault(block, [0.0, np.zeros(len(part) // 8)])
+                for block, seen, part in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                    part = np.frombuffer(part.as_buffer())
+                    own = sums.setdefault(block, [0.0, np.zeros(len(part))])
                     own[0] += seen
-                    own[1] = own[1] + np.frombuffer(part)
+                    own[1] += part
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(sums), pa.int32()), pa.array([s[0] for s in sums.values()], pa.float64()), pa.array([s[1].tobytes() for s in sums.values()], pa.binary())], ["block", "seen", "sums"]
             )
 
-        sizes = (head.size, min(CLASSES, head.size))
-
-        def head_shape(sizes=sizes) -> Network:
-            return Network(*sizes, HIDDEN)
-
-        schema = "block int, seen double, sums binary"
-        own = stored(dealt.where(F.col("_round") == turn).drop("_round").mapInArrow(learn, schema), "lm-round")
+        own = dealt.where(F.col("_round") == turn).repartitionById(min(shares, MOST_TASKS), F.col("_share")).sortWithinPartitions("_share", "_key", "numbers")
+        copies = stored(own.select("_share", "numbers").mapInArrow(learn, schema), "lm-round")
         # Bounded: one network, block by block.
-        blocks = own.repartition("block").mapInArrow(add, schema).orderBy("block").collect()
+        blocks = copies.repartition("block").sortWithinPartitions("block", "share").mapInArrow(add, "block int, seen double, sums binary").orderBy("block").collect()
         if blocks:
             now = np.concatenate([np.frombuffer(bytes(b["sums"])) / b["seen"] for b in blocks]).astype(np.float32)
         sent.unpersist()
@@ -197,7 +242,7 @@ def score(documents: DataFrame, train_on: Column, *, text: str = "text", doc_id:
     order = sorted(range(len(words)), key=lambda i: (-times[i], words[i]))
     head = Head([words[i] for i in order], times[order].astype(np.float64), documents_seen, words_seen + documents_seen, distinct + (documents_seen > 0))
     del top, words, times, order
-    parameters = train(training.select("text", "doc_id").select("text", F.xxhash64("doc_id", "text").alias("_share")), head, F.col("_share"))
+    parameters = train(training.select("text", F.xxhash64("doc_id", "text").alias("_key")), head)
     sent = documents.sparkSession.sparkContext.broadcast((head, parameters))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

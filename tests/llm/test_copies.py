@@ -311,6 +311,59 @@ def test_lm_scores_against_counts(spark, monkeypatch):
     assert language_model.score(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_lm_scores_are_those_of_any_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "CELL_WORDS", 4000)
+    monkeypatch.setattr(language_model, "SHARES", 4)
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    docs = docs.union(docs.limit(20))  # repeated rows
+    runs = []
+    for n in (1, 4, 16, 64):
+        got = language_model.score(docs.repartition(n), ~language_model.held_out()).collect()
+        runs.append(sorted((r["doc_id"], r["score"]) for r in got))
+    for other in runs[1:]:
+        assert [d for d, _ in other] == [d for d, _ in runs[0]]
+        assert [s for _, s in other] == pytest.approx([s for _, s in runs[0]], rel=1e-5)
+
+
+def test_lm_score_against_a_network_run_word_by_word(spark, monkeypatch):
+    kept = {}
+    train = language_model.train
+    monkeypatch.setattr(language_model, "VOCABULARY", 40)
+    monkeypatch.setattr(language_model, "train", lambda t, head: kept.setdefault("p", (head, train(t, head)))[1])
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").collect()][:30] + [(900, None), (901, "zz yy")]
+    got = {r["doc_id"]: r["score"] for r in language_model.score(documents(spark, rows), ~language_model.held_out()).collect()}
+    head, flat = kept["p"]
+    net = head.network().load(flat)
+    counts = Counter()
+    for d, t in rows:
+        if zlib.crc32(str(d).encode()) % 5 != 1:
+            counts.update(words(t))
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    h = net.hidden
+
+    def soft(logits, at):
+        e = np.exp(logits - logits.max())
+        return math.log10(e[at] / e.sum())
+
+    for d, t in rows:
+        state, total = np.zeros(h), 0.0
+        seen = [w.encode() for w in words(t)]
+        for w in [*seen, None]:
+            number = 0 if w is None else head.number.get(w, head.size)
+            group = net.classes if number >= head.size else number // net.width
+            total += soft(state @ net.class_out + net.class_bias, group)
+            if group < net.classes:
+                total += soft(state @ net.word_out[group] + net.word_bias[group], number - group * net.width)
+            else:  # its share of the mass of all other words, by smoothed counts
+                total += math.log10(counts[w.decode()] + 0.5) - head.other
+                number = head.size
+            x, again = net.embed[number] @ net.enter + net.gate_bias, state @ net.again
+            z, r = sig(x[:h] + again[:h]), sig(x[h : 2 * h] + again[h : 2 * h])
+            new = np.tanh(x[2 * h :] + r * again[2 * h :])
+            state = (1 - z) * new + z * state
+        assert got[d] == pytest.approx(total, rel=1e-4), d
+
+
 def test_lm_network_tells_4095_words_apart():
     words, counts = [b"w%d" % i for i in range(5000)], np.arange(5000, 0, -1.0)
     head = language_model.Head(words, counts, 10, int(counts.sum()) + 10, 5001)
