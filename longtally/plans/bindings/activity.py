@@ -231,6 +231,21 @@ def stream_alerts(spark, sf):
     return _current(spark, alerts, "alerts", "window_start").select(_utc("window_start"), "n", "missing", "suspect")
 
 
+@query("stream_checks")
+def stream_checks(spark, sf):
+    # dealt into several files, one a batch, so that most windows are fed by each of them
+    landed = new_path(spark, "landed-events")
+    events = b.table(spark, sf, "events").select("event_id", "event_type", "value", F.col("ts").cast("timestamp_ntz").cast("string").alias("at"))
+    events.repartition(6, F.col("event_id")).write.parquet(landed)
+    stream = live.file_stream(spark, landed, events, max_files=1)
+    here = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("at").cast("timestamp_ntz"))
+    rows = live.window_rows(stream.withColumn("ts", here.cast("timestamp")), "ts", ["event_type"], "value", "6 hours", "60 days")
+    path, checkpoint = new_path(spark, "window-rows"), new_path(spark, "window-rows-checkpoint")
+    live.keep_current(rows, path, checkpoint).awaitTermination()
+    found = live.window_checks(live.current(spark, path, "window_start", "event_type", "value"), "value")
+    return found.select(_utc("window_start"), "check_name", "n")
+
+
 @query("stream_collapsed_rounds")
 def stream_collapsed_rounds(spark, sf):
     # turns of a session are dealt over the batches, so most batches bring late ones

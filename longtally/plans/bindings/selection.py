@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ...operators import select as op
+from ...operators import cursors, select as op
 from ...sources import bridge as b
 from ..catalog import query
 
@@ -154,3 +154,10 @@ def controlled_query(spark, sf):
 def next_page(spark, sf):
     orders = b.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     return op.page_after(orders, "o_orderkey", 500, 100)
+
+
+@query("page_behind_cursor")
+def page_behind_cursor(spark, sf):
+    steps, order = b.trace(spark, sf).select("step_id", "status", "duration_ms", "created_at"), [("status", False), ("duration_ms", True), ("step_id", False)]
+    first = cursors.last_cursor(cursors.page(steps, order, 100), order)
+    return cursors.page(steps, order, 100, first).drop("cursor")

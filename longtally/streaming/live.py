@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from .. import lexicon as lx
 from ..functions.text import squash_ascii
 from ..sources import keyed
 
@@ -55,6 +56,29 @@ def sanity_alerts(
     )
 
 
+def window_rows(stream: DataFrame, event_time: str, keys: list[str], metric: str, window: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
+    """Per window: how often each row of keys and metric came. State holds the different rows of open windows."""
+    counts = stream.withWatermark(event_time, lateness).groupBy(F.window(event_time, window), *keys, metric).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.col("window.start").alias("window_start"), *keys, metric, "n")
+
+
+def window_checks(rows: DataFrame, metric: str, ratio: float = lx.MAGNITUDE_RATIO, row_limit: int = lx.ROW_LIMIT_WARN) -> DataFrame:
+    """(window_start, check_name, n) of the checks that a window's counted rows do not pass; as in the batch check.
+
+    ``duplicates``: rows beyond the first of each; ``magnitude``: the largest positive value against the smallest;
+    ``many rows``: their number. A window without a warning gives no row.
+    """
+    positive = F.when(F.col(metric) > 0, F.col(metric))
+    spread = F.max(positive) / F.min(positive)
+    folded = rows.groupBy("window_start").agg(
+        F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("extra"), spread.alias("spread"))
+    warn = lambda bad, name, n: F.when(bad, F.struct(F.lit(name).alias("check_name"), n.cast("long").alias("n")))
+    checks = F.array(
+        warn(F.col("extra") > 0, "duplicates", F.col("extra")), warn(F.col("spread") >= ratio, "magnitude", F.round("spread")),
+        warn(F.col("rows") > row_limit, "many rows", F.col("rows")))
+    return folded.select("window_start", F.inline(F.filter(checks, lambda x: x.isNotNull())))
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream to a parquet table, all available input in one run."""
     return (

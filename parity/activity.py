@@ -110,6 +110,12 @@ SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS
 SQL["stream_new_documents"] = """
 SELECT source_url, arg_min(doc_id, doc_id) AS doc_id, arg_min(text, doc_id) AS text
 FROM (SELECT *, concat(lang, '/', doc_id // 2) AS source_url FROM documents) GROUP BY 1"""
+SQL["stream_checks"] = """
+WITH r AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, value, count(*) AS n FROM events GROUP BY ALL),
+w AS (SELECT window_start, sum(n) AS total, sum(n) - count(*) AS extra, max(value) FILTER (value > 0) / min(value) FILTER (value > 0) AS spread FROM r GROUP BY 1)
+SELECT window_start, 'duplicates' AS check_name, CAST(extra AS BIGINT) AS n FROM w WHERE extra > 0
+UNION ALL SELECT window_start, 'magnitude', CAST(round(spread) AS BIGINT) FROM w WHERE spread >= 5000
+UNION ALL SELECT window_start, 'many rows', CAST(total AS BIGINT) FROM w WHERE total > 2000"""
 SQL["stream_alerts"] = """
 SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS n, count(*) FILTER (value IS NULL) AS missing,
  count(*) FILTER (value < 1 OR value > 250) AS suspect FROM events GROUP BY 1

@@ -79,3 +79,6 @@ SQL["controlled_query"] = with_("raw", """
 , c AS (SELECT id, period, indicator_name, value FROM raw WHERE source_type = 'XLSX' AND value IS NOT NULL)
 SELECT *, (SELECT count(*) FROM c) > 500 AS more_rows FROM c ORDER BY value DESC, id LIMIT 500""")
 SQL["next_page"] = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 100"
+SQL["page_behind_cursor"] = with_("trace", """
+SELECT step_id, status, duration_ms, created_at FROM trace
+ORDER BY status DESC NULLS LAST, duration_ms ASC NULLS FIRST, step_id DESC NULLS LAST LIMIT 100 OFFSET 100""")
