@@ -39,6 +39,7 @@ MOST_TASKS = 10_000
 POOL_WORDS = 3_000_000
 FLUSH = 400_000
 BLOCKS = 64
+END_BYTES = np.array([END], "<u2").tobytes()
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -130,12 +131,14 @@ def _dealt(training: DataFrame, number: dict, vocabulary: int, cell: Column, rou
     """(_round, _share, _key, numbers) of the texts in the first column, written by round: what the network reads, two bytes a word."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, found, _ in _pools(batches, number, 0):
-            at = 0
-            for batch in held:
-                own = [_for_network(f, vocabulary).astype("<u2").tobytes() for f in found[at : at + batch.num_rows]]
-                at += batch.num_rows
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(own, pa.large_binary()).cast(pa.binary())], ["_round", "_share", "_key", "numbers"])
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                batch, own = whole.slice(low, 256), []
+                for text in batch.column(0).cast(pa.large_binary()):
+                    words = tokens(text.as_py())
+                    found = np.fromiter(map(number.get, words, repeat(vocabulary)), "<u2", len(words))
+                    own.append(found.tobytes() + END_BYTES)
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(own, pa.binary())], ["_round", "_share", "_key", "numbers"])
 
     schema = "_round int, _share int, _key long, numbers binary"
     placed = training.select(

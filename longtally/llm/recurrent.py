@@ -151,25 +151,33 @@ class Pass:
             logits[rows, group] -= weight
             back = logits @ net.class_out.T
             self.grads = {"class_out": state.T @ logits, "class_bias": logits.sum(axis=0), "word_out": np.zeros_like(net.word_out), "word_bias": np.zeros_like(net.word_bias)}
+        # By class: one sorted copy, of which every class is a slice.
         order = np.argsort(group.astype(np.int8), kind="stable")
         cuts = np.searchsorted(group[order], np.arange(net.classes + 1))
+        order = order[: cuts[-1]]
+        sorted_state, inside, weight = state[order], target[order] % net.width, real[order].astype(np.float32)
+        chosen, totals, places = np.empty(len(order), np.float32), np.empty(len(order), np.float32), np.arange(len(order))
+        if learn:
+            more = np.empty_like(sorted_state)
         for c in range(net.classes):
-            own = order[cuts[c] : cuts[c + 1]]
-            if not len(own):
+            a, b = cuts[c], cuts[c + 1]
+            if a == b:
                 continue
-            s = state[own]
-            e = s @ net.word_out[c] + net.word_bias[c]
+            s, w, at, own = sorted_state[a:b], weight[a:b], places[: b - a], inside[a:b]
+            e = s @ net.word_out[c]
+            e += net.word_bias[c]
             np.exp(e, out=e)
-            at, inside = np.arange(len(own)), target[own] - c * net.width
-            total = e.sum(axis=1)
-            logs[own] += np.log(e[at, inside]) - np.log(total)
+            total = totals[a:b] = e.sum(axis=1)
+            chosen[a:b] = e[at, own]
             if learn:
-                weight = real[own].astype(np.float32)
-                e *= (weight / total)[:, None]
-                e[at, inside] -= weight
-                back[own] += e @ net.word_out[c].T
+                e *= (w / total)[:, None]
+                e[at, own] -= w
+                more[a:b] = e @ net.word_out[c].T
                 self.grads["word_out"][c] = s.T @ e
                 self.grads["word_bias"][c] = e.sum(axis=0)
+        logs[order] += np.log(chosen) - np.log(totals)
+        if learn:
+            back[order] += more
         return logs, back
 
     def _learn(self, numbers, before, gates, new, inner, keep, back, count: int) -> None:
