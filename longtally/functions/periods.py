@@ -58,16 +58,25 @@ def standard_label(c: Column, default_year: Column, accept_year_only: bool = Fal
     Month-end labels become January-to-month periods. Year-only labels are
     unknown unless ``accept_year_only``; they then keep their own text.
     """
+    return completed_label(*label_parts(c, accept_year_only), default_year)
+
+
+def label_parts(c: Column, accept_year_only: bool = False) -> tuple[Column, Column]:
+    """What a label alone decides of ``standard_label``: the whole label, or its months where the year is missing."""
     full = r"^(\d{4})年(\d{1,2})-(\d{1,2})月$"
     running = r"^(\d{1,2})-(\d{1,2})月累计$"
     month_end = r"^(\d{1,2})月末$"
-    year = default_year.cast("int")
-    out = (
-        F.when(c.rlike(full), label(_int(c, full, 1), _int(c, full, 2), _int(c, full, 3)))
-        .when(c.rlike(running), label(year, _int(c, running, 1), _int(c, running, 2)))
-        .when(c.rlike(month_end), label(year, F.lit(1), _int(c, month_end, 1)))
+    months = lambda start, end: F.concat(start.cast("string"), F.lit("-"), end.cast("string"), F.lit("月"))
+    own = F.when(c.rlike(full), label(_int(c, full, 1), _int(c, full, 2), _int(c, full, 3)))
+    rest = (
+        F.when(c.rlike(running), months(_int(c, running, 1), _int(c, running, 2)))
+        .when(c.rlike(month_end), months(F.lit(1), _int(c, month_end, 1)))
     )
-    return out.when(c.rlike(r"^\d{4}年$"), c) if accept_year_only else out
+    return (own.when(c.rlike(r"^\d{4}年$"), c) if accept_year_only else own), rest
+
+
+def completed_label(own: Column, rest: Column, default_year: Column) -> Column:
+    return F.coalesce(own, F.concat(default_year.cast("int").cast("string"), F.lit("年"), rest))
 
 
 def extraction_label(c: Column, year: Column) -> Column:

@@ -175,16 +175,39 @@ def name_rules(names: DataFrame) -> DataFrame:
     )
 
 
-def standardise(raw: DataFrame, docs: DataFrame, rules: DataFrame | None = None, accept_year_only: bool = False) -> DataFrame:
+def label_rules(raw: DataFrame, accept_year_only: bool = False) -> DataFrame:
+    """Period, region and unit labels of the rows (kind, label) with what their text alone decides.
+
+    ``own`` is the clean label, ``rest`` the months of a period that takes its document's year. The patterns run
+    on distinct labels; one pass finds those of all three columns, folded on the map side.
+    """
+    kinds = ["period", "region", "unit"]
+    found = raw.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("label")) for k in kinds])))
+    own, rest = periods.label_parts(F.col("label"), accept_year_only)
+    clean = (
+        F.when(F.col("kind") == "period", own).when(F.col("kind") == "region", text.no_space(F.col("label")))
+        .otherwise(text.trim_blanks(F.col("label")))
+    )
+    rest = F.when(F.col("kind") == "period", rest)
+    return found.filter(F.col("label").isNotNull()).distinct().select("kind", "label", clean.alias("own"), rest.alias("rest"))
+
+
+def standardise(
+    raw: DataFrame, docs: DataFrame, rules: DataFrame | None = None, accept_year_only: bool = False, labels: DataFrame | None = None
+) -> DataFrame:
     """All row rules in one frame: kept rows have ``drop_reason`` null.
 
     Output keeps the source name as ``source_name`` and lists what was done in
     ``note``. Sheet semantics come first, then period and region, then the name,
-    then currency, caliber and unit scale. ``rules`` may be a stored
-    ``name_rules`` table, whose known size lets Spark decide on broadcasting it.
+    then currency, caliber and unit scale. ``rules`` and ``labels`` may be stored
+    ``name_rules`` and ``label_rules`` tables (``labels`` made with the same
+    ``accept_year_only``), whose known size lets Spark decide on broadcasting them.
+    No pattern runs on a row: a filter on the result would run it again.
     """
     if rules is None:
         rules = name_rules(raw.select("sheet_name", "indicator_name").distinct())
+    if labels is None:
+        labels = label_rules(raw, accept_year_only)
     # null-safe: a row without a name or a sheet is kept and gets its reason below
     named = rules.withColumnsRenamed({"sheet_name": "_sheet", "indicator_name": "_raw_name"})
     rows = raw.join(
@@ -199,7 +222,11 @@ def standardise(raw: DataFrame, docs: DataFrame, rules: DataFrame | None = None,
         "doc_id", "sheet_name", "_major", (F.col("_doc_dollars") == 1).alias("_usd"), "_year"
     )
     rows = rows.join(facts, ["doc_id", "sheet_name"], "left")
-    bare = text.no_space(F.col("region"))
+    for kind, columns in (("period", ["_own", "_rest"]), ("region", ["_bare"]), ("unit", ["_trimmed"])):
+        values = [F.col(c).alias(to) for c, to in zip(["own", "rest"], columns)]
+        one = labels.filter(F.col("kind") == kind).select(F.col("label").alias("_label"), *values)
+        rows = rows.join(one, F.col(kind) == F.col("_label"), "left").drop("_label")
+    bare, trimmed = F.col("_bare"), F.coalesce("_trimmed", F.lit(""))
     ind, major = F.col("ind"), F.col("_major")
     mode = (
         F.when(F.col("city_name").isNotNull(), "city sheet")
@@ -214,8 +241,8 @@ def standardise(raw: DataFrame, docs: DataFrame, rules: DataFrame | None = None,
         "_fixed": F.when(F.col("_mode").isNotNull(), F.coalesce("city_name", "balance_name", "_major", "marked")),
         "_region": F.when(is_mode("city sheet", "block row") | (balance & (ind == "城步县")), ind)
         .when(is_mode("region row"), F.col("row_region")).otherwise(bare),
-        "_unit": F.when(balance, F.lit("亿元")).otherwise(text.trim_blanks(F.coalesce("unit", F.lit("")))),
-        "_period": periods.standard_label(F.col("period"), F.col("_year"), accept_year_only),
+        "_unit": F.when(balance, F.lit("亿元")).otherwise(trimmed),
+        "_period": periods.completed_label(F.col("_own"), F.col("_rest"), F.col("_year")),
     })
     rows = _lookup(rows, F.col("_region"), lx.REGION_CLEAN, "_clean_region")
 
@@ -224,7 +251,7 @@ def standardise(raw: DataFrame, docs: DataFrame, rules: DataFrame | None = None,
     free = F.col("_mode").isNull()
     plain_name = F.coalesce("_fixed", "soft_name")
     in_dollars = [f"{n}（万美元）" for n in lx.TRADE_NAMES]
-    own_dollars = text.trim_blanks(F.coalesce("unit", F.lit(""))) == "万美元"
+    own_dollars = trimmed == "万美元"
     usd = (free | is_mode("region row")) & plain_name.isin(lx.TRADE_NAMES + in_dollars) & (
         F.coalesce("_usd", F.lit(False)) | F.col("says_usd") | own_dollars
     )

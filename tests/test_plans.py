@@ -28,5 +28,13 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "EqualTo(role,user)" in plan
 
 
+def test_no_pattern_runs_on_kept_rows(spark):
+    from longtally.plans import rebuild
+
+    plan = plan_of(rebuild.kept(spark, SF))
+    for word in ("RLIKE", "regexp_extract", "regexp_replace"):
+        assert word not in plan.split("SortAggregate")[0], word
+
+
 def test_keep_first_is_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan_of(catalog.load()["first_seen_with_value"](spark, SF))
