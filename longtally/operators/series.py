@@ -60,20 +60,24 @@ def granularity_guard(df: DataFrame, period: str, order) -> DataFrame:
     """Keep one period length where lengths are mixed: the most frequent, first seen on ties.
 
     Nothing is dropped when that length has fewer than two rows. Adds ``points``
-    (distinct periods kept) and ``few_points`` (fewer than three).
+    (distinct periods kept) and ``few_points`` (fewer than three). Labels are parsed
+    and counted once per distinct label; rows pick their length up with one join.
     """
-    rows = df.withColumn("granularity", periods.granularity(F.col(period)))
-    counts = rows.filter(F.col("granularity").isNotNull()).groupBy("granularity").agg(
-        F.count(F.lit(1)).alias("n"), F.min(order).alias("seen")
+    labels = df.groupBy(F.col(period).alias("_label")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("seen"))
+    # the count in the condition keeps filters on the length above the aggregate, where labels are few
+    labels = labels.withColumn("granularity", F.when(F.col("n") > 0, periods.granularity(F.col("_label"))))
+    counts = labels.filter(F.col("granularity").isNotNull()).groupBy("granularity").agg(
+        F.sum("n").alias("n"), F.min("seen").alias("seen")
     )
     best = counts.agg(
         F.min_by(F.struct("granularity", "n"), F.struct((-F.col("n")).alias("a"), F.col("seen").alias("b"))).alias("b"),
         F.count(F.lit(1)).alias("kinds"),
     )
     keep = best.select(F.when((F.col("kinds") > 1) & (F.col("b.n") >= 2), F.col("b.granularity"))).scalar()
-    kept = rows.withColumn("_keep", keep).filter(F.col("_keep").isNull() | (F.col("granularity") == F.col("_keep")))
-    points = kept.select(period).distinct().agg(F.count(F.lit(1))).scalar()
-    return kept.drop("_keep").withColumn("points", points).withColumn("few_points", F.col("points") < 3)
+    kept = labels.withColumn("_keep", keep).filter(F.col("_keep").isNull() | (F.col("granularity") == F.col("_keep")))
+    points = kept.agg(F.count(F.lit(1))).scalar()
+    rows = df.join(kept.select("_label", "granularity"), F.col(period).eqNullSafe(F.col("_label"))).drop("_label")
+    return rows.withColumn("points", points).withColumn("few_points", F.col("points") < 3)
 
 
 def _maxima(series_rows: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ def growth_overlay(spark, sf):
 
 @query("granularity_guard")
 def granularity_guard(spark, sf):
-    rows = s.granularity_guard(rebuild.kept(spark, sf), "period", F.col("id"))
+    rows = s.granularity_guard(rebuild.kept_periods(spark, sf), "period", F.col("id"))
     return rows.select("id", "period", "granularity", "points", "few_points")
 
 

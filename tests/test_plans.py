@@ -36,5 +36,15 @@ def test_no_pattern_runs_on_kept_rows(spark):
         assert word not in plan.split("SortAggregate")[0], word
 
 
+def test_granularity_guard_reads_written_rows_and_parses_labels(spark):
+    df = catalog.load()["granularity_guard"](spark, SF)
+    plan = plan_of(df)
+    assert "orders.parquet" not in plan and "customer.parquet" not in plan
+    assert not [line for line in plan.splitlines() if "RLIKE" in line and "FileScan" in line]
+    logical = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = [i for i, line in enumerate(logical) if "Aggregate [period" in line]
+    assert below and not any("RLIKE" in line for i in below for line in logical[i:i + 4])
+
+
 def test_keep_first_is_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan_of(catalog.load()["first_seen_with_value"](spark, SF))
