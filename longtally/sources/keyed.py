@@ -21,17 +21,20 @@ Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def first_by(key: str, order: str) -> Merge:
-    """One row per key: the first by ``order``, nulls last, in whatever batch it comes; ties by the other columns."""
+    """One row per key: the first by ``order``, nulls last, in whatever batch it comes; ties by the other columns.
+
+    Stored and new rows meet in one aggregate by key, so a row is shuffled once.
+    """
 
     def merge(old: DataFrame, new: DataFrame) -> DataFrame:
         rest = [c for c in new.columns if c not in (key, order)]
         row = F.struct(F.col(order).isNull().alias("_late"), order, *rest)
-        fresh = new.groupBy(F.col(key).alias("_key")).agg(F.min(row).alias("_new"))
-        both = old.select(key, row.alias("_old"), F.lit(True).alias("_stored")).join(fresh, F.col(key).eqNullSafe(F.col("_key")), "full_outer")
-        stays = F.col("_new").isNull() | (F.col("_old") <= F.col("_new"))
-        outcome = F.when(F.col("_stored").isNull(), "inserted").when(F.col("_new").isNull(), "kept").when(stays, "unchanged").otherwise("updated")
-        id_ = F.when(F.col("_stored").isNull(), F.col("_key")).otherwise(F.col(key))
-        chosen = both.select(id_.alias(key), F.least("_old", "_new").alias("_row"), outcome.alias("outcome"))
+        side = lambda df, stored: df.select(key, row.alias("_row"), F.lit(stored).alias("_stored"))
+        first = lambda stored: F.min(F.when(F.col("_stored") == stored, F.col("_row")))
+        both = side(old, True).unionByName(side(new, False)).groupBy(key).agg(first(True).alias("_old"), first(False).alias("_new"))
+        stays = F.col("_old") <= F.col("_new")
+        outcome = F.when(F.col("_old").isNull(), "inserted").when(F.col("_new").isNull(), "kept").when(stays, "unchanged").otherwise("updated")
+        chosen = both.select(key, F.least("_old", "_new").alias("_row"), outcome.alias("outcome"))
         return chosen.select(*[key if c == key else F.col(f"_row.{c}").alias(c) for c in new.columns], "outcome")
 
     return merge
@@ -83,8 +86,12 @@ def recover(spark: SparkSession, path: str) -> None:
         folders.delete(old)
 
 
-def merge_batch(batch: DataFrame, path: str, batch_id: int, key: str | list[str], merge: Merge, buckets: int = 64) -> None:
-    """Merges one batch into the table under ``path``. ``buckets`` must be the same for all batches of a table."""
+def merge_batch(batch: DataFrame, path: str, batch_id: int, key: str | list[str], merge: Merge, buckets: int = 64, gather: bool = True) -> None:
+    """Merges one batch into the table under ``path``. ``buckets`` must be the same for all batches of a table.
+
+    ``gather`` brings the rows of a bucket into one task, for one file each. Without it the tasks of the merge write
+    what they hold: wide rows are not shuffled again, and a bucket has as many files as the merge has tasks.
+    """
     spark = batch.sparkSession
     recover(spark, path)
     folders, aside = Folders(spark, path), f"{path}/_next/batch={batch_id}"
@@ -97,7 +104,8 @@ def merge_batch(batch: DataFrame, path: str, batch_id: int, key: str | list[str]
         stored = [f"{path}/bucket={b}" for b in sorted(touched) if folders.exists(f"{path}/bucket={b}")]
         old = spark.read.schema(batch.schema).parquet(*stored) if stored else batch.limit(0)
         # The outcome of a row stays with it until its bucket is rewritten, so counting reads one column of what was written.
-        merged = merge(old, batch).withColumn("bucket", bucket).repartition("bucket")
+        merged = merge(old, batch).withColumn("bucket", bucket)
+        merged = merged.repartition("bucket") if gather else merged
         merged.write.mode("overwrite").partitionBy("bucket").parquet(aside)
         written = spark.read.schema("outcome string, bucket int").parquet(aside).where("outcome <> 'kept'")
         counts = written.groupBy("outcome").agg(F.count("*").alias("n"))

@@ -110,11 +110,13 @@ def current(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(*keys, "_row.*")
 
 
-def keep_table(stream: DataFrame, path: str, checkpoint: str, key: str, merge: keyed.Merge, buckets: int = 64, mode: str = "append") -> StreamingQuery:
+def keep_table(
+    stream: DataFrame, path: str, checkpoint: str, key: str, merge: keyed.Merge, buckets: int = 64, mode: str = "append", gather: bool = True
+) -> StreamingQuery:
     """Keep a keyed table current: each batch rewrites the buckets of its own keys alone, and a replay changes nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        keyed.merge_batch(batch, path, batch_id, key, merge, buckets)
+        keyed.merge_batch(batch, path, batch_id, key, merge, buckets, gather)
 
     return (
         stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
@@ -124,7 +126,7 @@ def keep_table(stream: DataFrame, path: str, checkpoint: str, key: str, merge: k
 
 def upsert_documents(stream: DataFrame, path: str, checkpoint: str, key: str, order: str, buckets: int = 64) -> StreamingQuery:
     """Keep one row per key: the first by ``order``, in whatever batch it comes and however late."""
-    return keep_table(stream, path, checkpoint, key, keyed.first_by(key, order), buckets)
+    return keep_table(stream, path, checkpoint, key, keyed.first_by(key, order), buckets, gather=False)
 
 
 class SessionRounds(StatefulProcessor):

@@ -162,6 +162,16 @@ def test_first_row_by_order_in_whatever_batch(spark):
     assert [(r["outcome"], r["n"], r["buckets"]) for r in last] == [("unchanged", 1, 1)]  # one bucket of 16 rewritten
 
 
+def test_first_rows_are_shuffled_once(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "k string, at int, v string")
+    old, new = frame([("a", 2, "x"), (None, None, "y"), ("c", 1, "z")]), frame([("a", 1, "n"), (None, 5, "m"), ("b", None, "o"), ("c", 1, "zz")])
+    merged = keyed.first_by("k", "at")(old, new)
+    want = {("a", 1, "n", "updated"), (None, 5, "m", "updated"), ("b", None, "o", "inserted"), ("c", 1, "z", "unchanged")}
+    assert {tuple(r) for r in merged.collect()} == want
+    plan = merged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_a_batch_is_applied_once_and_lost_ones_are_finished(spark):
     frame = lambda rows: spark.createDataFrame(rows, "k int, v string")
     path, merge = workspace.new_path(spark, "keyed"), keyed.newest("k", ["v"], F.col("v"))
