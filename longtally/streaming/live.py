@@ -6,6 +6,7 @@ sink. State is bounded by watermarks, and each sink tolerates a replayed batch.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -133,7 +134,8 @@ class SessionRounds(StatefulProcessor):
     """Rounds of one session at a time, from the turns its state keeps.
 
     A timer that every turn pushes on closes a session after ``idle_ms`` without one: its turns leave the state,
-    its rounds stay as they are, and what comes after is passed over.
+    its rounds stay as they are, and what comes after is passed over. Turns and due time are one value, as each
+    call of the state waits for an answer of the JVM: a session costs one read, one write and two of its timer.
     """
 
     CLOSED = -1
@@ -143,28 +145,24 @@ class SessionRounds(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.turns = handle.getListState("turns", "seq long, question string")
-        self.due = handle.getValueState("due", "at long")
+        self.session = handle.getValueState("session", "due long, turns string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        due = self.due.get()[0] if self.due.exists() else None
-        if due == self.CLOSED:
+        stored = self.session.get()
+        if stored is not None and stored[0] == self.CLOSED:
             return
-        known = {(t[0], t[1]) for t in self.turns.get()} if due is not None else set()
-        fresh = {(int(s), q) for frame in rows for s, q in zip(frame["seq"], frame["question"], strict=True)} - known
-        if fresh:
-            self.turns.appendList(sorted(fresh, key=_place))
-        if due is not None:
-            self.handle.deleteTimer(due)
+        known = {(s, q) for s, q in json.loads(stored[1])} if stored is not None else set()
+        turns = known | {(int(s), q) for frame in rows for s, q in zip(frame["seq"], frame["question"], strict=True)}
+        turns = sorted(turns, key=_place)
+        if stored is not None:
+            self.handle.deleteTimer(stored[0])
         due = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
         self.handle.registerTimer(due)
-        self.due.update((due,))
-        rounds = _rounds(sorted(known | fresh, key=_place))
-        yield pd.DataFrame([(key[0], *r) for r in rounds], columns=["session_id", "round_no", "seq", "question", "asked"])
+        self.session.update((due, json.dumps(turns, ensure_ascii=False)))
+        yield pd.DataFrame([(key[0], *r) for r in _rounds(turns)], columns=["session_id", "round_no", "seq", "question", "asked"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.turns.clear()
-        self.due.update((self.CLOSED,))
+        self.session.update((self.CLOSED, "[]"))
         return iter([])
 
     def close(self) -> None:

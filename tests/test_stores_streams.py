@@ -131,6 +131,40 @@ def test_rounds_of_late_turns_over_many_batches(spark):
     assert values(keyed.current(spark, rounds).collect()) == values(want)
 
 
+def test_a_session_costs_few_calls_of_its_state():
+    import pandas as pd
+
+    class Handle:
+        calls = 0
+        value = None
+
+        def __getattr__(self, name):  # every state and timer call counts
+            def call(*args):
+                Handle.calls += 1
+                if name == "update":
+                    Handle.value = args[0]
+                return Handle.value if name == "get" else None
+
+            return call
+
+        def getValueState(self, *_):
+            return self
+
+        getListState = getValueState
+
+    class Clock:
+        getCurrentProcessingTimeInMs = staticmethod(lambda: 5)
+
+    rounds = live.SessionRounds(10)
+    rounds.init(Handle())
+    frame = lambda rows: iter([pd.DataFrame(rows, columns=["seq", "question"])])
+    list(rounds.handleInputRows(("s",), frame([(2, "b"), (0, "a")]), Clock))
+    Handle.calls = 0
+    (got,) = rounds.handleInputRows(("s",), frame([(1, "a"), (2, "b"), (3, None)]), Clock)
+    assert Handle.calls <= 4
+    assert got[["round_no", "seq", "asked"]].values.tolist() == [[1, 1, 2], [2, 3, 2]]
+
+
 def test_idle_sessions_are_closed(spark):
     schema = "session_id string, seq long, question string"
     source, rounds, checkpoint = (workspace.new_path(spark, n) for n in ("idle", "idle-rounds", "idle-cp"))
