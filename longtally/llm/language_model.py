@@ -16,12 +16,11 @@ joined with the count table and folded back per document.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,14 +36,41 @@ CELL_WORDS, SHARES, ROUNDS = 2_000_000, 8, (2, 8)
 MOST_TASKS = 10_000
 #: Words held at once in a task: documents are laid out into lanes pool by pool.
 POOL_WORDS = 3_000_000
-FLUSH = 400_000
+#: Bytes of text that are cut into words at once; a longer text is cut alone.
+SLICE_BYTES = 4_000_000
+#: Words counted at once in a task.
+COUNT_WORDS = 2_000_000
 BLOCKS = 64
-END_BYTES = np.array([END], "<u2").tobytes()
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """A-Z lower-cased words without ASCII white space; the end of the text is a token of its own, not listed here."""
-    return (text or b"").lower().split()
+def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about SLICE_BYTES of text in column ``at``."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < batch.num_rows:
+        high = int(np.searchsorted(ends, (ends[low - 1] if low else 0) + SLICE_BYTES, side="right"))
+        high = max(high, low + 1)
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """A-Z lower-cased words without ASCII white space of all texts in turn (null: none), and where each text begins and the last ends.
+
+    The end of a text is a token of its own, not listed here.
+    """
+    # Not the other way round: a slice cast to another width starts inside its bytes, which ``ascii_lower`` overlooks.
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string()))
+    words, starts = lists.values, lists.offsets.to_numpy().astype(np.int64)
+    there = pc.binary_length(words).to_numpy() > 0  # white space at either side of a text leaves an empty word there
+    if not there.all():
+        words, starts = words.filter(pa.array(there)), np.append(0, np.cumsum(there))[starts]
+    return words, starts
+
+
+def numbered(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Places of words in ``among`` counted from 1 (0 is the end of a text), -1 for all others."""
+    return pc.fill_null(pc.add(pc.index_in(words, value_set=among), pa.scalar(1, pa.int32())), -1).to_numpy()
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -55,17 +81,20 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word binary, n) over the texts of the only column."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        held, size = [], 0
         for batch in batches:
-            for text in batch.column(0).cast(pa.large_binary()):
-                found.update(tokens(text.as_py()))
-                if len(found) > FLUSH:
-                    yield flushed(found)
-                    found = Counter()
-        yield flushed(found)
-
-    def flushed(found: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+            for part in slices(batch, 0):
+                held.append(tokens(part.column(0))[0])
+                size += len(held[-1])
+                if size >= COUNT_WORDS:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+
+    def counted(held: list[pa.Array]) -> pa.RecordBatch:
+        found = pa.chunked_array(held).value_counts()
+        return pa.RecordBatch.from_arrays([found.field("values").cast(pa.large_binary()).cast(pa.binary()), found.field("counts")], ["word", "n"])
 
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -90,7 +119,7 @@ class Head:
     """The most frequent words in order, their counts, and the mass of all words beyond the vocabulary."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, documents: int, total: int, distinct: int):
-        self.number = {w: i + 1 for i, w in enumerate(words)}  # 0 is the end of a text
+        self.words = pa.array(words, pa.large_binary()).view(pa.large_string())  # compared byte by byte
         self.weight = np.log10(np.concatenate([[documents], counts]) + 0.5)
         self.total, self.distinct, self.end_known = total, distinct, documents > 0
         self.base = np.log10(total + 0.5 * (distinct + 1))
@@ -99,46 +128,72 @@ class Head:
         self.counts = np.concatenate([[documents], counts[: self.size - 1], [total - inside]]).astype(np.float64)
         self.other = np.log10(max(total - inside, 0) + 0.5 * (max(distinct - (self.size - 1) - self.end_known, 0) + 1))
 
+    @property
+    def number(self) -> dict[bytes, int]:
+        """As ``numbered`` counts them."""
+        return {w: i + 1 for i, w in enumerate(self.words.view(pa.large_binary()).to_pylist())}
+
     def network(self) -> Network:
         return Network(self.size, min(CLASSES, self.size), HIDDEN).start(self.counts)
 
 
-def _pools(batches: Iterator[pa.RecordBatch], number: dict, at: int) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray], list[list[bytes]]]]:
-    """Batches with their texts as numbers (-1: not in ``number``) and words, about POOL_WORDS at a time."""
-    held, numbers, rare, size = [], [], [], 0
+class _Part:
+    """Some rows of a batch, their words as numbers and what the counts alone say about every text."""
+
+    def __init__(self, batch: pa.RecordBatch, at: int, head: Head):
+        words, starts = tokens(batch.column(at))
+        found = numbered(words, head.words)
+        rows = batch.num_rows
+        owner = np.repeat(np.arange(rows), np.diff(starts))
+        self.batch, self.rows = batch, rows
+        # Words beyond the vocabulary are one number for the network, each text is followed by its end.
+        far = (found < 0) | (found >= head.size)
+        self.texts = np.split(np.insert(np.where(far, head.size, found), starts[1:], END), (starts[1:] + np.arange(1, rows + 1))[:-1])
+        known = found > 0
+        weight = np.where(known, head.weight[found], 0)
+        self.n_tokens = np.diff(starts) + 1
+        self.n_known = np.bincount(owner, weights=known, minlength=rows).astype(np.int64) + int(head.end_known)
+        self.head_sum = np.bincount(owner, weights=weight, minlength=rows) + head.weight[0]
+        self.other_sum = np.bincount(owner, weights=weight * far, minlength=rows)
+        self.n_other = np.bincount(owner, weights=far, minlength=rows).astype(np.int64)
+        self.rare = self._rare(words, ~known, owner)
+
+    def _rare(self, words: pa.Array, rare: np.ndarray, owner: np.ndarray) -> pa.Array:
+        """Per text: its distinct words that are not in the head, with their numbers."""
+        coded = words.filter(pa.array(rare)).dictionary_encode()
+        distinct = max(len(coded.dictionary), 1)
+        pairs, times = np.unique(owner[rare] * distinct + coded.indices.to_numpy(), return_counts=True)
+        ends = np.searchsorted(pairs, np.arange(self.rows + 1) * distinct)
+        word = coded.dictionary.take(pa.array(pairs % distinct)).cast(pa.large_binary()).cast(pa.binary())
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([word, pa.array(times, pa.int64())], ["word", "n"]))
+
+
+def _pools(batches: Iterator[pa.RecordBatch], head: Head, at: int) -> Iterator[list[_Part]]:
+    """The rows in parts, about POOL_WORDS at a time."""
+    held, size = [], 0
     for whole in batches:
-        for low in range(0, whole.num_rows, 256):
-            batch = whole.slice(low, 256)
-            held.append(batch)
-            for text in batch.column(at).cast(pa.large_binary()):
-                words = tokens(text.as_py())
-                found = np.fromiter(map(number.get, words, repeat(-1)), np.int32, len(words))
-                numbers.append(found)
-                rare.append([words[i] for i in np.flatnonzero(found < 0).tolist()])
-                size += len(words) + 1
+        for batch in slices(whole, at):
+            held.append(_Part(batch, at, head))
+            size += int(held[-1].n_tokens.sum())
             if size >= POOL_WORDS:
-                yield held, numbers, rare
-                held, numbers, rare, size = [], [], [], 0
+                yield held
+                held, size = [], 0
     if held:
-        yield held, numbers, rare
-
-
-def _for_network(found: np.ndarray, vocabulary: int) -> np.ndarray:
-    return np.append(np.where((found < 0) | (found >= vocabulary), vocabulary, found), END)
+        yield held
 
 
-def _dealt(training: DataFrame, number: dict, vocabulary: int, cell: Column, rounds: int, label: str) -> DataFrame:
+def _dealt(training: DataFrame, known: pa.Array, vocabulary: int, cell: Column, rounds: int, label: str) -> DataFrame:
     """(_round, _share, _key, numbers) of the texts in the first column, written by round: what the network reads, two bytes a word."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 256):
-                batch, own = whole.slice(low, 256), []
-                for text in batch.column(0).cast(pa.large_binary()):
-                    words = tokens(text.as_py())
-                    found = np.fromiter(map(number.get, words, repeat(vocabulary)), "<u2", len(words))
-                    own.append(found.tobytes() + END_BYTES)
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(own, pa.binary())], ["_round", "_share", "_key", "numbers"])
+            for batch in slices(whole, 0):
+                words, starts = tokens(batch.column(0))
+                found = numbered(words, known)
+                found = np.insert(np.where(found < 0, vocabulary, found).astype("<u2"), starts[1:], END)
+                ends = 2 * (starts + np.arange(len(starts)))
+                own = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(found)])
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), own], ["_round", "_share", "_key", "numbers"])
 
     schema = "_round int, _share int, _key long, numbers binary"
     placed = training.select(
@@ -159,13 +214,12 @@ def train(training: DataFrame, head: Head) -> np.ndarray:
     """
     context = training.sparkSession.sparkContext
     now = head.network().flat()
-    small = {w: n for w, n in head.number.items() if n < head.size}
     width = -(-len(now) // BLOCKS)
     cells = max(1, -(-head.total // CELL_WORDS))
     rounds = min(max(cells // SHARES, ROUNDS[0]), ROUNDS[1])
     shares = -(-cells // rounds)
     sizes = (head.size, min(CLASSES, head.size))
-    dealt = _dealt(training, small, head.size, F.pmod("_key", F.lit(rounds * shares)), rounds, "lm-cells")
+    dealt = _dealt(training, head.words.slice(0, head.size - 1), head.size, F.pmod("_key", F.lit(rounds * shares)), rounds, "lm-cells")
     schema = "block int, share int, seen double, sums binary"
     for turn in range(rounds):
         sent = context.broadcast(now)
@@ -251,28 +305,20 @@ def score(documents: DataFrame, train_on: Column, *, text: str = "text", doc_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, parameters = sent.value
         reader = Pass(head.network().load(parameters), WINDOW)
-        for held, numbers, rare in _pools(batches, head.number, 1):
-            texts = [_for_network(found, head.size) for found in numbers]
+        for held in _pools(batches, head, 1):
+            texts = [text for part in held for text in part.texts]
             places, owner, size = laid_out(texts, LANES)
             logs = reader.run(places, size)
             there = owner >= 0
-            natural = np.bincount(owner[there], weights=logs[there].astype(np.float64), minlength=len(texts))
+            natural = np.bincount(owner[there], weights=logs[there].astype(np.float64), minlength=len(texts)) / np.log(10)
             at = 0
-            for batch in held:
-                rows = range(at, at + batch.num_rows)
-                at += batch.num_rows
-                keys = [xxhash.xxh64_intdigest(t.as_py(), 7) - (1 << 63) for t in batch.column(1).cast(pa.large_binary())]
-                known = [f[f > 0] for f in (numbers[i] for i in rows)]
-                head_sum = [float(head.weight[k].sum() + head.weight[0]) for k in known]
-                other = [float(head.weight[k[k >= head.size]].sum()) for k in known]
-                n_other = [int((texts[i] == head.size).sum()) for i in rows]
-                counted = [Counter(rare[i]) for i in rows]
+            for part in held:
+                keys = [xxhash.xxh64_intdigest(t.as_py(), 7) - (1 << 63) for t in part.batch.column(1).cast(pa.large_binary())]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array(keys, pa.int64()), pa.array([len(texts[i]) for i in rows], pa.int64()),
-                    pa.array([len(k) + int(head.end_known) for k in known], pa.int64()), pa.array(head_sum), pa.array(other),
-                    pa.array(n_other, pa.int64()), pa.array([float(natural[i] / np.log(10)) for i in rows]),
-                    pa.array([[{"word": w, "n": n} for w, n in c.items()] for c in counted], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
+                    part.batch.column(0), pa.array(keys, pa.int64()), pa.array(part.n_tokens), pa.array(part.n_known), pa.array(part.head_sum),
+                    pa.array(part.other_sum), pa.array(part.n_other), pa.array(natural[at : at + part.rows]), part.rare,
                 ], ["doc_id", "text_key", "n_tokens", "head_known", "head_sum", "other_sum", "n_other", "network", "rare"])
+                at += part.rows
 
     schema = (
         "doc_id long, text_key long, n_tokens long, head_known long, head_sum double, other_sum double, n_other long,"

@@ -45,12 +45,22 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
 
-    def load(self, flat: np.ndarray) -> Network:
-        at = 0
+    def cut(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Views of ``flat`` by name."""
+        at, out = 0, {}
         for name, shape in zip(self.NAMES, self.shapes(), strict=True):
             size = int(np.prod(shape))
-            setattr(self, name, np.array(flat[at : at + size], np.float32).reshape(shape))
+            out[name] = flat[at : at + size].reshape(shape)
             at += size
+        return out
+
+    def views(self, flat: np.ndarray) -> None:
+        """Parameters are views of ``flat`` from now on."""
+        for name, part in self.cut(flat).items():
+            setattr(self, name, part)
+
+    def load(self, flat: np.ndarray) -> Network:
+        self.views(np.array(flat, np.float32))
         return self
 
 
@@ -80,136 +90,203 @@ def laid_out(texts: list[np.ndarray], count: int) -> tuple[np.ndarray, np.ndarra
     return numbers, owner, size
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x *= 0.5
-    np.tanh(x, out=x)
-    x += 1
-    x *= 0.5
-    return x
+class Pass:
+    """Runs a network over windows; with ``learn`` it also follows the truncated gradient after each window (Adam).
 
+    Lanes run along the last axis of every array, so that gates and words of a class are contiguous rows; what one
+    step or one part of a class needs stays in the processor's cache. Biases are a last row of weights, met by a row of ones.
+    """
 
-class Pass:
-    """Runs a network over windows; with ``learn`` it also follows the truncated gradient after each window (Adam)."""
+    #: Places of a class that are worked on at once.
+    PART = 1024
 
     def __init__(self, network: Network, window: int = 32, learn: float = 0.0):
         self.net, self.window, self.rate = network, window, learn
         self.step = 0
+        self.kept: dict = {}
         if learn:
-            self.moments = {n: [np.zeros_like(getattr(network, n)), np.zeros_like(getattr(network, n))] for n in Network.NAMES}
+            self.flat = network.flat()
+            network.views(self.flat)
+            self.gradient, self.first, self.second, self.spare = (np.zeros_like(self.flat) for _ in range(4))
+            self.grads = network.cut(self.gradient)
+
+    def _array(self, name: str, *shape: int) -> np.ndarray:
+        """Memory used again in every window."""
+        size = int(np.prod(shape))
+        if name not in self.kept or len(self.kept[name]) < size:
+            self.kept[name] = np.empty(size, np.float32)
+        return self.kept[name][:size].reshape(shape)
 
     def run(self, numbers: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Natural log probability of every place; each is predicted from the places before it in its text."""
         steps, count = numbers.shape
-        state = np.zeros((count, self.net.hidden), np.float32)
+        state = np.zeros((self.net.hidden, count), np.float32)
         out = np.zeros((steps, count), np.float32)
         for low in range(0, steps, self.window):
             active = int(np.searchsorted(-size, -low, side="left"))  # lanes come longest first
             high = min(low + self.window, steps)
             part = numbers[low:high, :active]
-            out[low:high, :active], state = self._window(part, state[:active])
+            out[low:high, :active], state = self._window(part, state[:, :active])
         return out
 
     def _window(self, numbers: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         net, h = self.net, self.net.hidden
         steps, count = numbers.shape
         there = numbers >= 0
-        safe = np.where(there, numbers, END)
-        entered = (net.embed[safe.ravel()] @ net.enter + net.gate_bias).reshape(steps, count, 3 * h)
-        before = np.empty((steps, count, h), np.float32)
-        gates = np.empty((steps, count, 2 * h), np.float32)
-        new = np.empty((steps, count, h), np.float32)
-        inner = np.empty((steps, count, h), np.float32)
-        keep = (safe != END).astype(np.float32)[:, :, None]
+        safe = np.where(there, numbers, END).astype(np.uint16)
+        halved = np.repeat(np.array([0.5, 1], np.float32), (2 * h, h))[:, None]  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+        embedded = net.embed[safe.ravel()].reshape(steps, count, h)
+        entered = np.matmul(net.enter.T * halved, embedded.transpose(0, 2, 1), out=self._array("entered", steps, 3 * h, count))
+        entered += net.gate_bias[:, None] * halved
+        back_again = net.again.T * halved
+        before = self._array("before", steps + 1, h + 1, count)
+        before[:, h] = 1
+        before[0, :h] = state
+        again = self._array("again", steps, 3 * h, count)
+        gates = self._array("gates", steps, 2 * h, count)
+        new = self._array("new", steps, h, count)
+        ended = safe == END
+        keep = [(~e).astype(np.float32) if e.any() else None for e in ended]
         for t in range(steps):
-            before[t] = state
-            again = state @ net.again
-            g = _sigmoid(entered[t, :, : 2 * h] + again[:, : 2 * h])
-            gates[t], inner[t] = g, again[:, 2 * h :]
-            n = np.tanh(entered[t, :, 2 * h :] + g[:, h:] * inner[t])
-            new[t] = n
-            state = (n + g[:, :h] * (state - n)) * keep[t]
-        flat, target, real = before.reshape(-1, h), safe.ravel(), there.ravel()
-        logs, back = self._output(flat, target, real)
+            np.matmul(back_again, before[t, :h], out=again[t])
+            g, n, ahead = gates[t], new[t], before[t + 1, :h]
+            np.add(entered[t, : 2 * h], again[t, : 2 * h], out=g)
+            np.tanh(g, out=g)
+            g += 1
+            g *= 0.5
+            np.multiply(g[h:], again[t, 2 * h :], out=n)
+            n += entered[t, 2 * h :]
+            np.tanh(n, out=n)
+            np.subtract(before[t, :h], n, out=ahead)
+            ahead *= g[:h]
+            ahead += n
+            if keep[t] is not None:
+                ahead *= keep[t]
         if self.rate:
-            self._learn(safe, before, gates, new, inner, keep, back.reshape(steps, count, h), max(1, int(real.sum())))
-        return np.where(there, logs.reshape(steps, count), 0), state
+            self.gradient[:] = 0
+        # One order by number: runs of a class for the output, runs of a word for the embedding.
+        order = np.argsort(safe.ravel(), kind="stable")
+        back = self._array("back", steps, h, count)
+        logs = self._classes(before, safe, there, back)
+        self._words(before, safe, there, order, back, logs)
+        if self.rate:
+            self._learn(safe.ravel(), order, embedded, before, gates, new, again, keep, back, max(1, int(there.sum())))
+        return np.where(there, logs, 0), before[steps, :h].copy()
 
-    def _output(self, state: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    def _classes(self, before: np.ndarray, target: np.ndarray, there: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """Log probability of the class of every place; ``back`` takes the gradient at the states."""
         net = self.net
+        steps, count = target.shape
         group = np.where(target == net.vocabulary, net.classes, target // net.width)
-        logits = state @ net.class_out + net.class_bias
-        np.exp(logits, out=logits)
-        rows = np.arange(len(target))
-        own = logits[rows, group]
-        total = logits.sum(axis=1)
-        logs = np.log(own) - np.log(total)
-        learn = bool(self.rate)
-        back = None
-        if learn:
-            weight = real.astype(np.float32)
-            logits *= (weight / total)[:, None]
-            logits[rows, group] -= weight
-            back = logits @ net.class_out.T
-            self.grads = {"class_out": state.T @ logits, "class_bias": logits.sum(axis=0), "word_out": np.zeros_like(net.word_out), "word_bias": np.zeros_like(net.word_bias)}
-        # By class: one sorted copy, of which every class is a slice.
-        order = np.argsort(group.astype(np.int8), kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(net.classes + 1))
-        order = order[: cuts[-1]]
-        sorted_state, inside, weight = state[order], target[order] % net.width, real[order].astype(np.float32)
-        chosen, totals, places = np.empty(len(order), np.float32), np.empty(len(order), np.float32), np.arange(len(order))
-        if learn:
-            more = np.empty_like(sorted_state)
-        for c in range(net.classes):
-            a, b = cuts[c], cuts[c + 1]
-            if a == b:
-                continue
-            s, w, at, own = sorted_state[a:b], weight[a:b], places[: b - a], inside[a:b]
-            e = s @ net.word_out[c]
-            e += net.word_bias[c]
+        weights = np.vstack([net.class_out, net.class_bias]).T.copy()
+        own, total, lanes_ = np.empty((steps, count), np.float32), np.empty((steps, count), np.float32), np.arange(count)
+        e = self._array("classes", net.classes + 1, count)
+        grad = np.zeros((net.hidden + 1, net.classes + 1), np.float32)
+        for t in range(steps):
+            np.matmul(weights, before[t], out=e)
             np.exp(e, out=e)
-            total = totals[a:b] = e.sum(axis=1)
-            chosen[a:b] = e[at, own]
-            if learn:
-                e *= (w / total)[:, None]
-                e[at, own] -= w
-                more[a:b] = e @ net.word_out[c].T
-                self.grads["word_out"][c] = s.T @ e
-                self.grads["word_bias"][c] = e.sum(axis=0)
-        logs[order] += np.log(chosen) - np.log(totals)
-        if learn:
-            back[order] += more
-        return logs, back
+            own[t] = e[group[t], lanes_]
+            np.sum(e, axis=0, out=total[t])
+            if self.rate:
+                weight = there[t].astype(np.float32)
+                e *= weight / total[t]
+                e[group[t], lanes_] -= weight
+                np.matmul(net.class_out, e, out=back[t])
+                grad += before[t] @ e.T
+        if self.rate:
+            self.grads["class_out"][...], self.grads["class_bias"][...] = grad[:-1], grad[-1]
+        return np.log(own) - np.log(total)
 
-    def _learn(self, numbers, before, gates, new, inner, keep, back, count: int) -> None:
+    def _words(self, before: np.ndarray, target: np.ndarray, there: np.ndarray, order: np.ndarray, back: np.ndarray, logs: np.ndarray) -> None:
+        """Adds the log probability of every word within its class, and the gradient at the states."""
+        net, h, width = self.net, self.net.hidden, self.net.width
+        steps, count = target.shape
+        number = target.ravel()[order]
+        order = order[: np.searchsorted(number, net.vocabulary)]
+        number = number[: len(order)].astype(np.int64)
+        cuts = np.searchsorted(number, np.arange(net.classes + 1) * width)
+        rows = before[:steps].transpose(0, 2, 1).reshape(-1, h + 1)[order]
+        weights = np.concatenate([net.word_out, net.word_bias[:, None]], axis=1).transpose(0, 2, 1).copy()
+        inside, weight, places = number % width, there.ravel()[order].astype(np.float32), np.arange(self.PART)
+        chosen, totals = np.empty(len(order), np.float32), np.empty(len(order), np.float32)
+        if self.rate:
+            more = self._array("more", len(order), h)
+        for c in range(net.classes):
+            for a in range(cuts[c], cuts[c + 1], self.PART):
+                b = min(a + self.PART, cuts[c + 1])
+                s, at, own, w = rows[a:b], places[: b - a], inside[a:b], weight[a:b]
+                e = np.matmul(weights[c], s.T, out=self._array("words", width, b - a))
+                np.exp(e, out=e)
+                chosen[a:b] = e[own, at]
+                np.sum(e, axis=0, out=totals[a:b])
+                if self.rate:
+                    e *= w / totals[a:b]
+                    e[own, at] -= w
+                    np.matmul(e.T, net.word_out[c].T, out=more[a:b])
+                    grad = s.T @ e.T
+                    self.grads["word_out"][c] += grad[:h]
+                    self.grads["word_bias"][c] += grad[h]
+        logs.reshape(-1)[order] += np.log(chosen) - np.log(totals)
+        if self.rate:
+            spread = self._array("spread", steps * count, h)
+            spread[:] = 0
+            spread[order] = more
+            back += spread.reshape(steps, count, h).transpose(0, 2, 1)
+
+    def _learn(self, ids, order, embedded, before, gates, new, again, keep, back, seen: int) -> None:
         net, h = self.net, self.net.hidden
-        steps = len(numbers)
-        through = np.empty((steps, numbers.shape[1], 3 * h), np.float32)  # at the gates' inputs
-        grad_again = np.zeros_like(net.again)
-        ahead = np.zeros_like(back[0])
+        steps, _, count = back.shape
+        through = self._array("through", steps, 3 * h, count)  # at the gates' inputs
+        grad_again, grad_enter = np.zeros_like(net.again), np.zeros_like(net.enter)
+        ahead = np.zeros((h, count), np.float32)
+        left, inside, d = (self._array(name, h, count) for name in ("left", "inside", "d"))
         for t in range(steps - 1, -1, -1):
-            z, r = gates[t, :, :h], gates[t, :, h:]
-            d = ahead * keep[t]
-            inside = d * (1 - z) * (1 - new[t] * new[t])
-            own = through[t]
-            own[:, :h] = d * (before[t] - new[t]) * z * (1 - z)
-            own[:, h : 2 * h] = inside * inner[t] * r * (1 - r)
-            own[:, 2 * h :] = inside * r
-            grad_again += before[t].T @ own
-            ahead = d * z + own @ net.again.T + back[t]
-            own[:, 2 * h :] = inside
-        flat = through.reshape(-1, 3 * h)
-        ids = numbers.ravel()
-        entering = flat @ net.enter.T
-        order = np.argsort(ids, kind="stable")
-        starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        embed = np.zeros_like(net.embed)
-        embed[ids[order][starts]] = np.add.reduceat(entering[order], starts, axis=0)
-        self.grads |= {"embed": embed, "enter": net.embed[ids].T @ flat, "gate_bias": flat.sum(axis=0), "again": grad_again}
+            z, r, n, s, own = gates[t, :h], gates[t, h:], new[t], before[t, :h], through[t]
+            if keep[t] is None:
+                d[:] = ahead
+            else:
+                np.multiply(ahead, keep[t], out=d)
+            np.subtract(1, z, out=left)
+            left *= d
+            update, reset, entering = own[:h], own[h : 2 * h], own[2 * h :]
+            np.subtract(s, n, out=update)
+            update *= z
+            update *= left
+            np.multiply(n, n, out=inside)
+            np.subtract(1, inside, out=inside)
+            inside *= left
+            np.multiply(inside, r, out=entering)
+            np.subtract(1, r, out=reset)
+            reset *= again[t, 2 * h :]
+            reset *= entering
+            grad_again += s @ own.T
+            np.matmul(net.again, own, out=ahead)
+            d *= z
+            ahead += d
+            ahead += back[t]
+            entering[:] = inside
+            grad_enter += embedded[t].T @ own.T
+        self.grads["again"][...], self.grads["enter"][...] = grad_again, grad_enter
+        self.grads["gate_bias"][...] = through.sum(axis=2).sum(axis=0)
+        entering = np.matmul(through.transpose(0, 2, 1), net.enter.T).reshape(-1, h)[order]
+        found = ids[order]
+        starts = np.flatnonzero(np.diff(found.astype(np.int32), prepend=-1))
+        self.grads["embed"][found[starts]] = np.add.reduceat(entering, starts, axis=0)
+        self._adam(seen)
+
+    def _adam(self, seen: int) -> None:
+        g, spare = self.gradient, self.spare
         self.step += 1
-        for name, g in self.grads.items():
-            g /= count
-            first, second = self.moments[name]
-            first += 0.1 * (g - first)
-            second += 0.01 * (g * g - second)
-            size = self.rate * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
-            getattr(net, name)[...] -= size * first / (np.sqrt(second) + 1e-7)
+        g /= seen
+        np.subtract(g, self.first, out=spare)
+        spare *= 0.1
+        self.first += spare
+        np.multiply(g, g, out=spare)
+        spare -= self.second
+        spare *= 0.01
+        self.second += spare
+        np.sqrt(self.second, out=spare)
+        spare += 1e-7
+        np.divide(self.first, spare, out=spare)
+        spare *= self.rate * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
+        self.flat -= spare

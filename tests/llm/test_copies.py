@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -372,6 +373,50 @@ def test_lm_network_tells_4095_words_apart():
     assert head.counts[-1] == counts[4095:].sum()
 
 
+def test_lm_words_are_cut_and_numbered_in_whole_batches(monkeypatch):
+    odd = ["Aé b", None, "", " \x0b", "x\x0cB x\x1cy\x85\u3000Z \n", "É q" * 50, "b\x00 A"] * 30
+    plain = [words(t) for t in odd]
+    texts = pa.array(odd)
+    for low, n in ((0, len(odd)), (5, 40), (208, 2), (1, 1), (3, 0)):
+        found, starts = language_model.tokens(texts.slice(low, n))
+        found = found.to_pylist()
+        assert [found[a:b] for a, b in zip(starts, starts[1:], strict=False)] == plain[low : low + n]
+    full = texts.drop_null()  # a column without nulls is cut into slices another way inside Arrow
+    found, starts = language_model.tokens(full.slice(7, 30))
+    assert found.to_pylist() == [w for t in full.slice(7, 30).to_pylist() for w in words(t)]
+    assert language_model.tokens(pa.array([b"\xffA \x80"]).view(pa.string()))[0].cast(pa.binary()).to_pylist() == [b"\xffa", b"\x80"]
+    counts = Counter(w for t in plain for w in t)
+    known = [w.encode() for w, _ in counts.most_common(6)]
+    head = language_model.Head(known, np.array([counts[w.decode()] for w in known], float), 9, sum(counts.values()) + 9, len(counts) + 1)
+    head.size = 4
+    monkeypatch.setattr(language_model, "SLICE_BYTES", 40)
+    monkeypatch.setattr(language_model, "POOL_WORDS", 50)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(odd))), texts], ["doc_id", "text"])
+    parts = [p for pool in language_model._pools([batch.slice(0, 50), batch.slice(50)], head, 1) for p in pool]
+    assert len(parts) > 20 and sum(p.rows for p in parts) == len(odd)
+    rows = [(p, i) for p in parts for i in range(p.rows)]
+    for (part, i), own in zip(rows, plain, strict=True):
+        numbers = [head.number.get(w.encode(), -1) for w in own]
+        assert part.texts[i].tolist() == [n if 0 < n < 4 else 4 for n in numbers] + [0]
+        assert (part.n_tokens[i], part.n_known[i], part.n_other[i]) == (len(own) + 1, sum(n > 0 for n in numbers) + 1, sum(not 0 < n < 4 for n in numbers))
+        assert part.head_sum[i] == pytest.approx(head.weight[0] + sum(head.weight[n] for n in numbers if n > 0))
+        assert part.other_sum[i] == pytest.approx(sum(head.weight[n] for n in numbers if n >= 4))
+        assert {r["word"]: r["n"] for r in part.rare[i].as_py()} == Counter(w.encode() for w, n in zip(own, numbers, strict=True) if n < 0)
+
+
+def test_network_in_small_parts_gives_the_same(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [np.append(rng.integers(1, 12, n), 0) for n in (40, 9, 1, 70, 33)]
+    places, _, size = recurrent.laid_out(texts, 3)
+    got = []
+    for part in (1024, 2):
+        monkeypatch.setattr(recurrent.Pass, "PART", part)
+        net = recurrent.Network(11, 3, 4).start(np.arange(12, 0, -1.0))
+        logs = recurrent.Pass(net, 8, learn=0.01).run(places, size)
+        got.append((logs, net.flat()))
+    assert np.allclose(got[0][0], got[1][0], atol=1e-4) and np.allclose(got[0][1], got[1][1], atol=1e-3)
+
+
 def test_lm_training_that_diverges_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(language_model, "RATE", 1e38)
     docs = documents(spark, [(i, "some words to learn from " * 40) for i in range(40)])
