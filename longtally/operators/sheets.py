@@ -20,10 +20,10 @@ _MONTHS_CELL = rf"^(?:20\d{{2}})?年?{text.BLANK}*\d{{1,2}}-?\d*月"
 
 def filled_cells(cells: DataFrame) -> DataFrame:
     """Non-empty cells of the sheets that hold data."""
-    out = cells.withColumn("text", text.trim_blanks(F.col("text"))).filter(F.col("text") != "")
-    for prefix in lx.SKIPPED_SHEET_PREFIXES:
-        out = out.filter(~F.startswith(text.trim_blanks(F.col("sheet")), F.lit(prefix)))
-    return out
+    blank_prefix = rf"^{text.BLANK}*(?:{'|'.join(lx.SKIPPED_SHEET_PREFIXES)})"
+    # Tests that end at the first character; filters on trimmed text would trim every cell twice.
+    out = cells.filter(F.col("text").rlike(rf"[^\s{text.OTHER_BLANKS}]") & ~F.col("sheet").rlike(blank_prefix))
+    return out.withColumn("text", text.trim_blanks(F.col("text")))
 
 
 def header_cells(cells: DataFrame) -> DataFrame:
@@ -129,14 +129,15 @@ def indicator_rows(cells: DataFrame) -> DataFrame:
     own; other tables take the first column as indicator of the total region.
     """
     cells = filled_cells(cells)
-    layout = sheet_layout(cells)
+    sheet_name = F.coalesce(F.nullif(text.clean_title_numbering(F.col("title")), F.lit("")), F.lit("统计指标"))
+    layout = sheet_layout(cells).withColumn("_sheet_name", sheet_name)  # once per sheet, not per row
     col = F.col("col")
     number = lambda c: F.max(F.when(col == F.col(c), text.to_number(F.col("text"))))
     rows = (
         cells.select(*SHEET, "row", "col", "text").join(layout, SHEET)
         .filter((F.col("row") > F.col("last_header")) & (
             (col == 0) | (col == F.col("value_col")) | (col == F.col("growth_col")) | (col == F.col("rank_col"))))
-        .groupBy(*SHEET, "row", "title", "period", "unit")
+        .groupBy(*SHEET, "row", "_sheet_name", "period", "unit")
         .agg(
             F.max(F.when(col == 0, F.col("text"))).alias("axis"),
             number("value_col").alias("value"), number("growth_col").alias("growth_rate"), number("rank_col").alias("rank"),
@@ -146,8 +147,7 @@ def indicator_rows(cells: DataFrame) -> DataFrame:
     regions = lx.lookup_frame(cells.sparkSession, lx.REGION_AXIS, "_axis", "_region")
     rows = rows.join(F.broadcast(regions), text.no_space(F.col("axis")) == F.col("_axis"), "left")
     in_region = F.col("_region").isNotNull()
-    sheet_name = F.coalesce(F.nullif(text.clean_title_numbering(F.col("title")), F.lit("")), F.lit("统计指标"))
-    name = F.when(in_region, sheet_name).otherwise(text.clean_title_numbering(F.col("axis")))
+    name = F.when(in_region, F.col("_sheet_name")).otherwise(text.clean_title_numbering(F.col("axis")))
     nothing = F.lit(None).cast("double")
 
     def record(indicator: Column, value: Column, unit: Column, growth: Column) -> Column:
@@ -159,7 +159,7 @@ def indicator_rows(cells: DataFrame) -> DataFrame:
     )
     rank = F.when(
         in_region & F.col("rank").isNotNull(),
-        record(F.concat(sheet_name, F.lit(lx.RANK_SUFFIX)), F.col("rank"), F.lit("名"), nothing),
+        record(F.concat("_sheet_name", F.lit(lx.RANK_SUFFIX)), F.col("rank"), F.lit("名"), nothing),
     )
     return rows.select(
         "doc_id", F.col("sheet").alias("sheet_name"), "row", "period",

@@ -194,3 +194,14 @@ def test_elements_of_any_soup_of_tags(spark):
 def test_pages_without_html(spark):
     df = spark.createDataFrame([(1, "u", None), (2, "u", ""), (3, "u", "<li>no link")], "id int, url string, html string")
     assert landed.page_links(df, "id").count() == landed.list_records(df, "id").count() == 0
+
+
+def test_filled_cells_trims_a_cell_once(spark):
+    texts = ["", " ", "　 \t", " a ", "b\n", " c d　", "年份", None]
+    names = ["目录1", " 　目录", "封面", "工业目录", "a封面", "", None]
+    rows = [(i, s, t) for i, (s, t) in enumerate((s, t) for s in names for t in texts)]
+    out = sheets.filled_cells(spark.createDataFrame(rows, "id long, sheet string, text string"))
+    kept = {i: t.strip() for i, s, t in rows if t and t.strip() and s is not None and not s.strip().startswith(("目录", "封面"))}
+    assert {r["id"]: r["text"] for r in out.collect()} == kept and len(kept) == 12
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1  # not in the filter as well, nor on sheet names
